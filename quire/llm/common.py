@@ -37,10 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; nothing is there yet."""
+    return f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    path = scratch(spark)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

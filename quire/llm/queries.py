@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, line_dedup
-from quire.llm.common import table
+from quire.llm import chat, decontaminate, line_dedup, token_counts, token_files
+from quire.llm.common import scratch, table
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,20 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), keep=()))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(table(spark, sf_dir, "documents"), scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_token_counts": op8_token_counts,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE: dict[str, str] = {
