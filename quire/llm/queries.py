@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, fingerprint, line_dedup, packing, token_counts, token_files
+from quire.llm import chat, decontaminate, fingerprint, line_dedup, packing, quality, token_counts, token_files
 from quire.llm.common import scratch, table
 
 
@@ -18,6 +18,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op6_fingerprint": op6_fingerprint,
     "op7_chat_format": op7_chat_format,
     "op8_token_counts": op8_token_counts,
