@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, fingerprint, line_dedup, lm, packing, quality, token_counts, token_files
+from quire.llm import chat, decontaminate, fingerprint, jaccard_join, line_dedup, lm, packing, quality, token_counts, token_files
 from quire.llm.common import scratch, table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_hpylm": op2_hpylm,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
