@@ -7,12 +7,12 @@ other. Each worker encodes a word once and looks it up afterwards: an order of m
 from __future__ import annotations
 
 import functools
+import os
 import re
+from collections.abc import Iterator
 
 #: Words that are letters, then ASCII marks that the tokenizer always splits off: they share the ids of their lower-cased letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@\[\]^_{}~-]*)")
-#: Entries of the younger of the two generations of a worker's table.
-_KEEP = 200_000
 
 
 def default_tokenizer() -> str:
@@ -22,44 +22,78 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Words(dict):
-    """Word to ids, as little-endian unsigned 32-bit integers. Two generations bound it; words in use survive."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.older.get(word)) is None:
-            m = _PLAIN.fullmatch(word)
-            if m and (m[2] or m[1] != m[1].lower()):
-                ids = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
-            else:
-                ids = self.encode(word)
-        if len(self) >= _KEEP:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+#: Words after which a worker's table keeps only those in use.
+_KEEP = 800_000
 
 
 class Encoder:
     """Texts to ids with the tokenizer in ``path``, a ``tokenizers`` file whose tokens end at white space."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         import numpy as np
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.words = _Words(lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() if w else b"")
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a text, 4 bytes each; none for null."""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case letters, each of which ends in its only token that ends a word: encoded as one text."""
+        import numpy as np
+
+        ids = np.array(self._encode([" ".join(words)])[0], dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # a tokenizer of another kind
+            return [np.array(x, dtype="<u4").tobytes() for x in self._encode(words)]
+        flat, at = ids.tobytes(), (4 * ends).tolist()
+        return [flat[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts the ids of new words into the table, as little-endian unsigned 32-bit integers."""
+        import numpy as np
 
-    def count(self, text: str | None) -> int:
-        """The number of ids of a text."""
-        return sum(map(len, map(self.words.__getitem__, text.replace("\n", " ").split(" ")))) // 4 if text else 0
+        split = {w: (m[1].lower(), m[2]) for w in words if (m := _PLAIN.fullmatch(w))}
+        letters = list({a for a, _ in split.values()}.difference(self.words))
+        if letters:
+            self.words.update(zip(letters, self._encode_letters(letters), strict=True))
+        other = list(words.difference(split).union(b for _, b in split.values()).difference(self.words))
+        if other:
+            self.words.update((w, np.array(x, dtype="<u4").tobytes()) for w, x in zip(other, self._encode(other), strict=True))
+        self.words.update((w, self.words[a] + self.words[b]) for w, (a, b) in split.items())
+
+    def _table(self, texts: list[list[str]]):
+        """The look-up for some texts' words, all of which it knows."""
+        used = set().union(*texts)
+        if len(self.words) > _KEEP:
+            self.words = {w: self.words[w] for w in used if w in self.words} | {"": b""}
+        if new := used.difference(self.words):
+            self._learn(new)
+        return self.words.__getitem__
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, 4 bytes each; none for null."""
+        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        get = self._table(words)
+        return [b"".join(map(get, w)) for w in words]
+
+
+def in_slices(texts: list, chars: int = 4_000_000) -> Iterator[list]:
+    """A batch's texts in slices of about so many characters, or one longer text."""
+    out, size = [], 0
+    for t in texts:
+        out.append(t)
+        size += len(t) if t else 0
+        if size >= chars:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 @functools.lru_cache(maxsize=1)

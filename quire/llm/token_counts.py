@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.encoder import default_tokenizer, encoder
+from quire.llm.common import materialize
+from quire.llm.encoder import default_tokenizer, encoder, in_slices
 
 
 def encoded_lengths(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -21,7 +22,7 @@ def encoded_lengths(docs: DataFrame, *, tokenizer: str | None = None, text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            n = pa.array([enc.count(t) for t in b.column(len(keep)).to_pylist()], pa.int64())
+            n = pa.array([len(x) // 4 for part in in_slices(b.column(len(keep)).to_pylist()) for x in enc.ids(part)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], [*keep, "n_tokens"])
 
     return src.mapInArrow(count, schema)
@@ -39,6 +40,7 @@ def length_histogram(lengths: DataFrame, *, col: str = "n_tokens", block: int =
     partition runs over blocks, of which there are as many as the longest document has thousands of tokens.
     """
     hist = lengths.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    hist = materialize(hist)  # it is used twice, and is small
     hist = hist.withColumns({"_block": F.floor(F.col("n_tokens") / block), "_tokens": F.col("n_tokens") * F.col("n_docs")})
     blocks = hist.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     before, every = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import shuffle_partitions
-from quire.llm.encoder import default_tokenizer, encoder
+from quire.llm.encoder import default_tokenizer, encoder, in_slices
 
 SCHEMA = "shard int, first long, n_ids long, planes int, block int, doc_ids array<long>, doc_lens array<long>, index array<long>, data binary"
 
@@ -83,9 +83,10 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
 
         doc_ids, parts, size = [], [], 0
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            encoded = (x for part in in_slices(b.column(1).to_pylist()) for x in enc.ids(part))
+            for i, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
                 doc_ids.append(i)
-                parts.append(enc.ids(text) + end)
+                parts.append(ids + end)
                 size += len(parts[-1]) // 4
                 if size >= container:
                     yield row(doc_ids, parts)
