@@ -165,7 +165,7 @@ def section_link(url: Column, section: Column) -> Column:
     return F.concat(F.substring_index(url, "#", 1), kind, title)
 
 
-def urlkeep(c: Column, most: int = 72, mark: str = "") -> Column:
+def urlkeep(c: Column, most: int = 72, mark: str = "\ue060") -> Column:
     """``mark`` after each "/", "-" and ":" of URLs of at most ``most`` characters, so that lines don't break there."""
     pieces = F.regexp_extract_all(c, F.lit(r"(https?:\S*|(?:(?!https?:)[\s\S])+)"), F.lit(1))
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^https?:") & (F.length(p) <= most), F.regexp_replace(p, "([/:-])", f"$1{mark}")).otherwise(p)), "")

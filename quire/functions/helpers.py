@@ -48,7 +48,7 @@ def character_names(c: Column) -> Column:
 #: Abbreviations whose period ends no sentence, besides three-letter ones such as "Fig.": fixed values.
 ABBREVIATIONS = ("Eq", "Cf", "cf", "vs", "resp", "viz", "ibid", "Jr", "Sr", "Mr", "Ms", "Messrs", "Mmes", "Dr", "Prof", "Profs", "St", "Lt", "a.k.a", "i.e", "e.g")
 _NO_END = re.compile(r"(?:^|\s)[(\[]?(?:[A-Z][a-z]{2}|" + "|".join(map(re.escape, ABBREVIATIONS)) + r")\.$")
-_NBSP, _MARKS = " ", "​‌⁠"
+_NBSP, _MARKS = "\u00a0", "\u200b\u200c\u2060\ue060"
 
 
 def _pieces(paragraph: str) -> list[str]:
@@ -60,7 +60,7 @@ def _pieces(paragraph: str) -> list[str]:
         elif re.match(r"<?[a-z]+://", part):
             out.append(part)
         else:
-            out += [x for x in re.split("(?<=[^\\W\\d_]/)(?=[A-Za-z])|(?<=[^\\W\\d_]-)(?=\\w\\D)|​|(?<=[\\w!\"'&.,?])(?=-{2,}\\w)|(?<=\\w--)(?=\\w)", part) if x]
+            out += [x for x in re.split("(?<=[^\\W\\d_]/)(?=[A-Za-z])|(?<=[^\\W\\d_]-)(?=\\w\\D)|\u200b|(?<=[\\w!\"'&.,?])(?=-{2,}\\w)|(?<=\\w--)(?=\\w)", part) if x]
     return [x for x in out if x]
 
 
@@ -70,7 +70,7 @@ def wrap_lines(text: str, width: int = 72, indent: int = 0, hang: int = 0) -> li
     Words longer than a line are cut. A line separator starts a new line, without the first line's indent.
     """
     lines: list[str] = []
-    for k, para in enumerate(text.split(" ")):
+    for k, para in enumerate(text.split("\u2028")):
         if k and not para.strip():
             lines.append("")
             continue

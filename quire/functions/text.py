@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 #: Characters that is_ascii overlooks: no-break space, zero-width space, no-break hyphen, line separator, word joiner.
-FORMAT_CHARS = " ​‑ ⁠"
+FORMAT_CHARS = "\u00a0\u200b\u2011\u2028\u2060"
 #: Scripts told apart by ``scripts_used``: fixed values, in order.
 SCRIPTS = ("Arabic", "Armenian", "Bengali", "Common", "Cyrillic", "Devanagari", "Georgian", "Greek", "Han", "Hangul", "Hebrew", "Hiragana", "Inherited", "Katakana", "Latin", "Thai")
 #: Typographic punctuation and its ASCII spelling, one to one and one to several characters: fixed values.
-PUNCTUATION = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', " ": " ", " ": " "}
-LONG_PUNCTUATION = {"—": "--", "…": "...", "«": "<<", "»": ">>"}
+PUNCTUATION = {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00a0": " ", "\u202f": " "}
+LONG_PUNCTUATION = {"\u2014": "--", "\u2026": "...", "\u00ab": "<<", "\u00bb": ">>"}
 LONG_LETTERS = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "Ø": "O", "ø": "o", "Þ": "Th", "þ": "th"}
 #: Keywords of requirement levels, longest first where one begins another: fixed values.
 KEYWORDS = ("MUST NOT", "MUST", "REQUIRED", "SHALL NOT", "SHALL", "SHOULD NOT", "SHOULD", "NOT RECOMMENDED", "RECOMMENDED", "MAY", "OPTIONAL")
@@ -66,8 +66,8 @@ def has_tabs(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """No-break spaces and line separators to spaces, zero-width characters removed, trimmed. The no-break hyphen stays."""
-    c = F.translate(c, "  ", "  ")
-    return F.regexp_replace(F.regexp_replace(c, "[​⁠]", ""), r"^\s+|\s+$", "")
+    c = F.translate(c, "\u00a0\u2028", "  ")
+    return F.regexp_replace(F.regexp_replace(c, "[\u200b\u2060\ue060]", ""), r"^\s+|\s+$", "")
 
 
 def is_ascii(c: Column) -> Column:
@@ -123,7 +123,7 @@ def keywords_in(c: Column) -> Column:
 
 def is_keyword(c: Column) -> Column:
     """Whether a text is one of the keywords, spaces folded."""
-    return F.btrim(F.regexp_replace(c, "[\\s ]+", " ")).isin(*KEYWORDS)
+    return F.btrim(F.regexp_replace(c, "[\\s\u00a0]+", " ")).isin(*KEYWORDS)
 
 
 def list_label(n: Column, style: str) -> Column:
