@@ -9,7 +9,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterator
 
 #: Words that are letters, then ASCII marks that the tokenizer always splits off: they share the ids of their lower-cased letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;=?@\[\]^_{}~-]*)")
@@ -83,19 +82,6 @@ class Encoder:
         return [b"".join(map(get, w)) for w in words]
 
 
-def in_slices(texts: list, chars: int = 4_000_000) -> Iterator[list]:
-    """A batch's texts in slices of about so many characters, or one longer text."""
-    out, size = [], 0
-    for t in texts:
-        out.append(t)
-        size += len(t) if t else 0
-        if size >= chars:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """This worker's encoder, kept from task to task."""

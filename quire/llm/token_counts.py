@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize
-from quire.llm.encoder import default_tokenizer, encoder, in_slices
+from quire.llm.encoder import default_tokenizer, encoder
+from quire.llm.words import in_slices
 
 
 def encoded_lengths(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import shuffle_partitions
-from quire.llm.encoder import default_tokenizer, encoder, in_slices
+from quire.llm.encoder import default_tokenizer, encoder
+from quire.llm.words import in_slices
 
 SCHEMA = "shard int, first long, n_ids long, planes int, block int, doc_ids array<long>, doc_lens array<long>, index array<long>, data binary"
 

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-
-
-class _Hashes(dict):
-    """Word (bytes) to hash, never 0; bounded: emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) or 1
-        return h
-
+from collections.abc import Iterator
 
-_HASHES = _Hashes()
+import numpy as np
+import xxhash
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """The hashes of a text's words, in order: runs of anything but U+0020 and U+0009 to U+000D, A-Z lower-cased."""
+    """The 64-bit hashes of a text's words, in order: runs of anything but U+0020 and U+0009 to U+000D, A-Z lower-cased."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: ASCII only
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,3 +31,16 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     for i in range(k):
         x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
     return np.unique(x)
+
+
+def in_slices(texts: list, chars: int = 4_000_000) -> Iterator[list]:
+    """A batch's texts in slices of about so many characters, or one longer text."""
+    out, size = [], 0
+    for t in texts:
+        out.append(t)
+        size += len(t) if t else 0
+        if size >= chars:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
