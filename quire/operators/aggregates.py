@@ -74,7 +74,7 @@ def subtree_text(el: DataFrame) -> DataFrame:
     A descendant gives its text at its own place and its tail after its last descendant.
     """
     inside = el.filter("kind = 'element'").select("doc_id", F.explode(F.concat("anc_ids", F.array("node_id"))).alias("top"), "node_id", F.struct(F.col("node_id").cast("double").alias("p"), F.lit(0).alias("d"), F.coalesce("text", F.lit("")).alias("t")).alias("s"))
-    tails = el.select("doc_id", F.explode("anc_ids").alias("top"), "node_id", F.struct((F.col("last_desc") + 0.5).alias("p"), (-F.col("depth")).alias("d"), F.coalesce("tail", F.lit("")).alias("t")).alias("s"))
+    tails = el.select("doc_id", F.explode("anc_ids").alias("top"), "node_id", F.struct((F.col("last_desc").cast("double") + 0.5).alias("p"), (-F.col("depth")).alias("d"), F.coalesce("tail", F.lit("")).alias("t")).alias("s"))
     rows = inside.unionByName(tails)
     return rows.groupBy("doc_id", F.col("top").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "").alias("text"))
 
