@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,3 +15,10 @@ def shared_folder(spark: SparkSession) -> str:
         where = tempfile.mkdtemp(prefix="spark-quire-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: what is used several times is computed once."""
+    path, schema = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

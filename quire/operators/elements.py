@@ -91,6 +91,8 @@ def clean_attrs(el: DataFrame, *, rename: dict[str, str], keep_space: Iterable[s
     """Attributes renamed, their values trimmed but for those of ``keep_space`` (named as before)."""
     keep = list(keep_space)
     values = F.transform_values(attrs_col, lambda k, v: F.when(k.isin(*keep), v).otherwise(F.trim(v)) if keep else F.trim(v))
+    if not rename:
+        return el.withColumn(attrs_col, values)
     names = F.create_map(*[F.lit(x) for pair in rename.items() for x in pair])
     return el.withColumn(attrs_col, F.transform_keys(values, lambda k, v: F.coalesce(names[k], k)))
 

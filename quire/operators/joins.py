@@ -22,8 +22,8 @@ def resolve_xrefs(xrefs: DataFrame, ids: DataFrame, *, doc: str = "doc_id", targ
     ``ids``: doc, id, id_kind, node_id. One row for each id is chosen before the join, so nothing multiplies.
     """
     rank = F.when(F.col("id_kind") == "anchor", 0).when(F.col("id_kind") == "pn", 1).otherwise(2)
-    best = ids.groupBy(doc, F.col("id").alias("_id")).agg(F.min(F.struct(rank.alias("r"), "node_id", "id_kind")).alias("_b"))
-    out = xrefs.join(best, (xrefs[doc] == best[doc]) & (F.col(target) == F.col("_id")), "left").drop(best[doc])
+    best = ids.groupBy(F.col(doc).alias("_doc"), F.col("id").alias("_id")).agg(F.min(F.struct(rank.alias("r"), "node_id", "id_kind")).alias("_b"))
+    out = xrefs.join(best, (F.col(doc) == F.col("_doc")) & (F.col(target) == F.col("_id")), "left")
     return out.select(*xrefs.columns, F.col("_b.id_kind").alias("id_kind"), F.col("_b.node_id").alias("node_id"))
 
 
