@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: What the contracts call white space: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows up to which a table that was written and counted is broadcast.
+SMALL = 1_000_000
 
 
 def lower_ascii(c: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import lower_ascii, materialize
+from quire.llm.common import SMALL, lower_ascii, materialize
 
 #: Characters that are no part of a word: ASCII without digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,7 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2"))
     if remove == "documents":
         hits = materialize(hits.select("_id", "_h1", "_h2"))
-        if hits.count() <= 1_000_000:
+        if hits.count() <= SMALL:
             hits = F.broadcast(hits)  # else texts shuffle to meet it
         return keyed.join(hits, same, "left_anti").select(*docs.columns)
     if remove != "spans":

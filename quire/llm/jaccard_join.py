@@ -23,17 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, shuffle_partitions
+from quire.llm.common import SMALL, materialize, shuffle_partitions
 from quire.llm.components import components
-from quire.llm.signature_tree import bitmap, common, link
+from quire.llm.signature_tree import bitmap, common, link, link_any, width
 from quire.llm.words import mix, shingles
 
 #: Hash buckets whose counts order the tokens: 1 MB whatever the corpus.
 BUCKETS = 1 << 18
 #: Bounds on a chunk: sets, and tokens.
 MEMBERS, TOKENS = 1000, 4_000_000
-#: Rows up to which a side whose size was counted is broadcast.
-SMALL = 1_000_000
 
 
 def _node(s: np.ndarray) -> bytes:
@@ -43,38 +41,46 @@ def _node(s: np.ndarray) -> bytes:
 
 
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``node`` (hash of the set, null for an empty one), ``sig`` (its bitmap)."""
+    """``doc_id``, ``n_shingles``, ``node`` (hash of the set, null for an empty one), ``sig`` (its bitmap), ``counts`` null.
+
+    And a row for each task with nothing but ``counts``: how many of its shingles fall into each bucket, 4 bytes each.
+    """
+    names = ["doc_id", "n_shingles", "node", "sig", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
             sets = [shingles(t, n) for t in b.column(1).to_pylist()]
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_shingles", "node", "sig"])
+            total += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s, width(len(s))).tobytes() if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.nulls(len(sets), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, docs.select("doc_id").schema.add("n_shingles", "long").add("node", "binary").add("sig", "binary"))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary, counts binary")
 
 
-def _bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
+def _bucket_counts(rows: DataFrame) -> np.ndarray:
     """How many shingles of all texts fall into each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            sets = [shingles(t, n) % np.uint64(BUCKETS) for t in b.column(0).to_pylist()]
-            total += np.bincount(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64), minlength=BUCKETS)
+            for c in b.column(0).to_pylist():
+                total += np.frombuffer(c, dtype=np.uint32)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "c"])
 
-    got = docs.select("text").mapInArrow(run, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # BUCKETS rows at most
+    tasks = rows.filter(F.col("counts").isNotNull()).select("counts")
+    got = tasks.coalesce(8).mapInArrow(run, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, dtype=np.int64)
     if got.num_rows:
         counts[got["bucket"].to_numpy()] = got["c"].to_numpy()
     return counts
 
 
-def _prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _prefixes(docs: DataFrame, bucket_counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """``token``, ``id`` (first half of the node) for the prefix tokens of each node, once in a batch."""
-    counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(docs, n))
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = counts.value
@@ -158,12 +164,12 @@ def _coarse(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _runs(batches):
             block, ids, rep, n = (b.column(i).to_numpy() for i in range(4))
-            sig = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)
+            sig = b.column(4).to_pylist()
             new = np.append(True, (block[1:] != block[:-1]) | (ids[1:] != ids[:-1]) | (rep[1:] != rep[:-1]))
-            block, rep, n, sig = block[new], rep[new], n[new], sig[new]
+            block, rep, n, sig = block[new], rep[new], n[new], [sig[i] for i in np.flatnonzero(new)]
             at, out = _bounds([block]), []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                out += [(rep[i + x], rep[i + y]) for x, y in link(n[i:j], sig[i:j], num, den)]
+                out += [(rep[i + x], rep[i + y]) for x, y in link_any(n[i:j], sig[i:j], num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     met = blocks.join(sets.select("id", "rep", "n_shingles", "sig"), "id").select("block", "id", "rep", "n_shingles", "sig")
@@ -191,7 +197,8 @@ def _exact(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
                     both = common(sets[p], sets[q])
                     return both * den >= num * (len(sets[p]) + len(sets[q]) - both)
 
-                sig = np.stack([bitmap(s) for s in sets])
+                bits = 2 * width(max(len(s) for s in sets))
+                sig = np.stack([bitmap(s, bits) for s in sets])
                 out += [(kept[p], kept[q]) for p, q in link(np.array([len(s) for s in sets]), sig, num, den, linked)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
@@ -207,12 +214,13 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, num: int = 9, den: int =
     any of them links to is in its component. Rows with a null id link with nothing and have no component. Other columns
     are dropped, whatever their names. An empty table gives an empty one.
 
-    Five passes over the texts hash their words; texts shuffle at most once, those of groups only where the groups are few
+    Two passes over the texts hash their words; texts shuffle at most once, those of groups only where the groups are few
     enough to be broadcast (a checked count). Set hashes of 128 bits find equal sets; whatever else is hashed decides which
     texts are compared and not how.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_nodes(docs, n))
+    counts, rows = _bucket_counts(rows), rows.filter(F.col("counts").isNull()).drop("counts")
     docs = docs.filter(F.col("doc_id").isNotNull())
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     # the first 8 bytes of a node, read as a little-endian number
@@ -220,7 +228,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, num: int = 9, den: int =
     sets = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     sets = materialize(sets.withColumn("id", F.conv(low, 16, -10).cast("long")))
 
-    coarse = components(_coarse(_blocks(_prefixes(docs, n, num, den)), sets, num, den))
+    coarse = components(_coarse(_blocks(_prefixes(docs, counts, n, num, den)), sets, num, den))
     grouped = materialize(coarse.withColumnRenamed("node", "rep").join(sets.select("rep", "node", "n_shingles"), "rep"))
     chunks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n_shingles") / TOKENS)).cast("int")
     large = grouped.groupBy("component").agg(chunks.alias("k")).filter("k > 1").withColumnRenamed("component", "grp")

@@ -12,15 +12,19 @@ from collections.abc import Callable
 
 import numpy as np
 
-BITS = 1024
 LEAF, FAN = 16, 4
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A set's bitmap: bit h mod BITS for each token hash."""
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def width(n: int) -> int:
+    """The bits of the bitmap of a set of ``n`` tokens: a power of two that leaves a third of them empty or more."""
+    return max(256, 1 << (n - 1).bit_length())
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """A set's bitmap: bit h mod ``bits`` for each token hash. The OR of its halves is the bitmap of half the bits."""
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(tokens % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.uint64)
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -110,3 +114,25 @@ def link(sizes: np.ndarray, bitmaps: np.ndarray, num: int, den: int, linked: Cal
             if roots.find(i) != roots.find(j) and (linked is None or linked(int(order[i]), int(order[j]))):
                 roots.union(i, j)
     return [(int(order[i]), int(order[r])) for i in range(m) if (r := roots.find(i)) != i]
+
+
+def link_any(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """:func:`link` without ``linked``, for bitmaps of different widths (those of :func:`width`).
+
+    Sets that can link differ in width by one step at most: each width is taken alone, with the sets of the next one that
+    are small enough, folded to it.
+    """
+    bits = np.array([8 * len(b) for b in bitmaps])
+    out = []
+    for w in np.unique(bits).tolist():
+        mine = np.flatnonzero(bits == w)
+        above = np.flatnonzero((bits == 2 * w) & (sizes * num <= den * sizes[mine].max()))
+        if len(mine) + len(above) < 2:
+            continue
+        sig = [np.frombuffer(b"".join(bitmaps[i] for i in mine), dtype=np.uint64).reshape(len(mine), -1)]
+        if len(above):
+            wide = np.frombuffer(b"".join(bitmaps[i] for i in above), dtype=np.uint64).reshape(len(above), 2, -1)
+            sig.append(wide[:, 0] | wide[:, 1])
+        at = np.concatenate([mine, above])
+        out += [(int(at[i]), int(at[j])) for i, j in link(sizes[at], np.concatenate(sig), num, den)]
+    return out
