@@ -146,14 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def classify(docs: DataFrame, model: RuleModel, *, text_col: str = "text", threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
-    """``docs`` with the score and the prediction (1 from ``threshold`` up). One projection: no shuffle, no Python.
+    """``docs`` with the score and the prediction (1 from ``threshold`` up). No shuffle, no Python.
+
+    Statistics pass through an explode of one element: a filter on the score stays above it, where they are computed
+    already, instead of repeating them for each rule below.
 
     Null and empty texts are scored by their statistics like any other. Columns of the same names are replaced.
     """
     stats = statistics(F.col(text_col))
     columns = [c for c in docs.columns if c not in (score_col, predicted_col)]
-    out = docs.select(*columns, *[c.alias(f"_stat_{n}") for n, c in stats.items()])
-    out = out.select(*columns, model.score({n: F.col(f"_stat_{n}") for n in stats}).alias(score_col))
+    out = docs.select(*columns, *[c.cast("double").alias(f"_stat_{n}") for n, c in stats.items()])
+    out = out.select(*columns, F.explode(F.array(F.struct(*[F.col(f"_stat_{n}").alias(n) for n in stats]))).alias("_stats"))
+    out = out.select(*columns, model.score({n: F.col("_stats")[n] for n in stats}).alias(score_col))
     return out.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
 
 
