@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, lower_ascii
+from quire.llm.common import SMALL, SPACES, lower_ascii, materialize
 
 
 def _key(line: Column) -> Column:
@@ -29,8 +29,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``n_dropped`` are replaced.
 
     Only hashes and positions are exploded; each line is 32 bytes in the first shuffle whatever its length. Counting is
-    partial before it shuffles, so a line in a third of all documents costs a row per task. The join that finds the lines
-    to drop is one that adaptive execution can split. Texts shuffle once, to meet their dropped positions.
+    partial before it shuffles, so a line in a third of all documents costs a row per task. The keys to drop are written and
+    counted: up to a million go to every task, more meet the lines by a shuffle. Texts shuffle once, to meet their dropped
+    positions.
     """
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
@@ -39,6 +40,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     seen = rows.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
     common = seen.groupBy("h1", "h2").agg(F.count("_id").alias("_n"), F.max("_id").alias("_keep")).filter(F.col("_n") >= min_docs).select("h1", "h2", "_keep")
+    common = materialize(common)
+    if common.count() <= SMALL:
+        common = F.broadcast(common)  # 24 bytes a row; beyond, a shuffled join that adaptive execution can split
 
     drops = rows.join(common, ["h1", "h2"]).filter(~F.col("_id").eqNullSafe(F.col("_keep")))
     drops = drops.groupBy("_id").agg(F.collect_set("pos").alias("_drops"))
