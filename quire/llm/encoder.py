@@ -22,7 +22,7 @@ def default_tokenizer() -> str:
 
 
 #: Words after which a worker's table keeps only those in use.
-_KEEP = 800_000
+_KEEP = 300_000
 
 
 class Encoder:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import SMALL, materialize, shuffle_partitions
 from quire.llm.components import components
 from quire.llm.signature_tree import bitmap, common, link, link_any, width
-from quire.llm.words import mix, shingles
+from quire.llm.words import mix, shingles, with_ids
 
 #: Hash buckets whose counts order the tokens: 1 MB whatever the corpus.
 BUCKETS = 1 << 18
@@ -49,11 +49,11 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for b in batches:
-            sets = [shingles(t, n) for t in b.column(1).to_pylist()]
+        for ids, texts in ((ids, texts) for b in batches for ids, texts in with_ids(b)):
+            sets = [shingles(t, n) for t in texts]
             total += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s, width(len(s))).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.nulls(len(sets), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, *cols, pa.nulls(len(sets), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary, counts binary")

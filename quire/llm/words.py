@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 
@@ -44,3 +45,11 @@ def in_slices(texts: list, chars: int = 4_000_000) -> Iterator[list]:
             out, size = [], 0
     if out:
         yield out
+
+
+def with_ids(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
+    """A batch of (id, text) in slices, so that a task's arrays stay small."""
+    at = 0
+    for part in in_slices(b.column(1).to_pylist()):
+        yield b.column(0).slice(at, len(part)), part
+        at += len(part)
