@@ -209,7 +209,7 @@ def r53(spark: SparkSession, d: str) -> DataFrame:
 def r53b(spark: SparkSession, d: str) -> DataFrame:
     paras = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block", "p"))
     lines = paras.select("doc_id", "block", F.posexplode(helpers.wrap_text(F.col("p"))).alias("k", "t"))
-    lines = lines.select("doc_id", (F.col("block") * 1_000_000 + F.col("k")).cast("long").alias("pos"), "block", "t", F.lit(False).alias("keep"))
+    lines = lines.select("doc_id", (F.col("block").cast("long") * 1_000_000 + F.col("k")).alias("pos"), "block", "t", F.lit(False).alias("keep"))
     return helpers.assign_pages(lines, doc="doc_id", pos="pos", text="t", block="block", keep="keep")
 
 
