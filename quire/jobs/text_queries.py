@@ -98,7 +98,7 @@ def r65(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r65_charref")
 def r65b(spark: SparkSession, d: str) -> DataFrame:
-    return _first_line(spark, d).select("doc_id", helpers.charref(F.col("line")).alias("t"))
+    return table(spark, d, "documents").select("doc_id", helpers.charref(F.coalesce("text", F.lit(""))).alias("t"))
 
 
 @query("r66_expand_unicode", r"""
@@ -111,7 +111,7 @@ def r66(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r66_character_names")
 def r66b(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", helpers.character_names(F.substring("text", 1, 5)).alias("names"))
+    return table(spark, d, "documents").select("doc_id", helpers.character_names(F.col("text")).alias("names"))
 
 
 @query("r67_bcp14_terms", r"""
