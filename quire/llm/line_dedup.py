@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SMALL, SPACES, lower_ascii, materialize
+from quire.llm.common import SMALL, SPACES, hash128, lower_ascii, materialize
 
 
 def _key(line: Column) -> Column:
@@ -25,8 +25,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Null or empty texts are one empty line, and come back as ''. Rows of one id count as one document: a key in two of
     them counts once, and the largest id keeps its lines in all its rows. A null id never counts towards a key's documents
-    and loses the lines of every dropped key. All other columns pass through; columns of ``docs`` named ``n_lines`` or
-    ``n_dropped`` are replaced.
+    and loses the lines of every dropped key. Rows of one id may differ in text: each loses its own lines, found by the id
+    and a 128-bit hash of the text. All other columns pass through; columns of ``docs`` named ``n_lines`` or ``n_dropped``
+    are replaced.
 
     Only hashes and positions are exploded; each line is 32 bytes in the first shuffle whatever its length. Counting is
     partial before it shuffles, so a line in a third of all documents costs a row per task. The keys to drop are written and
@@ -35,8 +36,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    hashed = docs.select(F.col(id_col).alias("_id"), F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(F.length(F.btrim(x, F.lit(SPACES))) >= min_chars, _hashed(_key(x))).alias("k"))).alias("_l"))
-    rows = hashed.select("_id", F.explode(F.filter("_l", lambda x: x["k"].isNotNull())).alias("_l")).select("_id", "_l.pos", "_l.k.h1", "_l.k.h2")
+    hashed = docs.select(F.col(id_col).alias("_id"), hash128(text_col).alias("_t"), F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(F.length(F.btrim(x, F.lit(SPACES))) >= min_chars, _hashed(_key(x))).alias("k"))).alias("_l"))
+    rows = hashed.select("_id", "_t", F.explode(F.filter("_l", lambda x: x["k"].isNotNull())).alias("_l")).select("_id", F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b"), "_l.pos", "_l.k.h1", "_l.k.h2")
 
     seen = rows.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
     common = seen.groupBy("h1", "h2").agg(F.count("_id").alias("_n"), F.max("_id").alias("_keep")).filter(F.col("_n") >= min_docs).select("h1", "h2", "_keep")
@@ -45,10 +46,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         common = F.broadcast(common)  # 24 bytes a row; beyond, a shuffled join that adaptive execution can split
 
     drops = rows.join(common, ["h1", "h2"]).filter(~F.col("_id").eqNullSafe(F.col("_keep")))
-    drops = drops.groupBy("_id").agg(F.collect_set("pos").alias("_drops"))
+    drops = drops.groupBy("_id", "_a", "_b").agg(F.collect_set("pos").alias("_drops"))
 
     nothing = F.array().cast("array<int>")
-    out = docs.select(*rest, F.col(text_col).alias("_text"), F.col(id_col).alias("_key")).join(drops, F.col("_key").eqNullSafe(F.col("_id")), "left")
+    out = docs.select(*rest, F.col(text_col).alias("_text"), F.col(id_col).alias("_key"), hash128(text_col).alias("_t"))
+    out = out.join(drops, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_t.a") == F.col("_a")) & (F.col("_t.b") == F.col("_b")), "left")
     lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
     out = out.withColumn("_lines", lines).withColumn("_drops", F.coalesce("_drops", nothing))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))

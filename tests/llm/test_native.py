@@ -40,6 +40,14 @@ def test_line_dedup_all_lines_gone(spark):
     assert got == {0: ("", 1), 1: ("", 1), 2: ("", 1), 3: (t, 0)}
 
 
+def test_line_dedup_rows_of_one_id(spark):
+    """Rows that share an id, or have none, but differ in text: each loses its own lines only."""
+    line = "a line that many documents hold"
+    rows = [(1, line), (2, line), (9, line), (None, f"{line}\nown A"), (None, f"own B\n{line}"), (5, f"{line}\nfive"), (5, f"other\nmore\n{line}")]
+    got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(1, "", 1, 1), (2, "", 1, 1), (9, line, 1, 0), (None, "own A", 2, 1), (None, "own B", 2, 1), (5, "five", 2, 1), (5, "other\nmore", 3, 1)}
+
+
 def brute_windows(text, items, n=10):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")))
     w, hit, found = words(text), set(), set()
