@@ -5,11 +5,12 @@ over the known tokens and gives the other half to one token that stands for all
 token is the context of a restaurant of its own. A restaurant's customers are the tokens that follow its context; each of
 its tables is one customer of the shared restaurant.
 
-What is large is counted, not modelled: a pair of tokens gets seats in its context's restaurant if it makes up at least
-``pair_share`` of all pairs, and tokens of at least ``head_share`` can be in such pairs. Customers of rarer pairs are
-served by the shared restaurant, and the context gives it that share of its mass. Such pairs and tokens number at most
-1 / share whatever the corpus, so their tables can go to every task; counts of all other tokens grow with the corpus and
-are joined by a shuffle.
+Every pair of consecutive tokens that occurs has a seat in its context's restaurant, and every token is a context: pairs
+and tokens are tables that grow with the corpus, partitioned and joined by shuffles. A sweep seats pairs in tasks, given
+their context's tables and their word's shared probability, which are joined to them, and writes the new tables. A pair
+that occurs once is one customer at one table in every sweep, so it is counted and not drawn again. Only for speed, the
+pairs of at least ``pair_share`` of all, both tokens of at least ``head_share``, also go to every task that scores; a text's
+other pairs meet the table of pairs.
 
 Gibbs. A sweep takes all customers of a dish in a restaurant off their tables and seats them again one after the other,
 given the tables of the other dishes and the shared restaurant's current probabilities; then the shared restaurant is
@@ -25,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_fold, materialize
-from quire.llm.words import in_slices, with_ids, word_hashes
+from quire.llm.common import crc_fold, materialize, scratch
+from quire.llm.words import in_slices, mix, with_ids, word_hashes
 
 #: Characters counted at once, before counts shuffle.
 COUNTED = 16_000_000
@@ -78,7 +79,7 @@ def seat(key: np.ndarray, customers: np.ndarray, others: np.ndarray, base: np.nd
 
 @dataclass
 class Model:
-    """What every task needs: bounded by 1 / ``head_share`` tokens and 1 / ``pair_share`` pairs."""
+    """Where the tables of all tokens and pairs are, and the frequent ones that every scoring task has at hand."""
 
     n: int  # training tokens
     v: int  # different ones
@@ -89,9 +90,9 @@ class Model:
     weights: list[tuple[float, float, float, float]]  # per sample: d, theta, tables, customers of the shared restaurant
     pair: np.ndarray  # sorted context * len(head) + token
     seated: np.ndarray  # samples x pair: probability left in the context's restaurant
-    down: np.ndarray  # samples x (head + 1): mass that a context gives to the shared restaurant; the last for rare contexts
-    least: int = 0  # count from which a token is in head
-    seats: tuple[tuple[float, int, float, float], ...] = ()  # per sample: what the rare tokens' tables were drawn with
+    down: np.ndarray  # samples x head: mass that a context gives to the shared restaurant
+    pairs: str = ""  # path of all pairs: u, w, p (mean probability), cw (count of w)
+    tokens: str = ""  # path of all tokens: h, c, and for each sample m (as a context, given to the shared restaurant), q (probability there)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index into ``head``, or its length for others."""
@@ -101,7 +102,7 @@ class Model:
         return np.where(ok, i, len(self.head))
 
     def rare(self, count: np.ndarray, tables: np.ndarray, sample: int) -> np.ndarray:
-        """Probability in the shared restaurant of tokens outside ``head``."""
+        """Probability in the shared restaurant of tokens of such counts and tables."""
         d, theta, all_tables, all_customers = self.weights[sample]
         return (count - d * tables + (theta + d * all_tables) * 0.5 / max(self.v, 1)) / (theta + all_customers)
 
@@ -118,21 +119,38 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _count_pairs(docs: DataFrame, head: np.ndarray, text_col: str) -> DataFrame:
-    """``pair``, ``c``: pairs of consecutive tokens of ``head``; the first word of a text follows END."""
-    shared, finder = docs.sparkSession.sparkContext.broadcast(head), Model.find
+def count_pairs(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``u``, ``w``, ``c``: every pair of consecutive tokens and its count; the first word of a text follows END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        m = Model(0, 0, table, *[None] * 7)
         for part in (p for b in batches for p in in_slices(b.column(0).to_pylist(), COUNTED)):
-            w = finder(m, tokens(part)[0])
-            u = np.concatenate([[np.searchsorted(table, np.uint64(END))], w[:-1]]).astype(np.int64)  # what ends one text precedes the next
-            both = (w < len(table)) & (u < len(table))
-            p, c = np.unique(u[both] * len(table) + w[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c)], ["pair", "c"])
+            known, w = np.unique(tokens(part)[0], return_inverse=True)
+            u = np.concatenate([[np.searchsorted(known, np.uint64(END))], w[:-1]]).astype(np.int64)  # what ends one text precedes the next
+            p, c = np.unique(u * len(known) + w, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(known[p // len(known)].view(np.int64)), pa.array(known[p % len(known)].view(np.int64)), pa.array(c)], ["u", "w", "c"])
 
-    return docs.select(text_col).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return docs.select(text_col).mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+
+
+def _stored(df: DataFrame) -> str:
+    """The path of the rows, written to the shared folder."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """A sweep's tables go when the next one's are written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _by_token(pairs: DataFrame, as_context: dict[str, Column], as_word: dict[str, Column]) -> DataFrame:
+    """``h`` and sums over the pairs with it as their context, and over those with it as their word. Partial before it shuffles."""
+    zero, names = F.lit(0).cast("long"), [*as_context, *as_word]
+    one = F.struct(F.col("u").alias("h"), *[c.cast("long").alias(k) for k, c in as_context.items()], *[zero.alias(k) for k in as_word])
+    two = F.struct(F.col("w").alias("h"), *[zero.alias(k) for k in as_context], *[c.cast("long").alias(k) for k, c in as_word.items()])
+    return pairs.select(F.explode(F.array(one, two)).alias("x")).select("x.*").groupBy("h").agg(*[F.sum(k).alias(k) for k in names])
 
 
 def train(docs: DataFrame, *, text_col: str = "text", head_share: float = 1e-5, pair_share: float = 1e-6, burn_in: int = 2, samples: int = 3, d: float = 0.75, theta: float = 1.0) -> tuple[Model, DataFrame]:
@@ -140,160 +158,163 @@ def train(docs: DataFrame, *, text_col: str = "text", head_share: float = 1e-5,
 
     Null and empty texts are one END each. Without rows the model knows no token: everything is unknown. ``d`` and
     ``theta`` are the contexts' discount and strength; the shared restaurant's discount is n1 / (n1 + 2 n2), from the
-    numbers of tokens seen once and twice. Three passes over the texts in all, one of them for scoring.
+    numbers of tokens seen once and twice. Three passes over the texts in all, one of them for scoring. ``head_share`` and
+    ``pair_share`` say which tokens and pairs scoring tasks have at hand, never which are in the model.
     """
     spark = docs.sparkSession
     counts = materialize(count_tokens(docs, text_col=text_col))
     r = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     n, v = r["n"] or 0, r["v"]
     d1, theta1 = min(0.95, max(0.05, (r["n1"] + 1) / (r["n1"] + 2 * r["n2"] + 2))), 1.0
+    base = 0.5 / max(v, 1)
+
+    all_pairs = materialize(count_pairs(docs, text_col=text_col))
+    single = F.col("c") == 1
+    sums = _by_token(all_pairs, {"tu": F.lit(1), "su": single}, {"sw": single})
+    state = _stored(counts.join(sums, "h", "left").na.fill(0, ["tu", "su", "sw"]).withColumn("q", F.col("c") / max(n, 1)))
+    now = _stored(all_pairs.filter(~single).select("u", "w", "c", F.lit(1).cast("long").alias("t")))  # every dish at one table
+
+    all_tables, weights = float(v), []
+    for sweep in range(burn_in + samples):
+        kept = sweep - burn_in
+        at = spark.read.parquet(state)
+        rows = spark.read.parquet(now).join(at.select(F.col("h").alias("u"), "tu"), "u").join(at.select(F.col("h").alias("w"), "q"), "w")
+        were = [f"t{s}" for s in range(kept)]
+        columns = ["u", "w", "c", "t", *were, *([f"t{kept}"] if kept >= 0 else [])]
+        drawn = _stored(rows.select("u", "w", "c", "t", *were, "tu", "q").mapInArrow(_seat_pairs(d, theta, sweep, columns), ", ".join(f"{c} long" for c in columns)))
+        sums = _by_token(spark.read.parquet(drawn), {"du": F.col("t")}, {"dw": F.col("t")})
+        held = at.drop("tu", "q").join(sums, "h", "left").na.fill(0, ["du", "dw"])
+        held = held.withColumn("tu", F.col("su") + F.col("du")).withColumn("served", F.col("sw") + F.col("dw")).drop("du", "dw")
+        names = held.columns
+        tabled = _stored(held.mapInArrow(_seat_shared(all_tables, base, d1, theta1, sweep), ", ".join(f"{c} {k}" for c, k in held.dtypes) + ", a double"))
+        shared = spark.read.parquet(tabled)
+        total = shared.agg(F.sum("a").alias("a"), F.sum("served").alias("s")).first()
+        all_tables, customers = float(total["a"] or 0), float(total["s"] or 0)
+        down = (theta1 + d1 * all_tables) / (theta1 + customers)
+        shared = shared.select(*[c for c in names if c != "served"], ((F.col("served") - d1 * F.col("a")) / (theta1 + customers) + down * base).alias("q"))
+        if kept >= 0:
+            weights.append((d1, theta1, all_tables, customers))
+            shared = shared.withColumn(f"m{kept}", (theta + d * F.col("tu")) / (theta + F.col("c"))).withColumn(f"q{kept}", F.col("q"))
+        old, state = (state, now), _stored(shared)
+        now = drawn
+        for path in (*old, tabled):
+            _drop(spark, path)
+
+    found = spark.read.parquet(state)
+    per = [f"{x}{s}" for s in range(samples) for x in "mq"]
+    table = _stored(found.select("h", "c", *per))
+    token = spark.read.parquet(table)
+    kinds = [f"t{s}" for s in range(samples)]
+    seats = all_pairs.filter(single).select("u", "w", "c", *[F.lit(1).cast("long").alias(t) for t in kinds]).unionByName(spark.read.parquet(now).select("u", "w", "c", *kinds))
+    after = seats.join(token.select(F.col("h").alias("u"), F.col("c").alias("cu"), *[f"m{s}" for s in range(samples)]), "u").join(token.select(F.col("h").alias("w"), F.col("c").alias("cw"), *[f"q{s}" for s in range(samples)]), "w")
+    mean = sum((F.col(f"m{s}") * F.col(f"q{s}") for s in range(samples)), F.lit(0.0)) / samples
+    pairs = _stored(after.select("u", "w", ((F.col("c") - d * sum((F.col(t) for t in kinds), F.lit(0)) / samples) / (theta + F.col("cu")) + mean).alias("p"), "cw"))
+
     least = max(2, int(np.ceil(head_share * n)))
-    rows = counts.filter((F.col("c") >= least) | (F.col("h") == END)).toArrow()  # at most 1 / head_share + 1 rows
-    head = rows["h"].to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64)
+    rows = token.filter((F.col("c") >= least) | (F.col("h") == END)).toArrow()  # at most 1 / head_share + 1 rows
+    column = lambda t, k, kind: t[k].to_numpy().astype(kind) if t.num_rows else np.zeros(0, kind)
+    head = column(rows, "h", np.int64).view(np.uint64)
     order = np.argsort(head)
-    head, head_count = head[order], (rows["c"].to_numpy() if rows.num_rows else np.zeros(0, np.int64))[order]
-    size = len(head)
-
-    kept = _count_pairs(docs, head, text_col).filter(F.col("c") >= max(2, int(np.ceil(pair_share * n)))) if size else spark.createDataFrame([], "pair long, c long")
-    kept = materialize(kept.repartition(spark.sparkContext.defaultParallelism, "pair").sortWithinPartitions("pair"))
-    bounded = kept.toArrow()  # at most 1 / pair_share rows
-    pair, pair_count = (bounded[k].to_numpy().astype(np.int64) if bounded.num_rows else np.zeros(0, np.int64) for k in ("pair", "c"))
+    head, size = head[order], len(head)
+    head_count = column(rows, "c", np.int64)[order]
+    often = seats.filter(F.col("c") >= max(2, int(np.ceil(pair_share * n)))).toArrow()  # at most 1 / pair_share rows
+    model = Model(n, v, head, head_count, np.array([column(rows, f"q{s}", float)[order] for s in range(samples)]), np.array([(theta1 + d1 * a) / (theta1 + k) * 0.5 for _, _, a, k in weights]), weights, None, None, np.array([column(rows, f"m{s}", float)[order] for s in range(samples)]), pairs, table)
+    u, w = (model.find(column(often, k, np.int64).view(np.uint64)) for k in "uw")
+    both = (u < size) & (w < size)
+    pair, c = (u * size + w)[both].astype(np.int64), column(often, "c", np.int64)[both]
     order = np.argsort(pair)
-    pair, pair_count = pair[order], pair_count[order]
-    u, w = (pair // size, pair % size) if size else (pair, pair)
-    sums = lambda at, x: np.bincount(at, weights=x, minlength=size)
-
-    rare = counts.filter((F.col("c") < least) & (F.col("h") != END))
-    tables = np.ones(len(pair))  # every dish at one table
-    all_tables, out = float(v), ([], [], [], [], [])
-    shared = head_count / max(n, 1)
-    for sweep in range(burn_in + samples):
-        tables = _sweep_pairs(kept, pair, tables, sums(u, tables), shared, size, d, theta, sweep)
-        served = head_count - sums(w, pair_count - tables)  # the shared restaurant's customers for each dish of head
-        customers = float(n - pair_count.sum() + tables.sum())
-        base = np.full(size, 0.5 / max(v, 1))
-        at_head = seat(head, served.astype(np.int64), np.full(size, all_tables), base, d1, theta1, sweep)
-        before = all_tables
-        at_rare = rare.mapInArrow(_seat_rare(before, 0.5 / max(v, 1), d1, theta1, [sweep]), "h long, c long, t array<double>").agg(F.sum(F.get("t", F.lit(0)))).first()[0] or 0.0
-        all_tables = float(at_head.sum() + at_rare)
-        down1 = (theta1 + d1 * all_tables) / (theta1 + customers)
-        shared = (served - d1 * at_head) / (theta1 + customers) + down1 * base
-        if sweep >= burn_in:
-            out[0].append(shared)
-            out[1].append(down1 * 0.5)
-            out[2].append((d1, theta1, all_tables, customers, before, sweep))
-            out[3].append((pair_count - d * tables) / (theta + head_count[u]) if size else tables)
-            opened = theta + d * sums(u, tables) + head_count - sums(u, pair_count)
-            out[4].append(np.append(opened / (theta + head_count), 1.0))
-    model = Model(n, v, head, head_count, np.array(out[0]), np.array(out[1]), [x[:4] for x in out[2]], pair, np.array(out[3]), np.array(out[4]), least, tuple((x[4], x[5], x[0], x[1]) for x in out[2]))
+    model.pair = pair[order]
+    left = lambda t: (c - d * column(often, t, np.int64)[both])[order] / (theta + head_count[model.pair // size]) if size else np.zeros(0)
+    model.seated = np.array([left(t) for t in kinds])
+    _drop(spark, state)
+    _drop(spark, now)
     return model, counts
 
 
-def _seat_rare(all_tables: float, base: float, d: float, theta: float, sweeps: list[int]):
+def _seat_shared(all_tables: float, base: float, d: float, theta: float, sweep: int):
+    """``a``: the shared restaurant's tables of each token for the ``served`` tables above it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            h, c = b.column("h").to_numpy(), b.column("served").to_numpy()
             full = np.ones(len(h))
-            t = [seat(h.view(np.uint64), c, full * all_tables, full * base, d, theta, s) for s in sweeps]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.stack(t, axis=1).tolist(), pa.list_(pa.float64()))], ["h", "c", "t"])
+            a = seat(h.view(np.uint64), c, full * all_tables, full * base, d, theta, sweep)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a.astype(np.float64))], [*b.schema.names, "a"])
 
     return run
 
 
-def _sweep_pairs(kept: DataFrame, pair: np.ndarray, tables: np.ndarray, per_context: np.ndarray, shared: np.ndarray, size: int, d: float, theta: float, sweep: int) -> np.ndarray:
-    """One Gibbs sweep over the contexts' restaurants, in tasks; the new tables in the order of ``pair``."""
-    if not len(pair):
-        return tables
-    state = kept.sparkSession.sparkContext.broadcast((pair, tables, per_context, shared))
+def _seat_pairs(d: float, theta: float, sweep: int, names: list[str]):
+    """One Gibbs sweep over the contexts' restaurants: the new tables ``t`` of each pair, and again as a column of their own where they are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_pairs, old, contexts, base = state.value
         for b in batches:
-            p, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            t = old[np.searchsorted(all_pairs, p)]
-            new = seat(p.view(np.uint64), c, contexts[p // size] - t, base[p % size], d, theta, sweep)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(new)], ["pair", "t"])
+            u, w, c, t, tu, q = (b.column(k).to_numpy() for k in ("u", "w", "c", "t", "tu", "q"))
+            key = u.view(np.uint64) * _M + w.view(np.uint64)
+            new = pa.array(seat(key, c, (tu - t).astype(np.float64), q, d, theta, sweep).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([new if k == "t" or k not in b.schema.names else b.column(k) for k in names], names)
 
-    got = kept.mapInArrow(run, "pair long, t double").toArrow()
-    state.unpersist()
-    order = np.argsort(got["pair"].to_numpy())
-    return got["t"].to_numpy()[order]
+    return run
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``base_score``, ``score`` (log10 probabilities) and ``perplexity``, one row for each id.
 
-    Tokens of ``head`` are scored where they are read. The others go as (hash, context, id) to a join with their counts, a
-    fifth or less of all tokens; no text shuffles. Rows of one id are scored together: their counts and scores add up.
-    Null and empty texts are the END token alone.
+    Frequent pairs are scored where they are read. The others go as (id, context, token) to a join with the table of all
+    pairs; those that it lacks go on to the table of tokens, for the context's mass and the token's shared probability. No
+    text shuffles. Rows of one id are scored together: their counts and scores add up. Null and empty texts are the END
+    token alone.
     """
     spark = docs.sparkSession
-    shared, size, floor = spark.sparkContext.broadcast(model), len(model.head), np.log10(max(model.n + model.v + 1, 1))
+    shared, floor = spark.sparkContext.broadcast(model), float(np.log10(max(model.n + model.v + 1, 1)))
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "h", "u", "n_tokens", "n_known", "base_score", "score"]
+    names = ["doc_id", "u", "w", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        size = len(m.head)
+        mean = np.mean([m.down[s][m.pair // size] * m.shared[s][m.pair % size] + m.seated[s] for s in range(len(m.shared))], axis=0) if len(m.pair) else np.zeros(0)
         for ids, part in ((ids, part) for b in batches for ids, part in with_ids(b)):
-            h, sizes = tokens(part)
+            w, sizes = tokens(part)
             starts, doc = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(sizes)), sizes)
-            w = m.find(h)
-            u = np.concatenate([[0], w[:-1]])
-            u[starts] = np.searchsorted(m.head, np.uint64(END)) if size else 0
-            known = w < size
-            p = np.zeros(len(h))
-            if size:
-                wk, uk = w[known], u[known]
-                key, ctx = uk * size + wk, uk < size
-                at = np.minimum(np.searchsorted(m.pair, key), max(len(m.pair) - 1, 0))
-                hit = ctx & (m.pair[at] == key) if len(m.pair) else np.zeros(len(key), bool)
-                mean = np.zeros(len(key))
-                for s in range(len(m.shared)):
-                    q = m.down[s][uk] * m.shared[s][wk]
-                    q[hit] += m.seated[s][at[hit]]
-                    mean += q
-                p[known] = np.log10(mean / len(m.shared))
-            base = np.zeros(len(h))
-            if size:
-                base[known] = np.log10(m.head_count[w[known]] + 1) - floor
+            u = np.concatenate([_END, w[:-1]])  # what ends one text precedes the next
+            hit, p, base = np.zeros(len(w), bool), np.zeros(len(w)), np.zeros(len(w))
+            if len(m.pair):
+                wk = m.find(w)
+                uk = np.concatenate([[np.searchsorted(m.head, np.uint64(END))], wk[:-1]])
+                key = uk * size + wk
+                at = np.minimum(np.searchsorted(m.pair, key), len(m.pair) - 1)
+                hit = (uk < size) & (wk < size) & (m.pair[at] == key)
+                p[hit] = np.log10(mean[at[hit]])
+                base[hit] = np.log10(m.head_count[wk[hit]] + 1) - floor
             add = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
-            per = [pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.array(sizes), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(p))]
-            yield pa.RecordBatch.from_arrays([ids, *per], names)
-            rest = np.flatnonzero(~known)
+            spread = pa.array(mix(np.arange(len(sizes), dtype=np.uint64) + w[starts]).view(np.int64))  # rows without a pair to look up are dealt evenly
+            yield pa.RecordBatch.from_arrays([ids, spread, spread, pa.array(sizes), pa.array(add(hit.astype(np.int64))), pa.array(add(base)), pa.array(add(p))], names)
+            rest = np.flatnonzero(~hit)
             none = [pa.nulls(len(rest), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[rest])), pa.array(h[rest].view(np.int64)), pa.array(u[rest].astype(np.int32)), *none], names)
-
-    parts = src.mapInArrow(run, f"doc_id {kind}, h long, u int, n_tokens long, n_known long, base_score double, score double")
-    spread = F.coalesce("h", F.xxhash64("doc_id"))  # rows without a token to look up are dealt evenly
-    parts = parts.withColumn("k", spread)
-
-    seats, n, v = model.seats, model.n, model.v
-    table = counts.filter((F.col("c") < model.least) & (F.col("h") != END))
-
-    def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            full, q = np.ones(len(h)), []
-            for s, (before, sweep, d1, theta1) in enumerate(seats):
-                q.append(m.rare(c, seat(h.view(np.uint64), c, full * before, full * (0.5 / max(v, 1)), d1, theta1, sweep), s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, q)], ["k", "c", *[f"q{s}" for s in range(len(q))]])
-
-    k = len(seats)
-    table = table.mapInArrow(probabilities, "k long, c long, " + ", ".join(f"q{s} double" for s in range(k)))
-    mass = pa.table({"u": pa.array(range(size + 1), pa.int32()), **{f"m{s}": model.down[s] for s in range(k)}}).to_pandas()
-    mass = F.broadcast(spark.createDataFrame(mass, "u int, " + ", ".join(f"m{s} double" for s in range(k))))  # 1 / head_share + 2 rows at most
-    joined = parts.join(table, "k", "left").join(mass, "u", "left")
-    lookup = F.col("h").isNotNull()
-    p = sum((F.col(f"m{s}") * F.coalesce(F.col(f"q{s}"), F.lit(float(model.unknown[s]))) for s in range(k)), F.lit(0.0)) / k
-    rows = joined.select(
-        "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-        F.when(lookup, F.col("c").isNotNull().cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(lookup, F.log10(F.coalesce("c", F.lit(0)) + 1) - float(floor)).otherwise(F.col("base_score")).alias("base_score"),
-        F.when(lookup, F.log10(p)).otherwise(F.col("score")).alias("score"),
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[rest])), pa.array(u[rest].view(np.int64)), pa.array(w[rest].view(np.int64)), *none], names)
+
+    parts = src.mapInArrow(run, f"doc_id {kind}, u long, w long, n_tokens long, n_known long, base_score double, score double")
+    met = parts.join(spark.read.parquet(model.pairs), ["u", "w"], "left")
+    lookup = F.col("n_tokens").isNull()
+    miss = lookup & F.col("p").isNull()
+    word = lambda c: F.log10(F.coalesce(c, F.lit(0)) + 1) - floor
+    met = met.select(
+        "doc_id", F.when(miss, F.col("u")).alias("u"), F.when(miss, F.col("w")).alias("w"), F.when(miss, 1).otherwise(0).cast("long").alias("n"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+        F.when(lookup, F.col("p").isNotNull().cast("long")).otherwise(F.col("n_known")).alias("n_known"),
+        F.when(miss, 0.0).when(lookup, word(F.col("cw"))).otherwise(F.col("base_score")).alias("base_score"),
+        F.when(miss, 0.0).when(lookup, F.log10("p")).otherwise(F.col("score")).alias("score"),
     )
-    out = rows.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    totals = ("n_tokens", "n_known", "base_score", "score")
+    met = materialize(met.groupBy("doc_id", "u", "w").agg(*[F.sum(c).alias(c) for c in ("n", *totals)]))  # pairs found are a row for each id
+
+    token, k = spark.read.parquet(model.tokens), len(model.unknown)
+    left = met.filter("n > 0").select("doc_id", "u", "w", "n")
+    left = left.join(token.select(F.col("h").alias("u"), *[f"m{s}" for s in range(k)]), "u", "left").join(token.select(F.col("h").alias("w"), "c", *[f"q{s}" for s in range(k)]), "w", "left")
+    p = sum((F.coalesce(F.col(f"m{s}"), F.lit(1.0)) * F.coalesce(F.col(f"q{s}"), F.lit(float(model.unknown[s]))) for s in range(k)), F.lit(0.0)) / k
+    left = left.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), (F.col("c").isNotNull().cast("long") * F.col("n")).alias("n_known"), (word(F.col("c")) * F.col("n")).alias("base_score"), (F.log10(p) * F.col("n")).alias("score"))
+    out = met.filter("n = 0").select("doc_id", *totals).unionByName(left).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in totals])
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

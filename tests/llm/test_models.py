@@ -80,6 +80,34 @@ def test_lm_probabilities_add_up(spark):
     assert len(head) == size
 
 
+def test_lm_seats_every_pair(spark):
+    """Pairs and contexts of any count have restaurants of their own, whatever scoring tasks have at hand."""
+    texts = ["a b c", "a b", "x y", "b a", "x y z", "rare one"] * 2 + ["once seen", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    want = {}
+    for t in texts:
+        w = (t or "").split() + [None]
+        for pair in zip([None, *w[:-1]], w, strict=True):
+            want[pair] = want.get(pair, 0) + 1
+    code = lambda x: lm.END if x is None else int(lm.word_hashes(x).view(np.int64)[0])
+    want = {(code(u), code(w)): n for (u, w), n in want.items()}
+    assert {(r.u, r.w): r.c for r in lm.count_pairs(docs).collect()} == want
+    out = []
+    for share in (1e-9, 0.2, 2.0):
+        model, counts = lm.train(docs, head_share=share, pair_share=share)
+        pairs = {(r.u, r.w): r for r in spark.read.parquet(model.pairs).collect()}
+        token = {r.h: r for r in spark.read.parquet(model.tokens).collect()}
+        assert set(pairs) == set(want)
+        for u in token:  # all words after a context, and the unknown one
+            p = [pairs[u, w].p if (u, w) in pairs else sum(token[u][f"m{s}"] * token[w][f"q{s}"] for s in range(3)) / 3 for w in token]
+            assert sum(p) + sum(token[u][f"m{s}"] * float(model.unknown[s]) for s in range(3)) / 3 == pytest.approx(1, abs=1e-9)
+        got = {r.doc_id: r.score for r in lm.score(docs, model, counts).collect()}
+        once = [None, "once", "seen", None]
+        assert got[12] == pytest.approx(sum(math.log10(pairs[code(u), code(w)].p) for u, w in zip(once[:-1], once[1:], strict=True)))
+        out.append(got)
+    assert out[0] == pytest.approx(out[1]) and out[0] == pytest.approx(out[2])
+
+
 def test_lm_empty(spark):
     none = spark.createDataFrame([], DOCS)
     model, counts = lm.train(none)
