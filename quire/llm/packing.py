@@ -55,7 +55,8 @@ def pack(lengths: DataFrame, *, capacity: int = 4096, max_per_source: int = 2, g
 
     A document longer than ``capacity`` is cut into full pieces and a rest; each is placed, so nothing is truncated. Tokens
     [doc_start, doc_start + n_tokens) of the document are at bin_start of its bin. Pieces meet in groups of about ``group``
-    documents by a hash of id and piece, longest first (then by id and piece); bins never span groups, which costs less
+    documents by a hash of id, piece, length, source and cluster (so rows of one id, or of none, meet only where all of
+    these are equal), longest first (then by id and piece); bins never span groups, which costs less
     than a bin for each group. One shuffle of a few numbers a piece; a task holds one group at a time.
 
     Null and negative lengths count as 0, and documents of length 0 are placed too. Null sources or clusters conflict with
@@ -67,8 +68,8 @@ def pack(lengths: DataFrame, *, capacity: int = 4096, max_per_source: int = 2, g
     src = lengths.select(F.col(id_col).alias("doc_id"), n.alias("n"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
     pieces = src.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", "source", "cluster", (F.col("piece") * capacity).alias("doc_start"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_tokens"))
-    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)))
+    pieces = pieces.select("doc_id", "piece", "n", "source", "cluster", (F.col("piece") * capacity).alias("doc_start"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_tokens"))
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "n", "source", "cluster"), F.lit(n_groups))).drop("n")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

@@ -260,6 +260,17 @@ def test_pack_places_everything(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_pack_groups_rows_of_one_id(spark):
+    """Rows without an id, or of one id, are dealt to groups as others are."""
+    rows = [(None if i % 2 else 7, 10 + i % 50, f"s{i % 9}", i) for i in range(2000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster long"), capacity=128, group=100).collect()
+    groups: dict = {}
+    for r in got:
+        groups[r.bin_id // packing.BINS] = groups.get(r.bin_id // packing.BINS, 0) + 1
+    assert len(got) == 2000 and sum(r.n_tokens for r in got) == sum(r[1] for r in rows)
+    assert len(groups) == 20 and max(groups.values()) < 200
+
+
 def test_shingles_of_few_words():
     assert len(shingles(None, 3)) == 0 and len(shingles(" \n", 3)) == 0 and len(shingles("a b", 3)) == 1
     assert (shingles("A b", 3) == shingles("a\tB", 3)).all() and len(shingles("a b a b a b", 2)) == 2
