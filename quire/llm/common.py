@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import string
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.jobs.folders import shared_folder
+
 #: What the contracts call white space: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows up to which a table that was written and counted is broadcast.
@@ -30,27 +33,44 @@ def hash128(*cols: Column | str) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(0x51ED27), *cols).alias("b"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-quire-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder; nothing is there yet."""
-    return f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct, ``row``, beside columns of an operator's own: no name of a user's can clash with those."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def stored(df: DataFrame) -> str:
+    """The path of the rows, written as Parquet to the shared folder."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a path that :func:`scratch` gave."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of about ``size`` for jobs that run inside: buffers outside the heap stay small where rows are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def shuffle_partitions(df: DataFrame) -> int:

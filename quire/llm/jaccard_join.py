@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SMALL, materialize, shuffle_partitions
+from quire.llm.common import SMALL, boxed, materialize, shuffle_partitions
 from quire.llm.components import components
 from quire.llm.signature_tree import bitmap, common, link, link_any, width
-from quire.llm.words import mix, shingles, with_ids
+from quire.llm.words import bounds, mix, runs, shingles, with_ids
 
 #: Hash buckets whose counts order the tokens: 1 MB whatever the corpus.
 BUCKETS = 1 << 18
@@ -71,7 +71,8 @@ def _bucket_counts(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "c"])
 
     tasks = rows.filter(F.col("counts").isNotNull()).select("counts")
-    got = tasks.coalesce(8).mapInArrow(run, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # BUCKETS rows at most
+    # a task adds up hundreds of these rows, so that what shuffles is far less than they are
+    got = tasks.coalesce(max(8, tasks.count() // 256)).mapInArrow(run, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, dtype=np.int64)
     if got.num_rows:
         counts[got["bucket"].to_numpy()] = got["c"].to_numpy()
@@ -100,49 +101,16 @@ def _prefixes(docs: DataFrame, bucket_counts: np.ndarray, n: int, num: int, den:
     return docs.select("text").mapInArrow(run, "token long, id long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[pa.RecordBatch]:
-    """Batches of sorted rows, cut so that rows with equal first ``n_keys`` columns are in one batch."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        change = np.zeros(b.num_rows - 1, dtype=bool)
-        for c in b.columns[:n_keys]:
-            v = c.to_numpy(zero_copy_only=False)
-            change |= v[1:] != v[:-1]
-        at = np.flatnonzero(change)
-        goes_on = bool(held) and all(held[-1].column(i)[-1] == b.column(i)[0] for i in range(n_keys))
-        if held and not goes_on:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-        if len(at):
-            cut = int(at[-1]) + 1
-            yield from pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def _bounds(keys: list[np.ndarray]) -> np.ndarray:
-    """Where runs of equal keys begin, and the end."""
-    change = np.zeros(len(keys[0]) - 1, dtype=bool)
-    for v in keys:
-        change |= v[1:] != v[:-1]
-    return np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]])
-
-
 def _blocks(prefixes: DataFrame) -> DataFrame:
     """``block``, ``id``: the members of every block of two nodes or more. Blocks are named by their members, so equal ones merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in _runs(batches):
+        for b in runs(batches):
             token, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             new = np.append(True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]))
             token, ids = token[new], ids[new]
-            at = _bounds([token])
+            at = bounds([token])
             size = np.diff(at)
             name = np.add.reduceat(mix(ids.view(np.uint64)), at[:-1]).view(np.int64)
             fresh = np.zeros(len(size), dtype=bool)
@@ -162,12 +130,12 @@ def _coarse(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """``a``, ``b``: links between the reps of nodes that bitmaps and sizes allow, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches):
+        for b in runs(batches):
             block, ids, rep, n = (b.column(i).to_numpy() for i in range(4))
             sig = b.column(4).to_pylist()
             new = np.append(True, (block[1:] != block[:-1]) | (ids[1:] != ids[:-1]) | (rep[1:] != rep[:-1]))
             block, rep, n, sig = block[new], rep[new], n[new], [sig[i] for i in np.flatnonzero(new)]
-            at, out = _bounds([block]), []
+            at, out = bounds([block]), []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 out += [(rep[i + x], rep[i + y]) for x, y in link_any(n[i:j], sig[i:j], num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
@@ -180,8 +148,8 @@ def _exact(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
     """``a``, ``b``: true links that join the members (``rep``, ``node``, ``grp``, ``x``, ``y``) of each group and pair of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, 3):
-            at, out = _bounds([b.column(i).to_numpy() for i in range(3)]), []
+        for b in runs(batches, 3):
+            at, out = bounds([b.column(i).to_numpy() for i in range(3)]), []
             rep, node, text = b.column(3).to_numpy(), b.column(4), b.column(5)
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 kept, sets, last = [], [], None
@@ -251,10 +219,10 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     found = jaccard_components(docs, **how)
     id_col = how.get("id_col", "doc_id")
-    drop = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_drop")).distinct())
+    drop = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("drop")).distinct())
     if drop.count() <= SMALL:
         drop = F.broadcast(drop)
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    return boxed(docs, id=F.col(id_col).cast("long")).join(drop, F.col("id") == F.col("drop"), "left_anti").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

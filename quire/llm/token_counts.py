@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,19 +12,19 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import materialize
 from quire.llm.encoder import default_tokenizer, encoder
-from quire.llm.words import in_slices
+from quire.llm.words import slices
 
 
 def encoded_lengths(docs: DataFrame, *, tokenizer: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of every row; null and empty texts have 0. No shuffle, texts are not returned."""
     path = tokenizer or default_tokenizer()
-    src = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = src.select(*keep).schema.add("n_tokens", "long")
+    src = docs.select(*keep, F.col(text_col))  # by place, so that names cannot clash
+    schema = docs.select(*keep).schema.add("n_tokens", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            n = pa.array([len(x) // 4 for part in in_slices(b.column(len(keep)).to_pylist()) for x in enc.ids(part)], pa.int64())
+            n = pa.array(np.concatenate([np.zeros(0, np.int64), *[enc.lengths(part) for _, part in slices(b.column(len(keep)))]]))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], [*keep, "n_tokens"])
 
     return src.mapInArrow(count, schema)

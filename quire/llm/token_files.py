@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +21,13 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import shuffle_partitions
 from quire.llm.encoder import default_tokenizer, encoder
-from quire.llm.words import in_slices
+from quire.llm.words import slices
 
 SCHEMA = "shard int, first long, n_ids long, planes int, block int, doc_ids array<long>, doc_lens array<long>, index array<long>, data binary"
 
 
 def pack(ids: bytes, planes: int, block: int) -> tuple[list[int], bytes]:
     """The chunk index and the data of little-endian unsigned 32-bit ids; planes are 32 (bits) or 4 (bytes)."""
-    import numpy as np
     import zstandard
 
     put, parts, index = zstandard.ZstdCompressor(level=3).compress, [], [0]
@@ -43,7 +43,6 @@ def pack(ids: bytes, planes: int, block: int) -> tuple[list[int], bytes]:
 
 def unpack(index: list[int], data: bytes, planes: int, block: int, n_ids: int) -> bytes:
     """The inverse of :func:`pack`."""
-    import numpy as np
     import zstandard
 
     get, out = zstandard.ZstdDecompressor().decompress, []
@@ -84,14 +83,16 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
 
         doc_ids, parts, size = [], [], 0
         for b in batches:
-            encoded = (x for part in in_slices(b.column(1).to_pylist()) for x in enc.ids(part))
-            for i, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
-                doc_ids.append(i)
-                parts.append(ids + end)
-                size += len(parts[-1]) // 4
-                if size >= container:
-                    yield row(doc_ids, parts)
-                    doc_ids, parts, size, first = [], [], 0, first + size
+            for at, part in slices(b.column(1)):
+                ids, n = enc.encode(part)
+                ends = np.cumsum(n).tolist()
+                for i, start, stop in zip(b.column(0).slice(at, len(part)).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                    doc_ids.append(i)
+                    parts.append(ids[start:stop].tobytes() + end)
+                    size += len(parts[-1]) // 4
+                    if size >= container:
+                        yield row(doc_ids, parts)
+                        doc_ids, parts, size, first = [], [], 0, first + size
         if doc_ids:
             yield row(doc_ids, parts)
 

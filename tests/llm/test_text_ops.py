@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from hypothesis import given, settings
@@ -124,6 +125,21 @@ def test_chunks_cover_the_text(text):
     assert (ends[-1] if ends else 0) == len(data) and all(0 < b - a <= fingerprint.GREATEST for a, b in zip([0, *ends], ends, strict=False))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000), st.integers(1, 40))
+def test_chunks_against_a_byte_by_byte_loop(data, repeat):
+    data = (data * repeat)[:9000]
+    gear, ends, start, h = fingerprint._gear().tolist(), [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+        n = i + 1 - start
+        zero = fingerprint.HARD if n < fingerprint.USUAL else fingerprint.EASY
+        if n >= fingerprint.LEAST and (h < 1 << (32 - zero) or n == fingerprint.GREATEST) and i + 1 < len(data) or i + 1 == len(data):
+            ends.append(i + 1)
+            start = i + 1
+    assert fingerprint.chunk_ends(data) == ends
+
+
 def test_chunks_survive_shifts():
     rng = random.Random(0)
     text = " ".join(f"word{rng.randint(0, 10**6)}" for _ in range(800))
@@ -158,6 +174,16 @@ def test_words_encode_as_texts_do(words, gap):
     assert enc.ids([text])[0] == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    enc = encoder.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["The Cat's  naïve\n", None, "", "ABC abc Abc", "x <|endoftext|> y"]
+    assert not enc.by_word and encoder.encoder(encoder.default_tokenizer()).by_word
+    assert enc.ids(texts) == [np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert [len(x) // 4 for x in enc.ids(texts)] == enc.lengths(pa.array(texts, pa.string())).tolist()
+
+
 @pytest.mark.parametrize("planes", [4, 32])
 @pytest.mark.parametrize("n", [0, 1, 7, 64, 65, 1000])
 def test_planes_round_trip(planes, n):
