@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SMALL, SPACES, hash128, lower_ascii, materialize
+from quire.llm.common import SMALL, SPACES, boxed, hash128, lower_ascii, materialize
 
 
 def _key(line: Column) -> Column:
@@ -29,15 +29,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     and a 128-bit hash of the text. All other columns pass through; columns of ``docs`` named ``n_lines`` or ``n_dropped``
     are replaced.
 
-    Only hashes and positions are exploded; each line is 32 bytes in the first shuffle whatever its length. Counting is
+    Only hashes and positions are exploded, and written once: 60 bytes for each line that is long enough. Counting is
     partial before it shuffles, so a line in a third of all documents costs a row per task. The keys to drop are written and
     counted: up to a million go to every task, more meet the lines by a shuffle. Texts shuffle once, to meet their dropped
     positions.
     """
-    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     hashed = docs.select(F.col(id_col).alias("_id"), hash128(text_col).alias("_t"), F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(F.length(F.btrim(x, F.lit(SPACES))) >= min_chars, _hashed(_key(x))).alias("k"))).alias("_l"))
     rows = hashed.select("_id", "_t", F.explode(F.filter("_l", lambda x: x["k"].isNotNull())).alias("_l")).select("_id", F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b"), "_l.pos", "_l.k.h1", "_l.k.h2")
+    rows = materialize(rows)  # texts are split and hashed once; these rows are read twice
 
     seen = rows.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
     common = seen.groupBy("h1", "h2").agg(F.count("_id").alias("_n"), F.max("_id").alias("_keep")).filter(F.col("_n") >= min_docs).select("h1", "h2", "_keep")
@@ -49,7 +49,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     drops = drops.groupBy("_id", "_a", "_b").agg(F.collect_set("pos").alias("_drops"))
 
     nothing = F.array().cast("array<int>")
-    out = docs.select(*rest, F.col(text_col).alias("_text"), F.col(id_col).alias("_key"), hash128(text_col).alias("_t"))
+    out = boxed(docs, _text=F.col(text_col), _key=F.col(id_col), _t=hash128(text_col))
     out = out.join(drops, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_t.a") == F.col("_a")) & (F.col("_t.b") == F.col("_b")), "left")
     lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n", -1)
     out = out.withColumn("_lines", lines).withColumn("_drops", F.coalesce("_drops", nothing))
@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.when(F.size("_drops") == 0, F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     placed = {text_col: text, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_drops").cast("long")}
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
-    return out.select(*[placed[c].alias(c) if c in placed else F.col(c) for c in names])
+    return out.select(*[placed[c].alias(c) if c in placed else F.col("row").getField(c).alias(c) for c in names])
 
 
 def digest(docs: DataFrame) -> DataFrame:
