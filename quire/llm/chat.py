@@ -7,8 +7,8 @@ An event is (conversation, sequence, kind, turn, role, text). Kinds:
 - ``edit``: as ``message``, and all later turns go, for they answered another text
 - ``regenerate``: the turn and all later ones go; ``delta`` events that follow build it anew
 
-The fold needs no loop: a turn begins at its last ``message``, ``edit`` or ``regenerate`` and goes if an earlier turn was
-edited or regenerated after that; what is left of its events joins in sequence.
+The fold needs no loop: events go if an earlier turn was edited or regenerated after them; of those left, a turn begins at
+its last ``message``, ``edit`` or ``regenerate``, or else its first one, and what it has from there joins in sequence.
 """
 
 from __future__ import annotations
@@ -51,11 +51,10 @@ def fold_events(events: DataFrame, *, conv_col: str = "conv_id", seq_col: str =
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).distinct()
     starts, cuts = F.col("kind").isin("message", "edit", "regenerate"), F.col("kind").isin("edit", "regenerate")
-    e = e.withColumn("began", F.max(F.when(starts, F.col("seq"))).over(W.partitionBy("conv_id", "turn")))
-    e = e.withColumn("began", F.coalesce("began", F.min("seq").over(W.partitionBy("conv_id", "turn"))))
     earlier = W.partitionBy("conv_id").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    e = e.withColumn("cut", F.max(F.when(cuts, F.col("seq"))).over(earlier))
-    e = e.filter((F.col("seq") >= F.col("began")) & (F.col("cut").isNull() | (F.col("began") > F.col("cut"))))
+    e = e.withColumn("cut", F.max(F.when(cuts, F.col("seq"))).over(earlier)).filter(F.col("cut").isNull() | (F.col("seq") > F.col("cut")))
+    of_turn = W.partitionBy("conv_id", "turn")
+    e = e.withColumn("began", F.coalesce(F.max(F.when(starts, F.col("seq"))).over(of_turn), F.min("seq").over(of_turn))).filter(F.col("seq") >= F.col("began"))
     part = F.struct("seq", F.when(starts, 0).otherwise(1).alias("o"), "kind", "role", F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text"))
     turns = e.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(part)).alias("p"))
     role = F.coalesce(F.get(F.filter("p", lambda x: x["role"] != ""), F.lit(0))["role"], F.lit(""))
@@ -68,13 +67,14 @@ def render(messages: DataFrame, *, loss_roles: tuple[str, ...] = ("assistant",))
     Takes ``conv_id``, ``turn``, ``role``, ``text`` (as :func:`fold_events` gives them), sorted by turn, then role and
     text. Each turn is ``<|turn|>role<|text|>text<|end|>``, roles and texts escaped; a span covers one turn's escaped text.
     """
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("m"))
-    parts = F.transform("m", lambda x: F.struct(F.concat(F.lit(TURN), escape(x["role"]), F.lit(TEXT)).alias("head"), escape(x["text"]).alias("body"), x["role"].isin(*loss_roles).alias("learn")))
-    convs = convs.select("conv_id", parts.alias("p"))
-    ends = "aggregate(p, struct(0 AS at, cast(array() AS array<struct<start: int, end: int>>) AS spans), (a, x) -> struct(a.at + length(x.head) + length(x.body) + {end} AS at, CASE WHEN x.learn THEN concat(a.spans, array(struct(a.at + length(x.head) AS start, a.at + length(x.head) + length(x.body) AS end))) ELSE a.spans END AS spans), a -> a.spans)"
-    text = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-    return convs.select("conv_id", text.alias("formatted"), F.expr(ends.format(end=len(END))).alias("loss"))
+    m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    m = m.withColumns({"head": F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)), "body": escape(F.col("text"))})
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    m = m.withColumns({"n": F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")), "upto": F.sum(F.length("head") + F.length("body") + len(END)).over(order)})
+    end = (F.col("upto") - len(END)).cast("int")
+    span = F.when(F.col("role").isin(*loss_roles), F.struct((end - F.length("body")).alias("start"), end.alias("end")))
+    convs = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat("head", "body", F.lit(END)).alias("piece"), span.alias("span")))).alias("m"))
+    return convs.select("conv_id", F.array_join(F.col("m.piece"), "").alias("formatted"), F.array_compact(F.col("m.span")).alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
