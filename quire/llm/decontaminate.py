@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SMALL, lower_ascii, materialize
+from quire.llm.common import SMALL, boxed, lower_ascii, materialize
 
 #: Characters that are no part of a word: ASCII without digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,7 +54,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     sorted ids (as text) of the items with an occurring window.
 
     The set of the items' grams is measured first. Up to ``max_set`` of them go with the plan as a hash set that every
-    task probes in place; beyond that every gram's windows are joined with the items' by a shuffle, with the same result.
+    task probes in place; beyond that the texts' gram hashes are joined with the items' (which are broadcast up to a
+    million), and windows are built in a second pass, around hits alone; the result is the same.
 
     Null or empty texts have no words; null items and items without words have no windows. Rows that repeat an id and a
     text are one row here; rows of one id with different texts stay apart.
@@ -63,24 +64,36 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     lengths = sorted(r[0] for r in windows.select("n_words").distinct().collect())  # at most n values
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h1"), F.xxhash64(F.lit(0x51ED27), text_col).alias("_h2"), words_of(F.col(text_col)).alias("w"))
 
-    found, total = [], 0
+    grams = {length: materialize(_grams(windows, length)) for length in lengths}
+    starts = {length: f"CASE WHEN size(w) >= {length} THEN sequence(0, size(w) - {_gram_size(length)}, {length - _gram_size(length) + 1}) ELSE cast(array() AS array<int>) END" for length in lengths}
+    if sum(g.count() for g in grams.values()) <= max_set:
+        for length in lengths:
+            known = ", ".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1L" for x in (r[0] for r in grams[length].collect()))
+            starts[length] = f"filter({starts[length]}, p -> {_gram_hash('w', 'p', _gram_size(length))} IN ({known}))"
+    elif lengths:
+        # 20 bytes for each gram of a text meet the items' grams; only where they hit do windows become strings
+        rows = [base.select("_id", "_h1", "_h2", F.explode(F.expr(f"transform({starts[n]}, p -> struct({n} AS n, p, {_gram_hash('w', 'p', _gram_size(n))} AS g))")).alias("x")).select("_id", "_h1", "_h2", "x.*") for n in lengths]
+        hits = [r.join(F.broadcast(grams[n]) if grams[n].count() <= SMALL else grams[n], "g").select("_id", "_h1", "_h2", "n", "p") for r, n in zip(rows, lengths, strict=True)]
+        every = hits[0]
+        for h in hits[1:]:
+            every = every.unionByName(h)
+        every = materialize(every.groupBy("_id", "_h1", "_h2").agg(F.collect_set(F.struct("n", "p")).alias("_hits")).select(F.col("_id").alias("_i"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), "_hits"))
+        if every.count() <= SMALL:
+            every = F.broadcast(every)
+        base = base.join(every, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_h1").eqNullSafe(F.col("_a")) & F.col("_h2").eqNullSafe(F.col("_b")), "left").drop("_i", "_a", "_b")
+        starts = {n: f"transform(filter(coalesce(_hits, array()), x -> x.n = {n}), x -> x.p)" for n in lengths}
+    found = []
     for length in lengths:
-        g = _gram_size(length)
-        stride = length - g + 1
-        starts = f"CASE WHEN size(w) >= {length} THEN sequence(0, size(w) - {g}, {stride}) ELSE cast(array() AS array<int>) END"
-        grams = [r[0] for r in _grams(windows, length).limit(max_set + 1).collect()]  # measured: at most max_set + 1 longs
-        total += len(grams)
-        if total <= max_set:
-            starts = f"filter({starts}, p -> {_gram_hash('w', 'p', g)} IN ({', '.join(f'{x}L' if x > -(2**63) else '-9223372036854775807L - 1L' for x in grams)}))"
+        stride = length - _gram_size(length) + 1
         around = f"sequence(greatest(p - {stride - 1}, 0), least(p, size(w) - {length}))"
-        found.append(f"flatten(transform({starts}, p -> transform({around}, s -> struct(s AS start, s + {length} AS end, array_join(slice(w, s + 1, {length}), ' ') AS window))))")
+        found.append(f"flatten(transform({starts[length]}, p -> transform({around}, s -> struct(s AS start, s + {length} AS end, array_join(slice(w, s + 1, {length}), ' ') AS window))))")
     none = "cast(array() AS array<struct<start: int, end: int, window: string>>)"
     near = F.expr(f"concat({', '.join(found)})") if found else F.expr(none)
     rows = base.select("_id", "_h1", "_h2", F.size("w").alias("_n"), F.array_distinct(near).alias("_near"))
     rows = rows.select("_id", "_h1", "_h2", "_n", F.explode_outer("_near").alias("_s"))
 
     marked = windows.select(F.col("window").alias("_w"), "items")
-    if windows.limit(max_set + 1).count() <= max_set:
+    if windows.limit(SMALL + 1).count() <= SMALL:
         marked = F.broadcast(marked)
     hit = rows.join(marked, F.col("_s.window") == F.col("_w"), "left")
     span = F.when(F.col("items").isNotNull(), F.struct(F.col("_s.start").alias("start"), F.col("_s.end").alias("end")))
@@ -97,23 +110,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     """
     hits = find_windows(docs, benchmark, id_col=id_col, text_col=text_col, **how).filter(F.col("n_hit") > 0)
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash._h1").alias("_h1"), F.col("text_hash._h2").alias("_h2"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumns({"_k1": F.xxhash64(text_col), "_k2": F.xxhash64(F.lit(0x51ED27), text_col)})
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2"))
+    keyed = boxed(docs, text=F.col(text_col), id=F.col(id_col), k1=F.xxhash64(text_col), k2=F.xxhash64(F.lit(0x51ED27), text_col))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_h1")) & (F.col("k2") == F.col("_h2"))
     if remove == "documents":
         hits = materialize(hits.select("_id", "_h1", "_h2"))
         if hits.count() <= SMALL:
             hits = F.broadcast(hits)  # else texts shuffle to meet it
-        return keyed.join(hits, same, "left_anti").select(*docs.columns)
+        return keyed.join(hits, same, "left_anti").select("row.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     joined = keyed.join(hits, same, "left")
     # a text is a gap (maybe empty), then words each followed by a gap; word i and the gap before it go together
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = f"regexp_extract_all({text_col}, r'([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)({word})', 0)"
-    tail = f"regexp_extract({text_col}, r'[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\z', 0)"
+    pieces = f"regexp_extract_all(text, r'([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)({word})', 0)"
+    tail = f"regexp_extract(text, r'[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\z', 0)"
     gone = "flatten(transform(_spans, s -> sequence(s.start, s.end - 1)))"
     cut = f"concat(array_join(transform(array_except(sequence(0, size({pieces}) - 1), {gone}), i -> get({pieces}, i)), ''), {tail})"
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(cut))).select(*docs.columns)
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(cut))
+    return joined.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
