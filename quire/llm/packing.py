@@ -82,8 +82,13 @@ def pack(lengths: DataFrame, *, capacity: int = 4096, max_per_source: int = 2, g
 
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, **how) -> DataFrame:
-    """:func:`pack` for a table of documents, lengths in tokens; equal texts, but for case and space at the ends, are a cluster."""
+    """:func:`pack` for a table of documents, lengths in tokens; equal texts, but for case and space at the ends, are a cluster.
+
+    Null and empty texts have length 0 and no cluster. Without a column ``source``, no document has one; other columns are
+    not read, whatever their names. An empty table packs to an empty one.
+    """
     from quire.llm.token_counts import encoded_lengths
 
-    keyed = docs.select("doc_id", "source", "text", F.when(F.length("text") > 0, F.xxhash64(F.lower(F.btrim("text")))).alias("cluster"))
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    keyed = docs.select("doc_id", source.alias("source"), "text", F.when(F.length("text") > 0, F.xxhash64(F.lower(F.btrim("text")))).alias("cluster"))
     return pack(encoded_lengths(keyed, tokenizer=tokenizer, keep=("doc_id", "source", "cluster")), n_rows=docs.count(), **how)

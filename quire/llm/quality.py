@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_fold
+from quire.llm.common import boxed, crc_fold
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -153,12 +153,20 @@ def classify(docs: DataFrame, model: RuleModel, *, text_col: str = "text", thres
 
     Null and empty texts are scored by their statistics like any other. Columns of the same names are replaced.
     """
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (score_col, predicted_col)]
+    return _scored(docs, model, text_col).select(*columns, F.col("score").alias(score_col), (F.col("score") >= threshold).cast("int").alias(predicted_col))
+
+
+def _scored(docs: DataFrame, model: RuleModel, text_col: str) -> DataFrame:
     stats = statistics(F.col(text_col))
-    columns = [c for c in docs.columns if c not in (score_col, predicted_col)]
-    out = docs.select(*columns, *[c.cast("double").alias(f"_stat_{n}") for n, c in stats.items()])
-    out = out.select(*columns, F.explode(F.array(F.struct(*[F.col(f"_stat_{n}").alias(n) for n in stats]))).alias("_stats"))
-    out = out.select(*columns, model.score({n: F.col("_stats")[n] for n in stats}).alias(score_col))
-    return out.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
+    out = boxed(docs, **{n: c.cast("double") for n, c in stats.items()})
+    out = out.select("row", F.explode(F.array(F.struct(*stats))).alias("stats"))
+    return out.select("row", model.score({n: F.col("stats")[n] for n in stats}).alias("score"))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns, whatever their names."""
+    return _scored(docs, model, text_col).filter(F.col("score") >= threshold).select("row.*")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest import SF, duck_rows, rows_of
 from pyspark.sql import functions as F
@@ -111,3 +112,60 @@ def test_chat_digest_has_the_probe(spark):
     r = {x.conv_id: x for x in chat.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect()}
     probe = "</s>[INST] ok [/INST]"
     assert list(r) == [-7] and r[-7].n_turns == 2 and r[-7].loss_chars == len(probe) and r[-7].loss_sha256 == hashlib.sha256(probe.encode()).hexdigest()
+
+
+INTERNAL = ["_id", "_key", "_text", "_drops", "_lines", "_t", "_a", "_b", "_h1", "_h2", "_spans", "_k1", "_k2", "_drop", "drop", "_stats", "_keep", "row", "id", "k1", "stats", "log_chars", "node", "rep", "grp", "w", "g", "_hits", "component_id", "n_shingles", "cluster"]
+
+
+def test_names_of_a_users_columns_do_not_clash(spark):
+    """Columns named as an operator's own come back as they were, and nothing else changes."""
+    import corpus_pipeline
+    from quire.llm import jaccard_join, quality
+
+    rows = [(i, f"line number {i} of many, long enough\nthe quick brown fox jumps over the lazy dog again {i % 3}", f"s{i}") for i in range(12)] + [(3, None, None), (None, "", "s")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = plain.select("*", *[F.lit(77).alias(c) for c in INTERNAL])
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again 1")], "item_id long, text string")
+    model = quality.fit_rules(np.random.default_rng(0).random((200, 2)), (np.arange(200) % 2).astype(float), ["log_chars", "upper"])
+    cases = {
+        "lines": line_dedup.dedup_lines, "whole": lambda d: decontaminate.decontaminate(d, items), "spans": lambda d: decontaminate.decontaminate(d, items, remove="spans"),
+        "set": lambda d: decontaminate.decontaminate(d, items, max_set=0), "one": lambda d: jaccard_join.keep_one(d, n=2, num=1, den=2), "score": lambda d: quality.classify(d, model),
+        "good": lambda d: quality.keep_good(d, model, threshold=0.5),
+    } | {f"stage {n}": lambda d, f=f: f(spark, d, SF) for n, f in corpus_pipeline.STAGES[:-1]}
+    for name, f in cases.items():
+        got, want = f(docs), f(plain)
+        assert [c for c in got.columns if c not in INTERNAL] == want.columns, name
+        assert rows_of(got.select(*want.columns)) == rows_of(want), name
+        assert all(set(r) == {77} for r in got.select(*INTERNAL).collect()), name
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert rows_of(packed(spark, docs, SF)) == rows_of(packed(spark, plain, SF))
+    for name, f in cases.items():
+        assert f(docs.limit(0)).count() == 0, name
+
+
+def played(events):
+    """A log applied event by event."""
+    turns = {}
+    for _, kind, turn, role, text in sorted(events):
+        if kind in ("edit", "regenerate"):
+            turns = {t: v for t, v in turns.items() if t <= turn}
+        if kind == "delta" and turn in turns:
+            turns[turn] = (turns[turn][0], turns[turn][1] + text)
+        else:
+            turns[turn] = (role, "" if kind == "regenerate" else text)
+    return turns
+
+
+def test_logs_fold_as_they_play(spark):
+    """Random logs against a plain loop: restarts, edits, answers streamed after an edit, late deltas."""
+    rng, rows, want = random.Random(5), [], {}
+    logs = [[(0, "message", 0, "user", "q"), (1, "delta", 1, "bot", "old"), (2, "delta", 1, "bot", "er"), (3, "edit", 0, "user", "Q"), (4, "delta", 1, "bot", "new"), (5, "delta", 1, "bot", "er")]]
+    for _ in range(150):
+        logs.append([(s, rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate"]), rng.randint(0, 3), rng.choice(["user", "bot"]), rng.choice("abc")) for s in range(rng.randint(1, 14))])
+    for c, log in enumerate(logs):
+        want |= {(c, t): v for t, v in played(log).items()}
+        shuffled = log + rng.sample(log, len(log) // 2)  # delivered twice, out of order
+        rng.shuffle(shuffled)
+        rows += [(c, *e) for e in shuffled]
+    got = chat.fold_events(spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string"))
+    assert {(r.conv_id, r.turn): (r.role, r.text) for r in got.collect()} == want and want[0, 1] == ("bot", "newer")
