@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences: five operators, one after the other.
 
 Each stage takes the table of documents that its predecessor kept and returns such a table; the last returns the packing.
+Columns beyond ``doc_id``, ``text``, ``source`` and ``n_chars`` pass through, whatever their names. Null texts count as empty;
+rows with a null id are kept where a stage decides by id. Rows that repeat are judged alike, and one of an id's rows is
+enough to keep it. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from quire.llm.common import materialize, table
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go; it learns from the labelled documents that are here."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, predicted_col="_keep", score_col="_score").filter("_keep = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
