@@ -102,9 +102,10 @@ def r19(spark: SparkSession, d: str) -> DataFrame:
     return J.resolve_xrefs(x, _ids(spark, d))
 
 
-@query("r20_unresolved_xrefs", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+@query("r20_unresolved_xrefs", "SELECT o_orderkey, target FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS target FROM orders) WHERE target NOT IN (SELECT c_custkey FROM customer)")
 def r20(spark: SparkSession, d: str) -> DataFrame:
-    return J.unresolved(table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").filter("c_custkey % 7 <> 0"), on={"o_custkey": "c_custkey"})
+    target = F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return J.unresolved(table(spark, d, "orders").select("o_orderkey", target.alias("target")), table(spark, d, "customer"), on={"target": "c_custkey"})
 
 
 @query("r21_unused_references", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")

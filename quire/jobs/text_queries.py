@@ -16,10 +16,6 @@ WS = r"[ \t\n\x0B\f\r]"
 FIRST_LINE = "split_part(text, chr(10), 1)"
 
 
-def _first_line(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)).alias("line"))
-
-
 @query("r01_read_corpus", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS n, sha256(text) AS digest FROM documents")
 def r01(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.read_corpus(spark, f"{d}/documents.parquet", fmt="parquet")
@@ -37,14 +33,15 @@ def r33(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r58_slugify", r"""
-SELECT doc_id,
+SELECT doc_id, pos,
   trim(regexp_replace(regexp_replace(lower(trim(l)), '[^\p{L}\p{N}_\s/|@=-]', '', 'g'), '[_\s/|@=-]+', '_', 'g'), '_') AS selector,
   trim(regexp_replace(regexp_replace(lower(trim(l)), '[^\p{L}\p{N}_\s/|-]', '', 'g'), '[_\s/|-]+', '-', 'g'), '-') AS html,
   regexp_replace(lower(trim(regexp_replace(regexp_replace(translate(l, 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_\s/-]', '', 'g'))), '[-\s/]+', '-', 'g') AS name
-FROM (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents)""")
+FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, CAST(generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS BIGINT) AS pos FROM documents)""")
 def r58(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("line")
-    return _first_line(spark, d).select("doc_id", text.slugify(c).alias("selector"), text.slugify(c, "html").alias("html"), text.slugify(c, "name").alias("name"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), text.slugify(c).alias("selector"), text.slugify(c, "html").alias("html"), text.slugify(c, "name").alias("name"))
 
 
 @query("r59_normalize_item_text", r"""
@@ -103,9 +100,9 @@ def r65b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r66_expand_unicode", r"""
 SELECT doc_id, '"' || w || '" (' || array_to_string(list_transform(string_split(w, ''), lambda x: printf('U+%04X', unicode(x))), ' ') || ')' AS t
-FROM (SELECT doc_id, substr(text, 1, 5) AS w FROM documents) WHERE w <> ''""")
+FROM (SELECT doc_id, text AS w FROM documents) WHERE w <> ''""")
 def r66(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 5).alias("w")).filter("w <> ''")
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("w")).filter("w <> ''")
     return rows.select("doc_id", text.expand_unicode(F.col("w")).alias("t"))
 
 
@@ -146,11 +143,11 @@ def r81(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r78_code_blocks", r"""
-WITH t AS (SELECT doc_id, '<CODE BEGINS> file "f' || doc_id || '.c"' || chr(10) || substr(text, 1, 40) || chr(10) || '<CODE ENDS>' || (CASE WHEN doc_id % 5 = 0 THEN ' more' ELSE '' END) AS t FROM documents)
+WITH t AS (SELECT doc_id, '<CODE BEGINS> file "f' || doc_id || '.c"' || chr(10) || text || chr(10) || '<CODE ENDS>' || (CASE WHEN doc_id % 5 = 0 THEN ' more' ELSE '' END) AS t FROM documents)
 SELECT doc_id, regexp_extract(t, '(?s)<CODE BEGINS>(?: file "([^"]*)")?\n(.*?)\n?<CODE ENDS>', 1) AS file, regexp_extract(t, '(?s)<CODE BEGINS>(?: file "([^"]*)")?\n(.*?)\n?<CODE ENDS>', 2) AS code,
   CASE WHEN doc_id % 5 = 0 THEN 'trailing text' END AS problem FROM t""")
 def r78(spark: SparkSession, d: str) -> DataFrame:
-    made = text.emit_code_markers(F.substring("text", 1, 40), F.concat(F.lit("f"), F.col("doc_id"), F.lit(".c")))
+    made = text.emit_code_markers(F.col("text"), F.concat(F.lit("f"), F.col("doc_id"), F.lit(".c")))
     t = table(spark, d, "documents").select("doc_id", F.concat(made, F.when(F.col("doc_id") % 5 == 0, " more").otherwise("")).alias("t"))
     return t.select("doc_id", F.explode(text.extract_code_blocks(F.col("t"))).alias("b"), text.code_marker_problem(F.col("t")).alias("problem")).select("doc_id", "b.file", "b.code", "problem")
 
@@ -225,7 +222,7 @@ def r29(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r24_lookup_with_fallback", r"""
 WITH q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Item.' || (doc_id % 60) || '.xml' ELSE 'item.' || (doc_id % 60) END AS name FROM documents),
-l AS (SELECT 'item.' || item_id || '.xml' AS name, 1 AS priority, item_id FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT 'ITEM.' || item_id, 2, item_id + 1000 FROM benchmark)
+l AS (SELECT 'item.' || (CASE WHEN item_id % 2 = 0 THEN item_id ELSE -item_id END) || '.xml' AS name, 1 AS priority, item_id FROM benchmark UNION ALL SELECT 'ITEM.' || item_id, 2, item_id + 1000 FROM benchmark)
 SELECT q.doc_id, q.name, b.priority, b.item_id FROM q LEFT JOIN (
   SELECT lower(regexp_replace(name, '\.xml$', '')) AS k, priority, item_id FROM l QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(name, '\.xml$', '')) ORDER BY priority) = 1) b
 ON lower(regexp_replace(q.name, '\.xml$', '')) = b.k""")
@@ -235,6 +232,6 @@ def r24(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id") % 60
     req = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Item."), n, F.lit(".xml"))).otherwise(F.concat(F.lit("item."), n)).alias("name"))
     b = table(spark, d, "benchmark")
-    lib = b.filter("item_id % 2 = 0").select(F.concat(F.lit("item."), "item_id", F.lit(".xml")).alias("file"), F.lit(1).alias("priority"), "item_id")
+    lib = b.select(F.concat(F.lit("item."), F.when(F.col("item_id") % 2 == 0, F.col("item_id")).otherwise(-F.col("item_id")), F.lit(".xml")).alias("file"), F.lit(1).alias("priority"), "item_id")
     lib = lib.unionByName(b.select(F.concat(F.lit("ITEM."), "item_id").alias("file"), F.lit(2).alias("priority"), (F.col("item_id") + 1000).alias("item_id")))
     return lookup_with_fallback(req, lib, key="name", name="file", priority="priority")
