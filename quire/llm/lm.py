@@ -45,7 +45,7 @@ from quire.llm.common import crc_fold, delete, materialize, scratch, shuffle_par
 from quire.llm.words import bounds, mix, runs, slices, word_hashes
 
 #: Bytes of a block of texts.
-BLOCK = 4_000_000
+BLOCK = 2_500_000
 #: Tokens with short codes (0 is the end of a text); all others are known by their hash, which is at least this.
 HEAD = 65_535
 #: Customers up to which tables are drawn exactly.
@@ -404,7 +404,7 @@ class Model:
     unknown: list[float]  # and of the unknown token
 
 
-def learn(docs: DataFrame, *, which: Column | None = None, id_col: str = "doc_id", text_col: str = "text", burn_in: int = 1, samples: int = 2, inner: int = 2, theta: float = 1.0, bucket_tokens: int = 1_250_000, short_codes: int = HEAD) -> Model:
+def learn(docs: DataFrame, *, which: Column | None = None, id_col: str = "doc_id", text_col: str = "text", burn_in: int = 1, samples: int = 2, inner: int = 2, theta: float = 1.0, bucket_tokens: int = 900_000, short_codes: int = HEAD) -> Model:
     """Learns from the whole texts of ``docs`` for which ``which`` holds (None: all), and deals all texts' pairs for :func:`score`.
 
     Null and empty texts are one END each; a null ``which`` is false. Without learnt rows the model knows no token:

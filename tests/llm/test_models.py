@@ -130,7 +130,7 @@ def number(m, w):
     return 0 if w is None else int(m.head.keys(lm.word_hashes(w))[0].astype(np.int64))
 
 
-@pytest.mark.parametrize("bucket_tokens", [1_250_000, 20])
+@pytest.mark.parametrize("bucket_tokens", [900_000, 20])
 def test_lm_seats_every_pair_and_adds_up(spark, bucket_tokens):
     """Every pair has seats, probabilities after any context add up to 1, and scores are their logarithms; with few short codes and contexts dealt by pair too."""
     texts = ["a b a b c", "a b", "b a a", None, "", "d", "x y z", "rare one", "once seen"] * 4 + ["single words here", "a b never known"]
