@@ -230,17 +230,17 @@ ALL = f"""
 f AS ({RULES}
 UNION ALL SELECT page_id, pos, 'error', 'unknown-tag', 'Unknown tag ' || tag FROM tokens WHERE tag NOT IN ({sql_list(KNOWN)})
 UNION ALL SELECT page_id, pos, 'warning', 'duplicate-link', 'Link to ' || href || ' again' FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS nth FROM hrefs) WHERE nth > 1
-UNION ALL SELECT page_id, pos, 'warning', 'src', 'Link ' || href || ' is outside' FROM hrefs WHERE starts_with(href, '/')),
+UNION ALL SELECT page_id, pos, CASE WHEN length(href) > 10 THEN 'error' ELSE 'warning' END, 'src', 'Link ' || href || ' is outside' FROM hrefs WHERE starts_with(href, '/')),
 kept AS (SELECT * FROM f WHERE NOT (starts_with(message, 'Link to /the') OR regexp_matches(message, '^(?:Link to /the)') OR starts_with(message, 'Text of [5-9]..') OR regexp_matches(message, '^(?:Text of [5-9]..)')))"""
 
 
 def findings(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
-    """All checks of the pages, silenced ones left out."""
+    """All checks of the pages, silenced ones left out. Links outside are errors if they are long, so that pages of both kinds occur."""
     t = tokens(spark, d) if t is None else t
     links = t.filter("tag = 'a' AND NOT is_close").select("page_id", "pos", fields.parse_pi(F.col("attrs_raw"))["href"].alias("href")).filter("href IS NOT NULL")
     known = E.vocabulary_findings(t, names(t.sparkSession, KNOWN), names(t.sparkSession, ())).select("page_id", "pos", "severity", "code", F.concat(F.lit("Unknown tag "), "tag").alias("message"))
     again = A.duplicate_ids(links, by=["page_id", "href"], order=["pos"]).select("page_id", "pos", F.lit("warning").alias("severity"), F.lit("duplicate-link").alias("code"), F.concat(F.lit("Link to "), "href", F.lit(" again")).alias("message"))
-    src = links.filter(fields.src_problem(F.col("href")) == "outside").select("page_id", "pos", F.lit("warning").alias("severity"), F.lit("src").alias("code"), F.concat(F.lit("Link "), "href", F.lit(" is outside")).alias("message"))
+    src = links.filter(fields.src_problem(F.col("href")) == "outside").select("page_id", "pos", F.when(F.length("href") > 10, "error").otherwise("warning").alias("severity"), F.lit("src").alias("code"), F.concat(F.lit("Link "), "href", F.lit(" is outside")).alias("message"))
     return lint([run_rules(t, page_rules(), doc="page_id", node="pos"), known, again, src], silence=["Note: Link to /the", "Text of [5-9].."])
 
 
