@@ -45,23 +45,74 @@ def character_names(c: Column) -> Column:
 
 # -- wrapping
 
-#: Abbreviations whose period ends no sentence, besides three-letter ones such as "Fig.": fixed values.
+#: Abbreviations whose period ends no sentence: fixed values. Any three letters such as "Fig." are one too.
 ABBREVIATIONS = ("Eq", "Cf", "cf", "vs", "resp", "viz", "ibid", "Jr", "Sr", "Mr", "Ms", "Messrs", "Mmes", "Dr", "Prof", "Profs", "St", "Lt", "a.k.a", "i.e", "e.g")
-_NO_END = re.compile(r"(?:^|\s)[(\[]?(?:[A-Z][a-z]{2}|" + "|".join(map(re.escape, ABBREVIATIONS)) + r")\.$")
-_NBSP, _MARKS = "\u00a0", "\u200b\u200c\u2060\ue060"
+#: Words that stay on the line of the next one: fixed values.
+KEPT = ("Section", "Appendix", "Figure", "Table")
+_SPACES = " \t\n\r\f\v"
+_NBSP, _ZWSP, _JOINERS = "\u00a0", "\u200b", "\u200c\u2060\ue060"
 
 
-def _pieces(paragraph: str) -> list[str]:
-    """Where a paragraph may break: at spaces, after "/" and "-" inside words, around "--", at a zero-width space; never in URLs."""
+def _words(paragraph: str) -> list[str]:
+    """The words between ASCII spaces; one of ``KEPT`` and its successor are one."""
     out: list[str] = []
-    for part in re.findall(r"[ \t\n\r\f\v]+|[^ \t\n\r\f\v]+", paragraph):
-        if part.isspace() and _NBSP not in part:
-            out.append(" " if out else "")
-        elif re.match(r"<?[a-z]+://", part):
-            out.append(part)
+    for word in paragraph.translate(dict.fromkeys(map(ord, _SPACES), " ")).split(" "):
+        if not word:
+            continue
+        if out and out[-1].endswith(KEPT):
+            out[-1] += _NBSP + word
         else:
-            out += [x for x in re.split("(?<=[^\\W\\d_]/)(?=[A-Za-z])|(?<=[^\\W\\d_]-)(?=\\w\\D)|\u200b|(?<=[\\w!\"'&.,?])(?=-{2,}\\w)|(?<=\\w--)(?=\\w)", part) if x]
-    return [x for x in out if x]
+            out.append(word)
+    return out
+
+
+def _may_break(word: str, i: int) -> bool:
+    """Whether a line may end between a word's characters i - 1 and i.
+
+    After a slash inside a word; after a hyphen between two parts of two characters or more, neither of which is a number at
+    the hyphen; before and after a dash of two hyphens or more; at a zero-width space. Not beside joiners.
+    """
+    left, right = word[i - 1], word[i]
+    if right in _JOINERS or right == _NBSP:
+        return False
+    if left == _ZWSP:
+        return True
+    if left == "/":
+        return i > 1 and word[i - 2].isalnum() and right.isascii() and right.isalpha()
+    if word[i : i + 2] == "--" and left != "-":
+        return word[i:].strip("-") != "" and not left.isspace()
+    if left != "-" or not right.isalnum():
+        return False
+    if word[i - 2 : i] == "--":
+        return i > 2
+    part = word[:i].rstrip("-")
+    return len(part) > 1 and part[-1].isalpha() and part[-2].isalnum() and i + 1 < len(word) and not (right.isdigit() and word[i + 1].isdigit())
+
+
+def _parts(word: str) -> list[str]:
+    """A word cut where lines may end. Links stay whole."""
+    scheme, found, _ = word.lstrip("<").partition("://")
+    if found and scheme.isalpha() and scheme.islower():
+        return [word]
+    at = [0, *[i for i in range(1, len(word)) if _may_break(word, i)], len(word)]
+    return [word[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def ends_sentence(word: str) -> bool:
+    """Whether a word ends a sentence: a full stop, question or exclamation mark after a letter, digit or closing mark, one closing mark at most after it, and no abbreviation."""
+    core = word[:-1] if word[-1:] in ("'", '"', ")", "]") else word
+    if len(core) < 2 or core[-1] not in ".!?" or not ((core[-2].isascii() and core[-2].isalnum()) or core[-2] in "'\")]>"):
+        return False
+    stem = word.removesuffix(".")
+    stem = stem[1:] if stem[:1] in ("(", "[") else stem
+    short = len(stem) == 3 and stem.isascii() and stem.isalpha() and stem.istitle()
+    return not (word.endswith(".") and (short or stem in ABBREVIATIONS))
+
+
+def starts_sentence(word: str) -> bool:
+    """Whether a word begins with a capital, opening marks aside."""
+    first = word.lstrip("\"'([")[:1]
+    return first.isascii() and first.isupper()
 
 
 def wrap_lines(text: str, width: int = 72, indent: int = 0, hang: int = 0) -> list[str]:
@@ -69,30 +120,24 @@ def wrap_lines(text: str, width: int = 72, indent: int = 0, hang: int = 0) -> li
 
     Words longer than a line are cut. A line separator starts a new line, without the first line's indent.
     """
+    rest = " " * (indent + hang)
+    room = max(1, width - len(rest))
     lines: list[str] = []
     for k, para in enumerate(text.split("\u2028")):
-        if k and not para.strip():
-            lines.append("")
-            continue
-        pieces = _pieces(re.sub(r"(Section|Appendix|Figure|Table) ", "\\1" + _NBSP, para.strip()))
-        first, rest = " " * (indent if k == 0 else 0), " " * (indent + hang)
-        line, space = first, ""
-        room = width - len(rest)
-        for piece in pieces:
-            if piece == " ":
-                space = " "
-                continue
-            word = "".join(c for c in piece if c not in _MARKS)
-            if space and re.search(r"[A-Za-z0-9>\])\"'][.!?][\"')\]]?$", line) and not _NO_END.search(line) and re.match(r"[\"'(\[]*[A-Z]", word):
-                space = "  "
-            cut = [word[i : i + room] for i in range(0, len(word), room)] if len(word) > room > 0 else [word]
-            for c in cut:
-                if line.strip() and len(line) + len(space) + len(c) > width:
-                    lines.append(line.rstrip(" "))
-                    line, space = rest, ""
-                line, space = line + (space if line.strip() else "") + c, ""
-        if line.strip() or not pieces:
-            lines.append(line.rstrip(" "))
+        line, gap, last = " " * (0 if k else indent), "", ""
+        for word in _words(para.strip()):
+            shown = "".join(c for c in word if c not in _JOINERS and c != _ZWSP)
+            if last:
+                gap = "  " if ends_sentence(last.split()[-1]) and starts_sentence(shown) else " "
+            for part in _parts(word):
+                part = "".join(c for c in part if c not in _JOINERS and c != _ZWSP)
+                for cut in (part[i : i + room] for i in range(0, len(part), room)):
+                    if line.strip() and len(line) + len(gap) + len(cut) > width:
+                        lines.append(line.rstrip(" "))
+                        line, gap = rest, ""
+                    line, gap = line + (gap if line.strip() else "") + cut, ""
+            last = shown if shown.strip() else last
+        lines.append(line.rstrip(" "))
     return [x.replace(_NBSP, " ") for x in lines]
 
 

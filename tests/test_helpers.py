@@ -27,6 +27,24 @@ def test_wrap_sentences_and_urls():
     assert h.wrap_lines("one\u2028two", 40) == ["one", "two"]
 
 
+def test_sentences():
+    ends = ["end.", "end?", "end!)", '"end."', "a1.", "[x].", "word)."]
+    assert all(map(h.ends_sentence, ends)) and not any(map(h.ends_sentence, ["", ".", "end", "Fig.", "(Eq.", "e.g.", "[cf.", "i.e.", "-.", "end.)))"]))
+    assert h.ends_sentence("FIG.") and h.ends_sentence("Four.") and h.ends_sentence("Fig!")
+    assert all(map(h.starts_sentence, ["A", '"A', "([A"])) and not any(map(h.starts_sentence, ["", "a", "1", "\u00c4", "(("]))
+
+
+def test_where_words_break():
+    cut = lambda w: "|".join(h._parts(w))
+    assert cut("and/or") == "and/|or" and cut("a/1") == "a/1" and cut("/or") == "/or"
+    assert cut("well-known-fact") == "well-|known-|fact" and cut("x-ray") == "x-ray" and cut("2020-12") == "2020-12"
+    assert cut("yes--no") == "yes|--|no" and cut("yes--") == "yes--" and cut("--no") == "--no"
+    assert cut("one\u200btwo") == "one\u200b|two" and cut("one-\u2060two") == "one-\u2060two"
+    assert cut("https://a.example/b-c/dd-ee") == "https://a.example/b-c/dd-ee" and cut("<http://x/yy-zz>") == "<http://x/yy-zz>"
+    assert h.wrap_lines("", 10) == [""] and h.wrap_lines("a\u2028\u2028b", 10) == ["a", "", "b"]
+    assert h.wrap_lines("one\u200btwo", 4) == ["one", "two"] and h.wrap_lines("12345", 2) == ["12", "34", "5"]
+
+
 def test_slugs_are_unique_and_grow():
     base = "a" * 50
     got = h.grow_slugs([base] * 12 + ["b", "b"])
