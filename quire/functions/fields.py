@@ -108,6 +108,31 @@ def expiry_date(year: Column, month: Column, day: Column, today: Column, days: i
     return F.date_add(F.when(d > 0, F.make_date(year, month, d)), days)
 
 
+def date_findings(year: Column, month: Column, day: Column, today: Column, published: bool = False) -> Column:
+    """What is wrong with a date of three texts, as an array of (severity, code); empty where nothing is.
+
+    "short month": its name has less than three letters. "no month": there is only a year, and it is not today's. "invalid":
+    there is no such day. "not today": more than three days away, unless published. Today's year, and month with day, stand
+    for missing ones, the first for a missing day of a month. Empty texts are missing; so are nulls.
+    """
+    y, m, d = (F.when(F.trim(c) != "", F.trim(c)) for c in (year, month, day))
+    two = lambda c: F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
+    named = ~m.rlike("^[0-9]+$")
+    at_year = F.coalesce(y, F.year(today).cast("string"))
+    number = F.when(m.isNull(), F.date_format(today, "MM")).otherwise(two(F.when(named, normalize_month(m)).otherwise(m)))
+    in_month = F.when(m.isNull(), F.date_format(today, "dd")).otherwise(two(F.coalesce(d, F.lit("1"))))
+    at = F.try_to_date(F.concat_ws("-", at_year, number, in_month), "yyyy-MM-dd")
+    code = lambda when, severity, name: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("code")))
+    return F.array_compact(
+        F.array(
+            code(named & (F.length(m) < 3), "error", "short month"),
+            code(m.isNull() & (at_year != F.year(today).cast("string")), "warning", "no month"),
+            code(at.isNull(), "error", "invalid"),
+            code((F.abs(F.datediff(at, today)) > 3) & F.lit(not published), "warning", "not today"),
+        )
+    )
+
+
 # -- section numbers
 
 
@@ -203,3 +228,22 @@ def parse_pi(c: Column) -> Column:
 def sanitize_id(c: Column) -> Column:
     """An id: a first character that isn't a letter or "_", and others outside the alphabet of ids, become "_"."""
     return F.regexp_replace(F.regexp_replace(c, "^[^A-Za-z_]", "_"), "[^-._A-Za-z0-9]", "_")
+
+
+# -- references
+
+
+def format_reference(label: Column, authors: Column, title: Column, series: Column, date: Column, target: Column) -> Column:
+    """"[label] authors, "title", series, date, <target>." with the parts that there are."""
+    parts = F.concat_ws(", ", authors, F.concat(F.lit('"'), title, F.lit('"')), series, date, F.concat(F.lit("<"), target, F.lit(">")))
+    return F.concat(F.lit("["), label, F.lit("] "), parts, F.lit("."))
+
+
+def render_xref(content: Column, ref: Column, is_ref: Column, fmt: Column, section: Column, section_format: Column) -> Column:
+    """A cross reference as text: "[ref]", "text [ref]", "text (ref)"; with a section "Section 2 of [ref]" and the other forms."""
+    lead = F.when(content == "", "").otherwise(F.concat(content, F.lit(" ")))
+    tag = F.concat(F.lit("["), ref, F.lit("]"))
+    label = F.concat(F.when(section.rlike("^[0-9]"), "Section").when(section.rlike(r"^[A-Z](\.|$)"), "Appendix").otherwise("Part"), F.lit(" "), section)
+    plain = F.when(fmt == "none", lead).when(is_ref & (fmt == "title"), F.when(content == "", ref).otherwise(F.concat(lead, F.lit("("), ref, F.lit(")")))).when(is_ref, F.concat(lead, tag)).otherwise(F.when(content == "", ref).otherwise(F.concat(lead, F.lit("("), ref, F.lit(")"))))
+    deep = F.when(section_format == "of", F.concat(label, F.lit(" of "), lead, tag)).when(section_format == "comma", F.concat(lead, tag, F.lit(", "), label)).when(section_format == "parens", F.concat(lead, tag, F.lit(" ("), label, F.lit(")"))).when(content == "", section).otherwise(F.concat(section, F.lit(" ("), content, F.lit(")")))
+    return F.when(section.isNull(), plain).otherwise(deep)

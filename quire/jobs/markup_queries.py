@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions import fields
+from quire.functions import fields, text
+from quire.jobs.folders import shared_folder, written
 from quire.jobs.lint import Rule, lint, run_rules, without_errors
 from quire.jobs.registry import query, table
 from quire.jobs.vocab import BLOCKS, DEPRECATED, KNOWN
@@ -44,8 +46,6 @@ def r04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r05_write_outputs", f"WITH {TOKENS} SELECT tag, count(*) AS n FROM tokens GROUP BY tag")
 def r05(spark: SparkSession, d: str) -> DataFrame:
-    from quire.jobs.folders import shared_folder
-
     path = f"{shared_folder(spark)}/outputs-{uuid.uuid4().hex}"
     write_outputs(tokens(spark, d), path, partition_by=("tag",))
     return spark.read.option("recursiveFileLookup", "false").parquet(path).groupBy(F.col("tag").cast("string").alias("tag")).agg(F.count("*").alias("n"))
@@ -199,8 +199,6 @@ def r87(spark: SparkSession, d: str) -> DataFrame:
 WITH {TOKENS}, s AS (SELECT *, sum(CASE WHEN tag IN ('nav', 'div', 'article', 'footer') AND NOT is_close THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS sect FROM tokens)
 SELECT page_id, sect FROM s GROUP BY page_id, sect HAVING bool_or(tag IN ({sql_list(BLOCKS)})) AND bool_or(tag = 'b' AND trim(text) <> '')""")
 def r95(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     opens = (F.col("tag").isin("nav", "div", "article", "footer") & ~F.col("is_close")).cast("int")
     s = tokens(spark, d).withColumn("sect", F.sum(opens).over(W.partitionBy("page_id").orderBy("pos")))
     return A.mixed_content(s, by=["page_id", "sect"], is_block=F.col("tag").isin(*BLOCKS), has_text=(F.col("tag") == "b") & (F.trim("text") != ""))
@@ -209,7 +207,8 @@ def r95(spark: SparkSession, d: str) -> DataFrame:
 RULES = f"""
 SELECT page_id, CAST(pos AS BIGINT) AS pos, 'error' AS severity, 'empty-heading' AS code, 'Heading without text' AS message FROM tokens WHERE tag IN ('h1', 'title') AND NOT is_close AND trim(text) = ''
 UNION ALL SELECT page_id, pos, 'warning', 'long-text', 'Text of ' || length(text) || ' characters' FROM tokens WHERE tag = 'p' AND NOT is_close AND length(text) > 400
-UNION ALL SELECT page_id, pos, 'note', 'deprecated', 'Old tag ' || tag FROM tokens WHERE tag IN ({sql_list(DEPRECATED)}) AND NOT is_close"""
+UNION ALL SELECT page_id, pos, 'note', 'deprecated', 'Old tag ' || tag FROM tokens WHERE tag IN ({sql_list(DEPRECATED)}) AND NOT is_close
+UNION ALL SELECT page_id, pos, 'note', 'non-ascii', 'Text beyond ASCII in ' || tag FROM tokens WHERE regexp_matches(text, '[^\\x00-\\x7F]') AND NOT is_close"""
 
 
 def page_rules() -> list[Rule]:
@@ -218,6 +217,7 @@ def page_rules() -> list[Rule]:
         Rule(F.col("tag").isin("h1", "title") & opened, "error", "empty-heading", F.trim("text") == "", F.lit("Heading without text")),
         Rule((F.col("tag") == "p") & opened, "warning", "long-text", F.length("text") > 400, F.concat(F.lit("Text of "), F.length("text"), F.lit(" characters"))),
         Rule(opened, "note", "deprecated", F.col("tag").isin(*DEPRECATED), F.concat(F.lit("Old tag "), "tag")),
+        Rule(opened, "note", "non-ascii", ~text.is_ascii(F.col("text")), F.concat(F.lit("Text beyond ASCII in "), "tag")),
     ]
 
 
@@ -230,18 +230,27 @@ ALL = f"""
 f AS ({RULES}
 UNION ALL SELECT page_id, pos, 'error', 'unknown-tag', 'Unknown tag ' || tag FROM tokens WHERE tag NOT IN ({sql_list(KNOWN)})
 UNION ALL SELECT page_id, pos, 'warning', 'duplicate-link', 'Link to ' || href || ' again' FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS nth FROM hrefs) WHERE nth > 1
-UNION ALL SELECT page_id, pos, CASE WHEN length(href) > 10 THEN 'error' ELSE 'warning' END, 'src', 'Link ' || href || ' is outside' FROM hrefs WHERE starts_with(href, '/')),
+UNION ALL SELECT page_id, pos, CASE WHEN length(href) > 10 THEN 'error' ELSE 'warning' END, 'src', 'Link ' || href || ' is outside' FROM hrefs WHERE starts_with(href, '/')
+UNION ALL SELECT page_id, sect, 'warning', 'mixed-content', 'Blocks and text in one section' FROM (SELECT *, coalesce(max(CASE WHEN tag IN ('nav', 'div', 'article', 'footer') AND NOT is_close THEN pos END) OVER (PARTITION BY page_id ORDER BY pos), 0) AS sect FROM tokens)
+  GROUP BY page_id, sect HAVING bool_or(tag IN ({sql_list(BLOCKS)})) AND bool_or(tag = 'b' AND trim(text) <> '')),
 kept AS (SELECT * FROM f WHERE NOT (starts_with(message, 'Link to /the') OR regexp_matches(message, '^(?:Link to /the)') OR starts_with(message, 'Text of [5-9]..') OR regexp_matches(message, '^(?:Text of [5-9]..)')))"""
 
 
 def findings(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
-    """All checks of the pages, silenced ones left out. Links outside are errors if they are long, so that pages of both kinds occur."""
-    t = tokens(spark, d) if t is None else t
+    """All checks of the pages, silenced ones left out. Links outside are errors if they are long, so that pages of both kinds occur.
+
+    Pages are taken apart once: their tokens are written, and each check reads the columns that it needs.
+    """
+    t = written(tokens(spark, d) if t is None else t)
+    at = lambda severity, code, *message: [F.col("pos"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.concat(*message).alias("message")]
     links = t.filter("tag = 'a' AND NOT is_close").select("page_id", "pos", fields.parse_pi(F.col("attrs_raw"))["href"].alias("href")).filter("href IS NOT NULL")
     known = E.vocabulary_findings(t, names(t.sparkSession, KNOWN), names(t.sparkSession, ())).select("page_id", "pos", "severity", "code", F.concat(F.lit("Unknown tag "), "tag").alias("message"))
-    again = A.duplicate_ids(links, by=["page_id", "href"], order=["pos"]).select("page_id", "pos", F.lit("warning").alias("severity"), F.lit("duplicate-link").alias("code"), F.concat(F.lit("Link to "), "href", F.lit(" again")).alias("message"))
+    again = A.duplicate_ids(links, by=["page_id", "href"], order=["pos"]).select("page_id", *at("warning", "duplicate-link", F.lit("Link to "), "href", F.lit(" again")))
     src = links.filter(fields.src_problem(F.col("href")) == "outside").select("page_id", "pos", F.when(F.length("href") > 10, "error").otherwise("warning").alias("severity"), F.lit("src").alias("code"), F.concat(F.lit("Link "), "href", F.lit(" is outside")).alias("message"))
-    return lint([run_rules(t, page_rules(), doc="page_id", node="pos"), known, again, src], silence=["Note: Link to /the", "Text of [5-9].."])
+    opener = F.when(F.col("tag").isin("nav", "div", "article", "footer") & ~F.col("is_close"), F.col("pos"))
+    sections = t.select("page_id", F.coalesce(F.max(opener).over(W.partitionBy("page_id").orderBy("pos")), F.lit(0)).alias("pos"), "tag", "text")
+    mixed = A.mixed_content(sections, by=["page_id", "pos"], is_block=F.col("tag").isin(*BLOCKS), has_text=(F.col("tag") == "b") & (F.trim("text") != "")).select("page_id", *at("warning", "mixed-content", F.lit("Blocks and text in one section")))
+    return lint([run_rules(t, page_rules(), doc="page_id", node="pos"), known, again, src, mixed], silence=["Note: Link to /the", "Text of [5-9].."])
 
 
 @query("lint", f"WITH {HREFS}, {ALL} SELECT severity, code, count(*) AS n, count(DISTINCT page_id) AS pages FROM kept GROUP BY severity, code")
@@ -258,8 +267,6 @@ def r89(spark: SparkSession, d: str) -> DataFrame:
 @query("r90_stream_lint", f"WITH {HREFS}, {ALL} SELECT page_id, CAST(pos AS BIGINT) AS pos, severity, code, message FROM kept")
 def r90(spark: SparkSession, d: str) -> DataFrame:
     """The same findings from a stream over the pages' files."""
-    from quire.jobs.folders import shared_folder
-
     top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     pages = table(spark, d, "pages")
     pages.select("page_id", "html").repartition(4, "page_id").write.parquet(f"{top}/in")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import fields, text
@@ -237,12 +238,12 @@ def r31(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r34_build_index", """
-WITH e AS (SELECT p_size % 3 AS doc, CASE WHEN p_partkey % 11 = 0 THEN '(' || p_name ELSE p_name END AS item, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS sub, p_brand AS anchor, p_partkey AS pos, p_partkey % 13 = 0 AS prime FROM part),
+WITH e AS (SELECT p_partkey // 100 AS doc, CASE WHEN p_partkey % 11 = 0 THEN '(' || p_name ELSE p_name END AS item, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS sub, p_brand AS anchor, p_partkey AS pos, p_partkey % 13 = 0 AS prime FROM part),
 f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc, item, anchor ORDER BY pos) = 1),
 g AS (SELECT doc, upper(substr(item, 1, 1)) AS letter, item, sub, string_agg(anchor || (CASE WHEN prime THEN '*' ELSE '' END), ' ' ORDER BY pos) AS anchors FROM f GROUP BY ALL)
 SELECT doc, letter, item, sub, anchors, row_number() OVER (PARTITION BY doc ORDER BY regexp_matches(item, '^[a-zA-Z0-9]'), letter, lower(item), item, lower(sub), sub) AS rank FROM g""")
 def r34(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "part").select((F.col("p_size") % 3).alias("doc"), F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("("), "p_name")).otherwise(F.col("p_name")).alias("item"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("").alias("sub"), F.col("p_brand").alias("anchor"), F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 13 == 0).alias("prime"))
+    e = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("doc"), F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("("), "p_name")).otherwise(F.col("p_name")).alias("item"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("").alias("sub"), F.col("p_brand").alias("anchor"), F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 13 == 0).alias("prime"))
     return A.build_index(e, doc="doc", item="item", sub="sub", anchor="anchor", pos="pos", primary="prime").withColumn("anchors", F.array_join("anchors", " "))
 
 
@@ -269,7 +270,7 @@ def r36(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r37_column_min_widths", """
-WITH m AS (SELECT p_brand AS tab, p_size % 4 AS col, CAST(max(ceil(list_max(list_transform(string_split(p_name, ' '), lambda w: length(w))) / (1.0 + p_partkey % 2))) AS BIGINT) AS min_width FROM part GROUP BY ALL),
+WITH m AS (SELECT p_brand AS tab, p_size % 4 AS col, CAST(max(floor(list_max(list_transform(string_split(p_name, ' '), lambda w: length(w))) / (1.0 + p_partkey % 2))) AS BIGINT) AS min_width FROM part GROUP BY ALL),
 r AS (SELECT *, sum(min_width) OVER (PARTITION BY tab) AS s, row_number() OVER (PARTITION BY tab ORDER BY min_width DESC, col) AS k FROM m)
 SELECT tab, col, min_width, CAST(min_width + CASE WHEN 32 - s - 2 * (k - 1) > 2 THEN 2 ELSE 0 END AS BIGINT) AS width FROM r""")
 def r37(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +311,9 @@ def r47(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r47_unique_slugs")
 def r47b(spark: SparkSession, d: str) -> DataFrame:
-    return unique_slugs(table(spark, d, "part"), doc="p_brand", pos="p_partkey", name="p_name")
+    """Documents of 500 parts."""
+    parts = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 500).alias("doc"), "p_partkey", "p_name")
+    return unique_slugs(parts, doc="doc", pos="p_partkey", name="p_name")
 
 
 @query("r48_unnumbered_order", """
@@ -394,10 +397,25 @@ def r70(spark: SparkSession, d: str) -> DataFrame:
 @query("r71_date_findings", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'invalid' ELSE 'not today' END AS code FROM orders WHERE o_orderkey % 50 = 0 OR abs(date_diff('day', DATE '1999-06-15', CAST(o_orderdate AS DATE))) > 3""")
 def r71(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("o_orderkey") % 50 == 0, "1999-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    day = F.try_to_date(raw, "yyyy-MM-dd")
-    code = F.when(day.isNull(), "invalid").when(F.abs(F.datediff(day, F.to_date(F.lit("1999-06-15")))) > 3, "not today")
-    return table(spark, d, "orders").select("o_orderkey", code.alias("code")).filter("code IS NOT NULL")
+    at, odd = F.col("o_orderdate"), F.col("o_orderkey") % 50 == 0
+    part = lambda f, bad: F.when(odd, bad).otherwise(f(at).cast("string"))
+    found = fields.date_findings(part(F.year, "1999"), part(F.month, "2"), part(F.dayofmonth, "30"), F.to_date(F.lit("1999-06-15")))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(found).alias("f")).select("o_orderkey", "f.code")
+
+
+@query("r71_partial_dates", """
+WITH p AS (SELECT o_orderkey, o_orderkey % 5 AS k, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d FROM orders),
+q AS (SELECT o_orderkey, k, y, CASE k WHEN 0 THEN TRY_CAST(y || '-06-15' AS DATE) WHEN 3 THEN NULL ELSE TRY_CAST(y || '-' || lpad(CAST(CASE WHEN k = 2 AND m = 5 THEN 3 WHEN k = 2 AND m = 7 THEN 6 ELSE m END AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) END AS dt FROM p)
+SELECT o_orderkey, 'error' AS severity, 'short month' AS code FROM q WHERE k = 2
+UNION ALL SELECT o_orderkey, 'warning', 'no month' FROM q WHERE k = 0 AND y <> '1999'
+UNION ALL SELECT o_orderkey, 'error', 'invalid' FROM q WHERE dt IS NULL
+UNION ALL SELECT o_orderkey, 'warning', 'not today' FROM q WHERE abs(date_diff('day', DATE '1999-06-15', dt)) > 3""")
+def r71b(spark: SparkSession, d: str) -> DataFrame:
+    """Dates without a month, with its name, with two letters of it, and with a thirteenth month."""
+    k, name = F.col("o_orderkey") % 5, F.date_format("o_orderdate", "MMMM")
+    month = F.when(k == 1, name).when(k == 2, F.substring(name, 1, 2)).when(k == 3, "13").when(k == 4, F.month("o_orderdate").cast("string"))
+    found = fields.date_findings(F.year("o_orderdate").cast("string"), month, F.dayofmonth("o_orderdate").cast("string"), F.to_date(F.lit("1999-06-15")))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(found).alias("f")).select("o_orderkey", "f.severity", "f.code")
 
 
 @query("r73_docname_findings", """
@@ -412,23 +430,7 @@ def r73(spark: SparkSession, d: str) -> DataFrame:
 @query("r82_format_reference", """
 SELECT p_partkey, '[' || p_brand || '] ' || p_type || ', "' || p_name || '", RFC ' || p_size || ', <https://example.org/' || p_partkey || '>.' AS ref FROM part""")
 def r82(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", format_reference(F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.concat(F.lit("RFC "), "p_size"), F.lit(None).cast("string"), F.concat(F.lit("https://example.org/"), "p_partkey")).alias("ref"))
-
-
-def format_reference(label: F.Column, authors: F.Column, title: F.Column, series: F.Column, date: F.Column, target: F.Column) -> F.Column:
-    """"[label] authors, "title", series, date, <target>." with the parts that there are."""
-    parts = F.concat_ws(", ", authors, F.concat(F.lit('"'), title, F.lit('"')), series, date, F.concat(F.lit("<"), target, F.lit(">")))
-    return F.concat(F.lit("["), label, F.lit("] "), parts, F.lit("."))
-
-
-def render_xref(content: F.Column, ref: F.Column, is_ref: F.Column, fmt: F.Column, section: F.Column, section_format: F.Column) -> F.Column:
-    """A cross reference as text: "[ref]", "text [ref]", "text (ref)"; with a section "Section 2 of [ref]" and the other forms."""
-    lead = F.when(content == "", "").otherwise(F.concat(content, F.lit(" ")))
-    tag = F.concat(F.lit("["), ref, F.lit("]"))
-    label = F.concat(F.when(section.rlike("^[0-9]"), "Section").when(section.rlike(r"^[A-Z](\.|$)"), "Appendix").otherwise("Part"), F.lit(" "), section)
-    plain = F.when(fmt == "none", lead).when(is_ref & (fmt == "title"), F.when(content == "", ref).otherwise(F.concat(lead, F.lit("("), ref, F.lit(")")))).when(is_ref, F.concat(lead, tag)).otherwise(F.when(content == "", ref).otherwise(F.concat(lead, F.lit("("), ref, F.lit(")"))))
-    deep = F.when(section_format == "of", F.concat(label, F.lit(" of "), lead, tag)).when(section_format == "comma", F.concat(lead, tag, F.lit(", "), label)).when(section_format == "parens", F.concat(lead, tag, F.lit(" ("), label, F.lit(")"))).when(content == "", section).otherwise(F.concat(section, F.lit(" ("), content, F.lit(")")))
-    return F.when(section.isNull(), plain).otherwise(deep)
+    return table(spark, d, "part").select("p_partkey", fields.format_reference(F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.concat(F.lit("RFC "), "p_size"), F.lit(None).cast("string"), F.concat(F.lit("https://example.org/"), "p_partkey")).alias("ref"))
 
 
 @query("r83_render_xref", """
@@ -439,7 +441,7 @@ def r83(spark: SparkSession, d: str) -> DataFrame:
     form = F.get(F.array(*map(F.lit, ("of", "comma", "parens", "bare", "none"))), (F.col("l_suppkey") % 5).cast("int"))
     section = F.when(form != "none", F.when(F.col("l_quantity") > 25, "2.1").otherwise("B"))
     rows = table(spark, d, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", render_xref(F.when(F.col("l_partkey") % 3 == 0, "").otherwise("see"), F.concat(F.lit("P"), "l_partkey"), F.lit(True), F.lit("default"), section, form).alias("xref"))
+    return rows.select("l_orderkey", "l_linenumber", fields.render_xref(F.when(F.col("l_partkey") % 3 == 0, "").otherwise("see"), F.concat(F.lit("P"), "l_partkey"), F.lit(True), F.lit("default"), section, form).alias("xref"))
 
 
 @query("r84_cells_from_flat", """
@@ -451,9 +453,15 @@ def r84(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r85_place_cells")
 def r85(spark: SparkSession, d: str) -> DataFrame:
-    return place_cells(cells(spark, d).dropDuplicates(["tab", "row", "pos"]), table="tab", row="row", pos="pos")
+    """Tables of 40 orders, one a row; every item is a cell, in order of its line."""
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    spans = {"colspan": 1 + F.col("l_suppkey") % 3, "rowspan": 1 + F.col("l_partkey") % 2}
+    rows = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("tab"), (F.col("l_orderkey") % 40).alias("row"), nth.alias("pos"), *[c.alias(k) for k, c in spans.items()])
+    return place_cells(rows, table="tab", row="row", pos="pos")
 
 
-@query("r91_fresh_fetches")
+@query("r91_fresh_fetches", """
+WITH RECURSIVE f AS (SELECT user_id, min(ts) AS t FROM events GROUP BY user_id UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN events e ON e.user_id = f.user_id AND e.ts > f.t + INTERVAL 1 DAY GROUP BY f.user_id)
+SELECT CAST(e.user_id AS VARCHAR) AS key, e.ts, f.t IS NOT NULL AND row_number() OVER (PARTITION BY e.user_id, e.ts) = 1 AS fetched FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.t = e.ts""")
 def r91(spark: SparkSession, d: str) -> DataFrame:
     return fresh_fetches_batch(table(spark, d, "events"), key="user_id", ts="ts", ttl_days=1)

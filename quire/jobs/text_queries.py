@@ -93,7 +93,7 @@ def r65(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.downcode(t).alias("t"))
 
 
-@query("r65_charref")
+@query("r65_charref", "SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN unicode(c) > 127 THEN '&#' || unicode(c) || ';' ELSE c END), '') AS t FROM documents")
 def r65b(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", helpers.charref(F.coalesce("text", F.lit(""))).alias("t"))
 

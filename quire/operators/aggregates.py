@@ -41,9 +41,13 @@ def table_dimensions(cells: DataFrame, *, table: str, row: str, colspan: str = "
 
 
 def column_min_widths(cells: DataFrame, *, table: str, col: str, text: str, colspan: str = "colspan") -> DataFrame:
-    """``min_width`` of each column: the longest word that can't be broken, over its cell's columns."""
-    longest = F.coalesce(F.array_max(F.transform(F.split(text, r"\s+"), lambda w: F.length(w))), F.lit(0))
-    return cells.groupBy(table, col).agg(F.max(F.ceil(longest / F.col(colspan))).cast("long").alias("min_width"))
+    """``min_width`` of each column: the longest piece that can't be broken, over its cell's columns, rounded down.
+
+    Words may break after slashes and hyphens between letters.
+    """
+    pieces = F.split(text, r"\s+|(?<=[A-Za-z][/-])(?=[A-Za-z])")
+    longest = F.coalesce(F.array_max(F.transform(pieces, lambda w: F.length(w))), F.lit(0))
+    return cells.groupBy(table, col).agg(F.max(F.floor(longest / F.col(colspan))).cast("long").alias("min_width"))
 
 
 def pad_columns(widths: DataFrame, *, table: str, col: str, width: int) -> DataFrame:

@@ -53,11 +53,24 @@ def fresh_fetches(requests: DataFrame, *, key: str, ts: str, ttl_days: int = 14,
 
 
 def fresh_fetches_batch(requests: DataFrame, *, key: str, ts: str, ttl_days: int = 14) -> DataFrame:
-    """The same over a table: all requests of a key in order of time."""
+    """The same over a table. A task reads its requests by key and time and keeps one time, however many a key has.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        return rows.assign(fetched=fetches([t.timestamp() for t in rows.ts], ttl_days * 86_400.0))
+    A request without a time is fetched and changes nothing for others.
+    """
+    ttl = ttl_days * 86_400 * 10**9
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, last = None, None
+        for rows in parts:
+            new = []
+            for k, t in zip(rows.key, rows.ts, strict=True):
+                if k != mine:
+                    mine, last = k, None
+                fetched = t is pd.NaT or last is None or t.value - last > ttl
+                if fetched and t is not pd.NaT:
+                    last = t.value
+                new.append(fetched)
+            yield rows.assign(fetched=new)
 
     src = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"))
-    return src.groupBy("key").applyInPandas(run, FETCHES)
+    return src.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, FETCHES)

@@ -56,3 +56,21 @@ def test_expand_unicode_needs_num():
 def test_paths(spark):
     got = [one(spark, fields.src_problem(F.lit(p))) for p in ("a/../b", "a/../../b", "x|y", "mailto:x", "https://e.example/|", "/abs")]
     assert got == [None, "outside", "shell", "scheme", None, "outside"]
+
+
+def test_dates_with_missing_parts(spark):
+    today = F.to_date(F.lit("2024-03-10"))
+    found = lambda *d, **kw: [r["code"] for r in one(spark, fields.date_findings(*[F.lit(x).cast("string") for x in d], today, **kw))]
+    assert found(None, None, None) == [] and found("", " ", "") == []
+    assert found("2024", "March", "9") == [] and found("2024", "mar", "20") == ["not today"] and found("2024", "3", "20", published=True) == []
+    assert found("2023", None, None) == ["no month", "not today"] and found("2024", "2", "30") == ["invalid"]
+    assert found("2024", "ma", "10") == ["short month"] and found("2024", "nonsense", "1") == ["invalid"] and found("2024", "3", None) == ["not today"]
+
+
+def test_references_with_missing_parts(spark):
+    null, lit = F.lit(None).cast("string"), F.lit
+    assert one(spark, fields.format_reference(lit("A"), null, lit("T"), null, null, null)) == '[A] "T".'
+    assert one(spark, fields.format_reference(lit("A"), lit("B"), lit("T"), lit("S 1"), lit("May 2024"), lit("u"))) == '[A] B, "T", S 1, May 2024, <u>.'
+    xref = lambda content, is_ref, fmt, sec, form: one(spark, fields.render_xref(lit(content), lit("R"), lit(is_ref), lit(fmt), lit(sec).cast("string"), lit(form)))
+    assert [xref("", True, "default", None, "of"), xref("see", True, "default", None, "of"), xref("see", False, "default", None, "of")] == ["[R]", "see [R]", "see (R)"]
+    assert [xref("", True, "default", "2", f) for f in ("of", "comma", "parens", "bare")] == ["Section 2 of [R]", "[R], Section 2", "[R] (Section 2)", "2"]

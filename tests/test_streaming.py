@@ -22,3 +22,10 @@ def test_fresh_fetches_equals_batch(spark, tmp_path):
     q.stop()
     got = sorted(tuple(r) for r in spark.table("fetched").select("key", "ts", "fetched").collect())
     assert got == want and len(want) == len(rows)
+
+
+def test_fetches_of_keys_without_a_name_or_a_time(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(None, t0), (None, t0 + dt.timedelta(days=1)), (None, t0 + dt.timedelta(days=3)), ("a", None), ("a", t0)]
+    got = fresh_fetches_batch(spark.createDataFrame(rows, "key string, ts timestamp"), key="key", ts="ts", ttl_days=1).collect()
+    assert sorted((r["key"] or "", str(r["ts"]), r["fetched"]) for r in got) == sorted([("", str(t0), True), ("", str(rows[1][1]), False), ("", str(rows[2][1]), True), ("a", "None", True), ("a", str(t0), True)])
