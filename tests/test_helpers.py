@@ -86,3 +86,15 @@ def test_grid_under_spans():
 def test_fetches():
     assert h.fetches([0, 5, 10, 11, 30], 10) == [True, False, False, True, True]
     assert h.fetches([5], 10, last=0) == [False]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(1, 3), st.integers(1, 3)), max_size=25))
+def test_grid_takes_the_first_free_place(cells):
+    cells = sorted(cells, key=lambda c: c[0])
+    placed = h.grid(cells)
+    covers = lambda k, row, col: placed[k][0] <= row < placed[k][0] + cells[k][2] and placed[k][1] <= col < placed[k][1] + cells[k][1]
+    for k, (row, col) in enumerate(placed):
+        assert row == cells[k][0]
+        assert not any(covers(j, row, col) for j in range(k))
+        assert all(any(covers(j, row, c) for j in range(k)) for c in range(col))
