@@ -7,16 +7,19 @@ texts in a fixed number of hash buckets, so common passages hardly meet. Nodes t
 1. Blocks of nodes' prefix tokens (16 bytes a token); blocks with the same members count once.
 2. In each block a signature tree finds the pairs that bitmaps and sizes allow; they join nodes into coarse groups, which
    contain every true component.
-3. Each group's texts meet once, and a signature tree over them decides pairs by their sets. Groups beyond a bound on
-   members or tokens are cut into chunks that meet two by two, so no task holds more than two chunks.
+3. Each group's texts meet once, and a signature tree over them decides pairs by their sets.
 4. Connected components of the true links.
 
+Blocks and groups beyond a bound on members or weight are cut into chunks, and no task holds more than two of them. Chunks
+are linked inside; then one member of each component of each chunk meets those of the others; then only pairs of members
+that are still apart meet: those outside the group's largest component among each other and with it (``_settle``).
+
 A node pair is skipped only where its sets are in one component already, so no component is split and none is merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,9 @@ from quire.llm.words import bounds, mix, runs, shingles, with_ids
 
 #: Hash buckets whose counts order the tokens: 1 MB whatever the corpus.
 BUCKETS = 1 << 18
-#: Bounds on a chunk: sets, and tokens.
+#: Bounds on a chunk of texts: sets, and tokens; and on one of bitmaps: sets, and bytes.
 MEMBERS, TOKENS = 1000, 4_000_000
+BLOCK, BITMAPS = 20_000, 64_000_000
 
 
 def _node(s: np.ndarray) -> bytes:
@@ -126,36 +130,74 @@ def _blocks(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition(n, "token").sortWithinPartitions("token", "id").mapInArrow(run, "block long, id long")
 
 
+def _settle(members: DataFrame, compare: Callable[[DataFrame], DataFrame], most: int, heaviest: int) -> DataFrame:
+    """``a``, ``b``: links that join the members (``grp``, ``rep``, weight ``w``; written) of each group into its components.
+
+    ``compare`` gives the links among rows that share ``grp``, ``x`` and ``y``; it need not compare members of equal
+    ``known``. Groups of up to ``most`` members and weight ``heaviest`` are one call. Larger ones are cut: chunks alone,
+    then the components' first members, then every pair of members that no link has joined, chunk by chunk.
+    """
+    cut = lambda n, w: F.greatest(F.ceil(n / most), F.ceil(w / heaviest), F.lit(1)).cast("int")
+    size = [F.count("*").alias("n"), F.sum("w").alias("w")]
+    deal = lambda k, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(k)).cast("int")
+    alone = lambda df, seed: df.withColumn("x", deal("k", seed)).select("grp", "x", F.col("x").alias("y"), "rep", "known")
+
+    large = materialize(members.groupBy("grp").agg(*size).select("grp", cut(F.col("n"), F.col("w")).alias("k")).filter("k > 1"))
+    n_large = large.count()
+    first = members.withColumn("known", F.col("rep"))
+    if not n_large:
+        return compare(first.select("grp", F.lit(0).alias("x"), F.lit(0).alias("y"), "rep", "known"))
+    few = F.broadcast(large) if n_large <= SMALL else large
+    links = materialize(compare(alone(first.join(few, "grp", "left").withColumn("k", F.coalesce("k", F.lit(1))), 0)))
+
+    cuts = materialize(members.join(few, "grp"))
+    joined = lambda: cuts.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component")
+    heads = materialize(joined().groupBy("grp", "known", deal("k", 0).alias("at")).agg(F.min_by("w", "rep").alias("w"), F.min("rep").alias("rep")))
+    parts = heads.groupBy("grp").agg(*size).select("grp", cut(F.col("n"), F.col("w")).alias("k"))
+    links = materialize(links.unionByName(compare(alone(heads.join(parts, "grp"), 1))))
+
+    apart = materialize(joined().drop("k"))
+    by = apart.groupBy("grp", "known").agg(*size)
+    top = by.groupBy("grp").agg(F.max(F.struct("n", "w", "known")).alias("t"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).filter("parts > 1")
+    top = top.select("grp", F.col("t.known").alias("major"), cut(F.col("n") - F.col("t.n"), F.col("w") - F.col("t.w")).alias("m"), cut(F.col("t.n"), F.col("t.w")).alias("l"))
+    rows = apart.join(top, "grp").withColumn("minor", F.col("known") != F.col("major"))
+    rows = rows.withColumn("q", F.when(F.col("minor"), deal("m", 2)).otherwise(F.col("m") + deal("l", 2)))
+    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1 + F.when(F.col("minor"), F.col("l")).otherwise(0))))
+    return links.unionByName(compare(rows.select("grp", F.least("q", "p").alias("x"), F.greatest("q", "p").alias("y"), "rep", "known")))
+
+
 def _coarse(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``a``, ``b``: links between the reps of nodes that bitmaps and sizes allow, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs(batches):
-            block, ids, rep, n = (b.column(i).to_numpy() for i in range(4))
-            sig = b.column(4).to_pylist()
-            new = np.append(True, (block[1:] != block[:-1]) | (ids[1:] != ids[:-1]) | (rep[1:] != rep[:-1]))
-            block, rep, n, sig = block[new], rep[new], n[new], [sig[i] for i in np.flatnonzero(new)]
-            at, out = bounds([block]), []
+        for b in runs(batches, 3):
+            grp, x, y, rep, known, n = (b.column(i).to_numpy() for i in range(6))
+            sig, out = b.column(6).to_pylist(), []
+            at = bounds([grp, x, y])
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                out += [(rep[i + x], rep[i + y]) for x, y in link_any(n[i:j], sig[i:j], num, den)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                out += [(rep[i + p], rep[i + q]) for p, q in link_any(n[i:j], sig[i:j], num, den, known[i:j])]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        met = dealt.join(sets.select("rep", "n_shingles", "sig"), "rep").select("grp", "x", "y", "rep", "known", "n_shingles", "sig")
+        return met.repartition(shuffle_partitions(blocks), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep").mapInArrow(run, "a long, b long")
 
-    met = blocks.join(sets.select("id", "rep", "n_shingles", "sig"), "id").select("block", "id", "rep", "n_shingles", "sig")
-    return met.repartition(shuffle_partitions(blocks), "block").sortWithinPartitions("block", "id", "rep").mapInArrow(run, "a long, b long")
+    members = blocks.join(sets.select("id", "rep", F.length("sig").alias("w")), "id").groupBy(F.col("block").alias("grp"), "rep").agg(F.max("w").alias("w"))
+    return _settle(materialize(members), compare, BLOCK, BITMAPS)
 
 
-def _exact(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``a``, ``b``: true links that join the members (``rep``, ``node``, ``grp``, ``x``, ``y``) of each group and pair of chunks."""
+def _exact(docs: DataFrame, grouped: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``a``, ``b``: true links that join the members (``rep``, ``node``, ``n_shingles``, ``component``) of each coarse group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, 3):
             at, out = bounds([b.column(i).to_numpy() for i in range(3)]), []
-            rep, node, text = b.column(3).to_numpy(), b.column(4), b.column(5)
+            rep, known, node, text = b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5), b.column(6)
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 kept, sets, last = [], [], None
                 for k in range(i, j):
                     if (me := (rep[k], node[k].as_py())) != last and _node(s := shingles(text[k].as_py(), n)) == me[1]:
-                        kept.append(int(rep[k]))
+                        kept.append(k)
                         sets.append(s)
                         last = me
                 if len(sets) < 2:
@@ -167,11 +209,19 @@ def _exact(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> D
 
                 bits = 2 * width(max(len(s) for s in sets))
                 sig = np.stack([bitmap(s, bits) for s in sets])
-                out += [(kept[p], kept[q]) for p, q in link(np.array([len(s) for s in sets]), sig, num, den, linked)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                out += [(int(rep[kept[p]]), int(rep[kept[q]])) for p, q in link(np.array([len(s) for s in sets]), sig, num, den, linked, known[kept])]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
 
-    texts = docs.join(members, F.col("doc_id") == F.col("rep")).select("grp", "x", "y", "rep", "node", "text")
-    return texts.repartition(shuffle_partitions(docs), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep", "node").mapInArrow(run, "a long, b long")
+    def compare(dealt: DataFrame) -> DataFrame:
+        # a rep of several sets (rows of one id) brings each of them
+        dealt = materialize(dealt.join(grouped.select("rep", "node").distinct(), "rep"))
+        if dealt.count() <= SMALL:
+            dealt = F.broadcast(dealt)
+        texts = docs.join(dealt, F.col("doc_id") == F.col("rep")).select("grp", "x", "y", "rep", "known", "node", "text")
+        return texts.repartition(shuffle_partitions(docs), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep", "node").mapInArrow(run, "a long, b long")
+
+    members = grouped.groupBy(F.col("component").alias("grp"), "rep").agg(F.sum("n_shingles").alias("w"))
+    return _settle(materialize(members), compare, MEMBERS, TOKENS)
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,16 +248,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, num: int = 9, den: int =
 
     coarse = components(_coarse(_blocks(_prefixes(docs, counts, n, num, den)), sets, num, den))
     grouped = materialize(coarse.withColumnRenamed("node", "rep").join(sets.select("rep", "node", "n_shingles"), "rep"))
-    chunks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n_shingles") / TOKENS)).cast("int")
-    large = grouped.groupBy("component").agg(chunks.alias("k")).filter("k > 1").withColumnRenamed("component", "grp")
-    members = grouped.withColumnRenamed("component", "grp").join(large, "grp", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    pairs = F.expr("transform(sequence(0, k - 1), i -> struct(least(i, pmod(xxhash64(rep), k)) AS x, greatest(i, pmod(xxhash64(rep), k)) AS y))")
-    members = members.select("rep", "node", "grp", F.explode(pairs).alias("p")).select("rep", "node", "grp", "p.x", "p.y")
-    if grouped.count() <= SMALL:
-        members = F.broadcast(members)
-
     copies = known.join(sets.select("node", "rep"), "node").filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    joined = components(_exact(docs, members, n, num, den).unionByName(copies))
+    joined = components(_exact(docs, grouped, n, num, den).unionByName(copies))
     out = rows.select("doc_id", "n_shingles").join(joined, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

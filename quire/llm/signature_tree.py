@@ -52,11 +52,12 @@ class _Roots:
         self.up[max(i, j)] = min(i, j)
 
 
-def link(sizes: np.ndarray, bitmaps: np.ndarray, num: int, den: int, linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def link(sizes: np.ndarray, bitmaps: np.ndarray, num: int, den: int, linked: Callable[[int, int], bool] | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, root) that join all sets into their components under Jaccard similarity >= num / den.
 
     ``linked`` decides a pair that the bitmaps allow; without it all those count as linked, which can only join more.
-    Sets must not be empty. Every pair is compared or ruled out, but for pairs that others have joined before.
+    Sets of equal ``known`` are in one component from the start. Sets must not be empty. Every pair is compared or ruled
+    out, but for pairs that others have joined before.
     """
     m = len(sizes)
     if m < 2:
@@ -64,6 +65,9 @@ def link(sizes: np.ndarray, bitmaps: np.ndarray, num: int, den: int, linked: Cal
     order = np.lexsort((bitmaps[:, 0], sizes))
     n, sig = sizes[order].astype(np.int64), bitmaps[order]
     excess, roots = n - np.bitwise_count(sig).sum(axis=1, dtype=np.int64), _Roots(m)
+    if known is not None:
+        _, head, which = np.unique(known[order], return_index=True, return_inverse=True)
+        roots.up = head[which].tolist()
 
     # levels[0] are the leaves; each level: OR bitmap, least and greatest size, greatest excess, first and last set
     first = np.arange(0, m, LEAF)
@@ -116,7 +120,7 @@ def link(sizes: np.ndarray, bitmaps: np.ndarray, num: int, den: int, linked: Cal
     return [(int(order[i]), int(order[r])) for i in range(m) if (r := roots.find(i)) != i]
 
 
-def link_any(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+def link_any(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """:func:`link` without ``linked``, for bitmaps of different widths (those of :func:`width`).
 
     Sets that can link differ in width by one step at most: each width is taken alone, with the sets of the next one that
@@ -134,5 +138,5 @@ def link_any(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> lis
             wide = np.frombuffer(b"".join(bitmaps[i] for i in above), dtype=np.uint64).reshape(len(above), 2, -1)
             sig.append(wide[:, 0] | wide[:, 1])
         at = np.concatenate([mine, above])
-        out += [(int(at[i]), int(at[j])) for i, j in link(sizes[at], np.concatenate(sig), num, den)]
+        out += [(int(at[i]), int(at[j])) for i, j in link(sizes[at], np.concatenate(sig), num, den, known=None if known is None else known[at])]
     return out

@@ -71,6 +71,19 @@ def test_jaccard_in_chunks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(docs, 3, 9, 10)
 
 
+@pytest.mark.parametrize("members,block,step", [(5, 4, 2), (3, 1000, 3), (1000, 3, 3)])
+def test_jaccard_in_chunks_of_chains(spark, monkeypatch, members, block, step):
+    """Sliding windows over one long text link in chains, or hardly; blocks and groups are cut into very small chunks."""
+    rng = random.Random(members)
+    long = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    docs = [(rng.randint(0, 10**9), " ".join(long[i : i + 40 + i % 3])) for i in range(0, 300, step)]
+    docs += near_copies(4, 60) + [(docs[0][0], "w1 w2 w3 w4"), (docs[0][0], docs[50][1])]
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, DOCS), n=2).collect()
+    assert len(got) == len(docs) and {r.doc_id: r.component_id for r in got} == brute_components(docs, 2, 9, 10)
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     rows = jaccard_join.jaccard_components(spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d")], DOCS)).collect()
