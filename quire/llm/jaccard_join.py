@@ -5,7 +5,7 @@ n - ceil(t * n) + 1 tokens of either under any one order of tokens; here rarer t
 texts in a fixed number of hash buckets, so common passages hardly meet. Nodes that share such a token are a block.
 
 1. Blocks of nodes' prefix tokens (16 bytes a token); blocks with the same members count once.
-2. In each block a signature tree finds the pairs that bitmaps and sizes allow; they join nodes into coarse groups, which
+2. Members of a block whose size is near no other's go. In each block a signature tree finds the pairs that bitmaps and sizes allow; they join nodes into coarse groups, which
    contain every true component.
 3. Each group's texts meet once, and a signature tree over them decides pairs by their sets.
 4. Connected components of the true links.
@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import SMALL, boxed, materialize, shuffle_partitions
@@ -182,8 +183,12 @@ def _coarse(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         met = dealt.join(sets.select("rep", "n_shingles", "sig"), "rep").select("grp", "x", "y", "rep", "known", "n_shingles", "sig")
         return met.repartition(shuffle_partitions(blocks), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "rep").mapInArrow(run, "a long, b long")
 
-    members = blocks.join(sets.select("id", "rep", F.length("sig").alias("w")), "id").groupBy(F.col("block").alias("grp"), "rep").agg(F.max("w").alias("w"))
-    return _settle(materialize(members), compare, BLOCK, BITMAPS)
+    met = blocks.join(sets.select("id", "rep", "n_shingles", F.length("sig").alias("w")), "id").repartition(shuffle_partitions(blocks), "block")
+    members = met.groupBy(F.col("block").alias("grp"), "rep").agg(F.max("w").alias("w"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    # members whose size no other one of the block comes near link with none there; what stays has a neighbour in size
+    by = W.partitionBy("grp").orderBy("lo")
+    near = (F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1)) * den >= F.col("lo") * num) | (F.lead("lo").over(by) * num <= F.col("hi") * den)
+    return _settle(materialize(members.withColumn("near", near).filter("near").select("grp", "rep", "w")), compare, BLOCK, BITMAPS)
 
 
 def _exact(docs: DataFrame, grouped: DataFrame, n: int, num: int, den: int) -> DataFrame:
