@@ -167,8 +167,8 @@ def long_lines_of(c: Column, width: int = 72) -> Column:
 
 
 def extract_code_blocks(c: Column) -> Column:
-    """Code between markers: an array of (file, code)."""
-    pattern = r"(?s)<CODE BEGINS>(?: file \"([^\"]*)\")?\n(.*?)\n?<CODE ENDS>"
+    """Code between markers, or from one to the end where none closes it: an array of (file, code)."""
+    pattern = r"(?s)<CODE BEGINS>(?: file \"([^\"]*)\")?\n(.*?)(?:\n?<CODE ENDS>|\z)"
     return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda b: F.struct(F.regexp_extract(b, pattern, 1).alias("file"), F.regexp_extract(b, pattern, 2).alias("code")))
 
 

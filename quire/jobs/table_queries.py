@@ -294,6 +294,14 @@ def r42(spark: SparkSession, d: str) -> DataFrame:
     return A.inconsistent_values(table(spark, d, "lineitem"), key="l_orderkey", col="l_returnflag")
 
 
+@query("r42_fill_agreed", """
+WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN l_returnflag END AS flag FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(flag, CASE WHEN min(flag) OVER (PARTITION BY l_orderkey) = max(flag) OVER (PARTITION BY l_orderkey) THEN min(flag) OVER (PARTITION BY l_orderkey) END) AS flag FROM l""")
+def r42b(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 1, F.col("l_returnflag")).alias("flag"))
+    return A.fill_agreed(rows, key="l_orderkey", col="flag")
+
+
 @query("r46_list_counters", """
 WITH l AS (SELECT o_custkey AS grp, o_orderkey AS pos, CASE WHEN o_orderkey % 4 = 0 THEN 10 END AS start, 1 + o_orderkey % 3 AS n FROM orders), s AS (SELECT *, count(start) OVER (PARTITION BY grp ORDER BY pos) AS seg FROM l)
 SELECT grp, pos, CAST(coalesce(max(start) OVER (PARTITION BY grp, seg), 1) + coalesce(sum(n) OVER (PARTITION BY grp, seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM s""")
@@ -323,6 +331,16 @@ def r48(spark: SparkSession, d: str) -> DataFrame:
     return V.unnumbered_order(o, doc="o_custkey", parent="o_custkey", pos="o_orderkey", numbered="numbered").select("o_orderkey")
 
 
+@query("r48_unnumbered_parents", """
+WITH s AS (SELECT o_orderkey AS node, o_orderkey // 1000 AS doc, CASE WHEN o_orderkey % 1000 > 0 THEN o_orderkey - o_orderkey % 1000 + (o_orderkey % 1000) // 3 END AS parent, o_orderstatus <> 'P' AS numbered FROM orders)
+SELECT s.doc, s.node FROM s JOIN s AS p ON s.doc = p.doc AND s.parent = p.node WHERE s.numbered AND NOT p.numbered""")
+def r48b(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as the sections of trees of a thousand."""
+    at = F.col("o_orderkey") % 1000
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 1000").alias("doc"), F.when(at > 0, F.col("o_orderkey") - at + F.expr("(o_orderkey % 1000) div 3")).alias("parent"), (F.col("o_orderstatus") != "P").alias("numbered"))
+    return V.unnumbered_parents(s, doc="doc", node="node", parent="parent", numbered="numbered").select("doc", "node")
+
+
 @query("r49_keep_with_previous", """
 SELECT event_id, coalesce(lead(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id), FALSE) AS keep_with_next FROM events""")
 def r49(spark: SparkSession, d: str) -> DataFrame:

@@ -152,6 +152,15 @@ def r78(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.explode(text.extract_code_blocks(F.col("t"))).alias("b"), text.code_marker_problem(F.col("t")).alias("problem")).select("doc_id", "b.file", "b.code", "problem")
 
 
+@query("r78_open_code_blocks", """
+SELECT doc_id, 'f' || doc_id || '.c' AS file, text AS code, 'missing end' AS problem FROM documents WHERE text IS NOT NULL""")
+def r78b(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that no marker closes: their code goes on to the end of the text."""
+    made = F.concat(F.lit('<CODE BEGINS> file "f'), F.col("doc_id"), F.lit('.c"\n'), F.col("text"))
+    t = table(spark, d, "documents").select("doc_id", made.alias("t"))
+    return t.select("doc_id", F.explode(text.extract_code_blocks(F.col("t"))).alias("b"), text.code_marker_problem(F.col("t")).alias("problem")).select("doc_id", "b.file", "b.code", "problem")
+
+
 @query("r79_wrap_text")
 def r79(spark: SparkSession, d: str) -> DataFrame:
     paras = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para", "p"))

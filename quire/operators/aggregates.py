@@ -99,6 +99,13 @@ def inconsistent_values(rows: DataFrame, *, key: str, col: str) -> DataFrame:
     return d.groupBy(key).agg(F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_list(F.col(col).cast("string"))), ",").alias("vals")).filter("n_values > 1")
 
 
+def fill_agreed(rows: DataFrame, *, key: str, col: str) -> DataFrame:
+    """``rows`` with nulls of ``col`` filled by the one value that the other rows of their key give; where those differ, nulls stay."""
+    one = rows.filter(F.col(col).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")).filter("_lo = _hi")
+    out = rows.join(one, F.col(key) == F.col("_k"), "left")
+    return out.select(*[F.coalesce(c, "_lo").alias(c) if c == col else F.col(c) for c in rows.columns])
+
+
 def mixed_content(el: DataFrame, *, by: list[str], is_block: Column, has_text: Column) -> DataFrame:
     """Parents that hold both blocks and text."""
     return el.groupBy(*by).agg(F.max(is_block).alias("b"), F.max(has_text).alias("t")).filter("b AND t").select(*by)

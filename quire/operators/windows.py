@@ -60,6 +60,12 @@ def unnumbered_order(sections: DataFrame, *, doc: str, parent: str, pos: str, nu
     return sections.withColumn("_b", before).filter((F.col("_b") == 1) & F.col(numbered)).drop("_b")
 
 
+def unnumbered_parents(sections: DataFrame, *, doc: str, node: str, parent: str, numbered: str) -> DataFrame:
+    """Numbered sections right below an unnumbered one. Only ids of unnumbered sections are joined."""
+    plain = sections.filter(~F.col(numbered)).select(F.col(doc).alias("_d"), F.col(node).alias("_n")).distinct()
+    return sections.filter(F.col(numbered)).join(plain, (F.col(doc) == F.col("_d")) & (F.col(parent) == F.col("_n")), "left_semi")
+
+
 def keep_with_previous(rows: DataFrame, *, by: list[str], pos: str, flag: Column) -> DataFrame:
     """``rows`` with ``keep_with_next``: whether the next sibling asks to be kept with this one."""
     return rows.withColumn("keep_with_next", F.coalesce(F.lead(flag).over(W.partitionBy(*by).orderBy(pos)), F.lit(False)))
