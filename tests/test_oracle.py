@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF, duck_rows, rows_of
 
-from quire.jobs import markup_queries, registry, table_queries, text_queries  # noqa: F401
+from quire.jobs import markup_queries, registry, table_queries, text_queries, tree_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
