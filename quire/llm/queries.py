@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, fingerprint, jaccard_join, line_dedup, lm, packing, quality, token_counts, token_files
+from quire.llm import align, chat, decontaminate, fingerprint, jaccard_join, line_dedup, lm, packing, quality, token_counts, token_files, variants
 from quire.llm.common import scratch, table
 
 
@@ -50,6 +50,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_hpylm": op2_hpylm,
@@ -61,10 +69,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat.ORACLE,
+    "op13_spelling_variants": variants.ORACLE,
 }
