@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import align, chat, decontaminate, fingerprint, jaccard_join, line_dedup, lm, packing, quality, token_counts, token_files, variants
+from quire.llm import align, chat, decontaminate, fingerprint, jaccard_join, line_dedup, lm, main_text, packing, quality, token_counts, token_files, variants
 from quire.llm.common import scratch, table
 
 
@@ -54,6 +54,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.digest(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_main_text": op12_main_text,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
