@@ -40,7 +40,18 @@ def scratch(spark: SparkSession) -> str:
 
 def boxed(docs: DataFrame, **more: Column) -> DataFrame:
     """All columns of ``docs`` in one struct, ``row``, beside columns of an operator's own: no name of a user's can clash with those."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+    return docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever is in it, dots and backticks too."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(docs: DataFrame, *but: str) -> list[Column]:
+    """The columns that :func:`boxed` has packed, but for those whose names Spark takes for one of ``but`` (case does not count)."""
+    gone = {c.lower() for c in but}
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in gone]
 
 
 def stored(df: DataFrame) -> str:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SMALL, boxed, lower_ascii, materialize
+from quire.llm.common import SMALL, boxed, lower_ascii, materialize, own_columns
 
 #: Characters that are no part of a word: ASCII without digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     gone = "flatten(transform(_spans, s -> sequence(s.start, s.end - 1)))"
     cut = f"concat(array_join(transform(array_except(sequence(0, size({pieces}) - 1), {gone}), i -> get({pieces}, i)), ''), {tail})"
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(cut))
-    return joined.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return joined.select(*[text.alias(c) if c == text_col else x for c, x in zip(docs.columns, own_columns(docs), strict=True)])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SMALL, SPACES, boxed, hash128, lower_ascii, materialize
+from quire.llm.common import SMALL, SPACES, boxed, hash128, lower_ascii, materialize, own_columns
 
 
 def _key(line: Column) -> Column:
@@ -17,7 +17,7 @@ def _hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(0x51ED27), key).alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     """``docs`` with ``text_col`` rid of repeated lines, and ``n_lines`` (before) and ``n_dropped`` added.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least ``min_chars`` code points
@@ -26,14 +26,26 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null or empty texts are one empty line, and come back as ''. Rows of one id count as one document: a key in two of
     them counts once, and the largest id keeps its lines in all its rows. A null id never counts towards a key's documents
     and loses the lines of every dropped key. Rows of one id may differ in text: each loses its own lines, found by the id
-    and a 128-bit hash of the text. All other columns pass through; columns of ``docs`` named ``n_lines`` or ``n_dropped``
-    are replaced.
+    and a 128-bit hash of the text. All other columns pass through; columns of ``docs`` named ``n_lines`` or ``n_dropped``,
+    in any case, are replaced. ``how``: ``id_col``, ``min_chars`` (20) and ``min_docs`` (3).
 
     Only hashes and positions are exploded, and written once: 60 bytes for each line that is long enough. Counting is
     partial before it shuffles, so a line in a third of all documents costs a row per task. The keys to drop are written and
     counted: up to a million go to every task, more meet the lines by a shuffle. Texts shuffle once, to meet their dropped
     positions.
     """
+    counted = [F.col("n_lines"), F.col("n_dropped")]
+    texts = [F.col("text").alias(c) if c == text_col else x for c, x in zip(docs.columns, own_columns(docs), strict=True) if c.lower() not in ("n_lines", "n_dropped")]
+    return _deduped(docs, text_col=text_col, **how).select(*texts, *counted)
+
+
+def dedup_texts(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """``docs`` as :func:`dedup_lines` leaves their texts, with their own columns only, whatever their names."""
+    return _deduped(docs, text_col=text_col, **how).select(*[F.col("text").alias(c) if c == text_col else x for c, x in zip(docs.columns, own_columns(docs), strict=True)])
+
+
+def _deduped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """``row``, all of a document's columns, and ``text``, ``n_lines``, ``n_dropped``."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     hashed = docs.select(F.col(id_col).alias("_id"), hash128(text_col).alias("_t"), F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when(F.length(F.btrim(x, F.lit(SPACES))) >= min_chars, _hashed(_key(x))).alias("k"))).alias("_l"))
     rows = hashed.select("_id", "_t", F.explode(F.filter("_l", lambda x: x["k"].isNotNull())).alias("_l")).select("_id", F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b"), "_l.pos", "_l.k.h1", "_l.k.h2")
@@ -55,9 +67,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     out = out.withColumn("_lines", lines).withColumn("_drops", F.coalesce("_drops", nothing))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
     text = F.when(F.size("_drops") == 0, F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    placed = {text_col: text, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_drops").cast("long")}
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
-    return out.select(*[placed[c].alias(c) if c in placed else F.col("row").getField(c).alias(c) for c in names])
+    return out.select("row", text.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.size("_drops").cast("long").alias("n_dropped"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

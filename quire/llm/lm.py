@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -414,8 +414,9 @@ def learn(docs: DataFrame, *, which: Column | None = None, id_col: str = "doc_id
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(which, F.lit(False)).alias("learn") if which is not None else F.lit(True).alias("learn"), F.col(text_col).alias("text"))
-    counts_at = stored(count_tokens(src.filter("learn")))
-    counts = spark.read.parquet(counts_at)
+    counted = count_tokens(src.filter("learn"))
+    counts_at = stored(counted)
+    counts = spark.read.schema(counted.schema).parquet(counts_at)
     r = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     n, v = r["n"] or 0, r["v"]
     top = counts.filter("h <> 0").orderBy(F.desc("c"), "h").limit(min(short_codes, HEAD) - 1).toArrow()  # HEAD rows at most
@@ -434,8 +435,17 @@ def learn(docs: DataFrame, *, which: Column | None = None, id_col: str = "doc_id
     pairs_at, table = scratch(spark), f"quire_{uuid.uuid4().hex}"
     # bucketed as they are dealt, so that scoring reads them in place
     merged.write.format("parquet").bucketBy(_spread(docs, head), "bucket").sortBy("bucket").option("path", pairs_at).saveAsTable(table)
-    _tidy(counts_at, spark=spark)
-    pairs = spark.read.parquet(pairs_at).filter("bucket >= 0")
+    try:
+        _tidy(counts_at, spark=spark)
+        return _seated(spark.read.schema(merged.schema).parquet(pairs_at).filter("bucket >= 0"), head, r, count_of, pairs_at, table, words_at, burn_in, samples, inner, theta)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        raise
+
+
+def _seated(pairs: DataFrame, head: Head, r: Row, count_of: np.ndarray, pairs_at: str, table: str, words_at: str, burn_in: int, samples: int, inner: int, theta: float) -> Model:
+    """Samples the seats of all pairs; ``r``: tokens, different tokens, those seen once and twice."""
+    spark, n, v, hot = pairs.sparkSession, r["n"] or 0, r["v"], head.hot
     p = pairs.agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
     discount = lambda one, two: min(0.95, max(0.05, ((one or 0) + 1) / ((one or 0) + 2 * (two or 0) + 2)))
     d, d1, theta1, base = discount(p["n1"], p["n2"]), discount(r["n1"], r["n2"]), 1.0, 0.5 / max(v, 1)
@@ -560,7 +570,7 @@ def score(spark: SparkSession, m: Model) -> DataFrame:
     Rows are scored one by one, those of one id too. Null and empty texts are the END token alone.
     """
     k = len(m.seats)
-    pairs, words = spark.read.parquet(m.pairs), spark.read.parquet(m.words)
+    pairs, words = spark.read.schema(spark.table(m.table).schema).parquet(m.pairs), spark.read.parquet(m.words)
     kind = pairs.schema["ids"].dataType.simpleString()
     near = words.filter(F.col("w").between(0, HEAD - 1)).toArrow()  # HEAD rows at most
     c_head, q_head = np.zeros(HEAD), [np.zeros(HEAD) for _ in range(k)]
@@ -590,6 +600,8 @@ def digest(docs: DataFrame) -> DataFrame:
     held, spark = crc_fold(F.col("doc_id"), 7) == 2, docs.sparkSession
     with small_batches(spark):
         m = learn(docs, which=~held)
-        out = materialize(score(spark, m))
-        forget(spark, m)
+        try:
+            out = materialize(score(spark, m))
+        finally:
+            forget(spark, m)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import boxed, crc_fold
+from quire.llm.common import boxed, crc_fold, own_columns
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -151,10 +151,9 @@ def classify(docs: DataFrame, model: RuleModel, *, text_col: str = "text", thres
     Statistics pass through an explode of one element: a filter on the score stays above it, where they are computed
     already, instead of repeating them for each rule below.
 
-    Null and empty texts are scored by their statistics like any other. Columns of the same names are replaced.
+    Null and empty texts are scored by their statistics like any other. Columns of the same names, in any case, are replaced.
     """
-    columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (score_col, predicted_col)]
-    return _scored(docs, model, text_col).select(*columns, F.col("score").alias(score_col), (F.col("score") >= threshold).cast("int").alias(predicted_col))
+    return _scored(docs, model, text_col).select(*own_columns(docs, score_col, predicted_col), F.col("score").alias(score_col), (F.col("score") >= threshold).cast("int").alias(predicted_col))
 
 
 def _scored(docs: DataFrame, model: RuleModel, text_col: str) -> DataFrame:

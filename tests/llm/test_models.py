@@ -154,6 +154,25 @@ def test_lm_seats_every_pair_and_adds_up(spark, bucket_tokens):
     lm.forget(spark, m)
 
 
+def test_lm_digest_without_rows_or_learnt_rows(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert lm.digest(none).collect() == []
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    got = lm.digest(spark.createDataFrame([(i, "x y") for i in held], DOCS)).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(i, True, 3, 0, 0) for i in held]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quire_")]
+
+
+def test_lm_failure_leaves_no_table(spark, monkeypatch):
+    def fail(*_):
+        raise ValueError("no seats")
+
+    monkeypatch.setattr(lm, "_start", fail)
+    with pytest.raises(Exception, match="no seats"):
+        lm.learn(spark.createDataFrame([(1, "x y")], DOCS))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quire_")]
+
+
 def test_lm_empty(spark):
     none = spark.createDataFrame([], DOCS)
     m = lm.learn(none)

@@ -143,6 +143,34 @@ def test_names_of_a_users_columns_do_not_clash(spark):
         assert f(docs.limit(0)).count() == 0, name
 
 
+def test_names_in_another_case_and_with_marks(spark):
+    """Names that differ from an operator's own in case only, or hold dots and backticks."""
+    import corpus_pipeline
+    from quire.llm import jaccard_join, quality
+
+    rows = [(i, f"line number {i} of many, long enough\nthe quick brown fox jumps over the lazy dog again {i % 3}", f"s{i}") for i in range(12)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = ["N_LINES", "N_Dropped", "Score", "PREDICTED", "Row", "Stats", "a.b", "c`d", "`", "text.x"]
+    docs = plain.select("*", *[F.lit(77).alias(c) for c in odd])
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again 1")], "item_id long, text string")
+    model = quality.fit_rules(np.random.default_rng(0).random((200, 2)), (np.arange(200) % 2).astype(float), ["log_chars", "upper"])
+    same = {
+        "texts": line_dedup.dedup_texts, "whole": lambda d: decontaminate.decontaminate(d, items), "spans": lambda d: decontaminate.decontaminate(d, items, remove="spans"),
+        "one": lambda d: jaccard_join.keep_one(d, n=2, num=1, den=2), "good": lambda d: quality.keep_good(d, model, threshold=0.5),
+    } | {f"stage {n}": lambda d, f=f: f(spark, d, SF) for n, f in corpus_pipeline.STAGES[:-1]}
+    for name, f in same.items():
+        got = f(docs)
+        assert got.columns == docs.columns, name
+        assert sorted(r[:3] for r in got.collect()) == sorted(tuple(r) for r in f(plain).collect()), name
+        assert all(set(r[3:]) == {77} for r in got.collect()), name
+    lines, scored = line_dedup.dedup_lines(docs), quality.classify(docs, model)
+    assert lines.columns == ["doc_id", "text", "source", *odd[2:], "n_lines", "n_dropped"]
+    assert scored.columns == ["doc_id", "text", "source", *odd[:2], *odd[4:], "score", "predicted"]
+    assert scored.filter("score > 0").count() == 12
+    assert lines.filter("n_lines = 2").count() == 12
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()) == len(corpus_pipeline.STAGES[-1][1](spark, plain, SF).collect())
+
+
 def played(events):
     """A log applied event by event."""
     turns = {}
