@@ -23,7 +23,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in one of them; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = line_dedup.dedup_texts(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
