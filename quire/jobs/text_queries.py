@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import fields, helpers, text
 from quire.jobs.registry import query, table
-from quire.operators import windows
+from quire.operators import pages, windows
 from quire.operators.elements import silence_findings
 from quire.sources import corpus
 
@@ -211,8 +212,76 @@ def r53(spark: SparkSession, d: str) -> DataFrame:
     return windows.plain_pages(lines, doc="doc_id", pos="i").select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.col("page").cast("long").alias("page"))
 
 
-@query("r53_assign_pages")
+#: Lines of 30 characters: a paragraph's lines are a block, a blank line stands between two. Some begin with a heading, some are figures.
+LINES = r"""
+p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents),
+q AS (SELECT *, greatest((length(t) + 29) // 30, 1) AS n FROM p),
+o AS (SELECT *, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY p) - n - 1 AS above, max(p) OVER (PARTITION BY doc_id) AS last FROM q),
+k AS (SELECT *, unnest(range(n + 1)) AS k FROM o),
+lines AS (
+  SELECT doc_id AS doc, CAST(above + k AS BIGINT) AS line, k = n OR trim(substr(t, 30 * k + 1, 30)) = '' AS blank, CASE WHEN k < n THEN p END AS block,
+    CASE WHEN k = n THEN NULL WHEN p % 7 = 0 AND k = 0 THEN 'section' WHEN p % 5 = 3 THEN 'figure' ELSE 't' END AS tag
+  FROM k WHERE NOT (k = n AND p = last))"""
+#: The pages of ``lines``.
+PAGES = """
+n AS (SELECT doc, max(line) + 1 AS n FROM lines GROUP BY doc),
+b AS (SELECT doc, block, min(line) AS beg, max(line) + 1 AS stop, arg_min(tag, line) AS kind FROM lines WHERE block IS NOT NULL GROUP BY doc, block),
+c AS (
+  SELECT l.*, beg, stop, kind, coalesce(sum(CASE WHEN tag <> 'section' THEN 1 ELSE 0 END) OVER (PARTITION BY l.doc, l.block ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    list(coalesce(tag = 'section', false)) OVER (PARTITION BY l.doc ORDER BY line ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS flags,
+    min(CASE WHEN NOT blank THEN line END) OVER (PARTITION BY l.doc ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled
+  FROM lines l LEFT JOIN b ON l.doc = b.doc AND l.block = b.block),
+u AS (SELECT *, list_reduce(list_prepend(0, range(1, 15)), lambda d, j: CASE WHEN coalesce(flags[-j], false) AND j - d <= 3 AND d < 12 THEN j ELSE d END) AS up FROM c),
+m AS (
+  SELECT s.doc, s.line, t.line AS due, CASE
+    WHEN t.block IS NULL THEN t.line - t.up
+    WHEN t.kind = 'section' THEN CASE WHEN t.before <= 5 THEN t.beg ELSE t.line END
+    WHEN t.kind IN ('artset', 'artwork', 'figure', 'sourcecode', 'table') THEN CASE WHEN t.stop - t.beg < 48 OR t.line - t.beg <= 5 THEN t.beg ELSE t.line END
+    WHEN (t.line - t.beg BETWEEN 1 AND 2 AND t.stop - t.beg > t.line - t.beg) OR (t.stop - t.line BETWEEN 1 AND 2 AND t.stop - t.beg > t.stop - t.line) THEN t.beg
+    ELSE t.line END AS moved
+  FROM u s JOIN u t ON t.doc = s.doc AND t.line = s.line + CASE WHEN s.line = 0 THEN 52 ELSE 48 END),
+j AS (SELECT doc, line, CASE WHEN moved > line THEN moved ELSE due END AS stop FROM m),
+w AS (
+  SELECT doc, CAST(0 AS BIGINT) AS line, 1 AS page FROM n
+  UNION ALL SELECT w.doc, c.filled, w.page + 1 FROM w JOIN j ON w.doc = j.doc AND w.line = j.line JOIN c ON c.doc = j.doc AND c.line = j.stop WHERE c.filled IS NOT NULL),
+spans AS (SELECT w.doc, w.page, w.line AS first, coalesce(j.stop, n.n) AS stop FROM w JOIN n ON w.doc = n.doc LEFT JOIN j ON w.doc = j.doc AND w.line = j.line),
+paged AS (SELECT l.doc, l.line, coalesce(s.page, 0) AS page FROM lines l LEFT JOIN spans s ON l.doc = s.doc AND l.line >= s.first AND l.line < s.stop)"""
+
+
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """What :data:`LINES` says, with the text of each line."""
+    paras = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "t"))
+    paras = paras.withColumn("n", F.greatest(F.floor((F.length("t") + 29) / 30), F.lit(1)))
+    own = W.partitionBy("doc_id")
+    paras = paras.withColumn("above", F.sum(F.col("n") + 1).over(own.orderBy("p")) - F.col("n") - 1).withColumn("last", F.max("p").over(own))
+    rows = paras.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("p") == F.col("last"), F.col("n") - 1).otherwise(F.col("n")))))
+    text, inside = F.substr("t", (30 * F.col("k") + 1).cast("int"), F.lit(30)), F.col("k") < F.col("n")
+    tag = F.when((F.col("p") % 7 == 0) & (F.col("k") == 0), "section").when(F.col("p") % 5 == 3, "figure").otherwise("t")
+    return rows.select(F.col("doc_id").alias("doc"), (F.col("above") + F.col("k")).alias("line"), (~inside | (F.trim(text) == "")).alias("blank"), F.when(inside, F.col("p")).alias("block"), F.when(inside, tag).alias("tag"), text.alias("text"))
+
+
+@query("r53_assign_pages", f"WITH RECURSIVE {LINES}, {PAGES} SELECT doc AS doc_id, line, page FROM paged")
 def r53b(spark: SparkSession, d: str) -> DataFrame:
+    out = pages.paginate(text_lines(spark, d), doc="doc", line="line", blank="blank", block="block", tag="tag")
+    return out.withColumnRenamed("doc", "doc_id")
+
+
+@query("r56_paged_contents", f"""
+WITH RECURSIVE {LINES.replace("lines AS (", "body AS (")},
+h AS (SELECT doc, line, row_number() OVER (PARTITION BY doc ORDER BY line) AS nth, count(*) OVER (PARTITION BY doc) AS m FROM body WHERE tag = 'section'),
+
+lines AS (
+  SELECT doc, line + coalesce((SELECT max(m) + 1 FROM h WHERE h.doc = body.doc), 0) AS line, blank, block, tag FROM body
+  UNION ALL SELECT doc, nth - 1, false, -1, 'toc' FROM h UNION ALL SELECT doc, max(m), true, NULL, NULL FROM h GROUP BY doc), {PAGES},
+title AS (SELECT doc_id AS doc, substr(t, 1, 30) AS title, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS nth FROM o WHERE p % 7 = 0)
+SELECT h.doc AS doc_id, h.nth, title, g.page, e.page AS entry_page
+FROM h JOIN title ON title.doc = h.doc AND title.nth = h.nth JOIN paged g ON g.doc = h.doc AND g.line = h.line + h.m + 1 JOIN paged e ON e.doc = h.doc AND e.line = h.nth - 1""")
+def r56b(spark: SparkSession, d: str) -> DataFrame:
+    return pages.paged_contents(text_lines(spark, d), doc="doc", line="line", blank="blank", block="block", tag="tag", title="text").withColumnRenamed("doc", "doc_id")
+
+
+@query("r53_wrapped_pages")
+def r53c(spark: SparkSession, d: str) -> DataFrame:
     paras = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block", "p"))
     lines = paras.select("doc_id", "block", F.posexplode(helpers.wrap_text(F.col("p"))).alias("k", "t"))
     lines = lines.select("doc_id", (F.col("block").cast("long") * 1_000_000 + F.col("k")).alias("pos"), "block", "t", F.lit(False).alias("keep"))

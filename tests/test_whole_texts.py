@@ -20,7 +20,7 @@ def documents(spark, tmp_path):
 
 def test_pages_of_a_long_document(spark, documents):
     d = documents([(1, "\n".join(f"line {i}" for i in range(2200))), (2, "x")])
-    got = registry.QUERIES["r53_assign_pages"](spark, d).orderBy("doc_id", "pos").collect()
+    got = registry.QUERIES["r53_wrapped_pages"](spark, d).orderBy("doc_id", "pos").collect()
     assert [r.pos for r in got if r.doc_id == 1] == [i * 1_000_000 for i in range(2200)]
     pages = [r.page for r in got if r.doc_id == 1]
     assert pages == sorted(pages) and pages[-1] > 40
