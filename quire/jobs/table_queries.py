@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import fields, text
 from quire.functions.helpers import place_cells, unique_slugs
+from quire.jobs.folders import shared_folder
 from quire.jobs.registry import query, table
 from quire.operators import aggregates as A
 from quire.operators import elements as E
 from quire.operators import joins as J
 from quire.operators import windows as V
-from quire.streaming.jobs import fresh_fetches_batch
+from quire.streaming.jobs import fetch_job, fresh_fetches_batch
 
 
 def attrs_text(c: str) -> F.Column:
@@ -478,8 +481,22 @@ def r85(spark: SparkSession, d: str) -> DataFrame:
     return place_cells(rows, table="tab", row="row", pos="pos")
 
 
-@query("r91_fresh_fetches", """
+FETCHES = """
 WITH RECURSIVE f AS (SELECT user_id, min(ts) AS t FROM events GROUP BY user_id UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN events e ON e.user_id = f.user_id AND e.ts > f.t + INTERVAL 1 DAY GROUP BY f.user_id)
-SELECT CAST(e.user_id AS VARCHAR) AS key, e.ts, f.t IS NOT NULL AND row_number() OVER (PARTITION BY e.user_id, e.ts) = 1 AS fetched FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.t = e.ts""")
+SELECT CAST(e.user_id AS VARCHAR) AS key, e.ts, f.t IS NOT NULL AND row_number() OVER (PARTITION BY e.user_id, e.ts) = 1 AS fetched FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.t = e.ts"""
+
+
+@query("r91_fresh_fetches", FETCHES)
 def r91(spark: SparkSession, d: str) -> DataFrame:
     return fresh_fetches_batch(table(spark, d, "events"), key="user_id", ts="ts", ttl_days=1)
+
+
+@query("r91_fetch_stream", FETCHES)
+def r91b(spark: SparkSession, d: str) -> DataFrame:
+    """The requests arrive in two halves by time: the second run of the stream goes on from the checkpoint of the first."""
+    base, rows = f"{shared_folder(spark)}/fetches-{uuid.uuid4().hex}", table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    half = rows.agg(F.percentile_approx("ts", F.lit(0.5)).alias("t")).first()["t"]
+    for part in (F.col("ts") <= half, F.col("ts") > half):
+        rows.filter(part).write.mode("append").parquet(f"{base}/in")
+        fetch_job(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=rows.schema, key="user_id", ts="ts", ttl_days=1).awaitTermination()
+    return spark.read.schema("key string, ts timestamp, fetched boolean").parquet(f"{base}/out")
