@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.operators.elements import silence_findings
@@ -27,18 +28,88 @@ class Rule:
 
 def run_rules(el: DataFrame, rules: Iterable[Rule], *, doc: str, node: str) -> DataFrame:
     """``doc``, ``node``, ``severity``, ``code``, ``message``. All rules of one element are evaluated in one pass over the rows."""
-    text = lambda r: (r.message if r.message is not None else F.lit(r.code)).alias("message")
     rules = list(rules)
     flat = [r for r in rules if isinstance(r.check, Column)]
-    found = F.array_compact(F.array(*[F.when(r.selector & r.check, F.struct(F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"), text(r))) for r in flat])) if flat else None
-    parts = [el.select(doc, node, F.explode(found).alias("f")).select(doc, node, "f.*")] if flat else []
-    parts += [r.check(el.filter(r.selector)).select(doc, node, F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"), text(r)) for r in rules if not isinstance(r.check, Column)]
+    parts = [el.select(doc, node, F.explode(found_by(flat)).alias("f")).select(doc, node, "f.*")] if flat else []
+    parts += [r.check(el.filter(r.selector)).select(doc, node, F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"), _message(r)) for r in rules if not isinstance(r.check, Column)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _message(r: Rule) -> Column:
+    return (r.message if r.message is not None else F.lit(r.code)).alias("message")
+
+
+def found_by(rules: Iterable[Rule]) -> Column:
+    """What rules of an element alone find in it: an array of ``severity``, ``code``, ``message``."""
+    return F.array_compact(F.array(*[F.when(r.selector & r.check, F.struct(F.lit(r.severity).alias("severity"), F.lit(r.code).alias("code"), _message(r))) for r in rules]))
+
+
+@dataclass(frozen=True)
+class Relations:
+    """What the checks that compare an element with others of its document need of it; each may be null.
+
+    ``link``: an address, to be named once. ``name``: an id, or what a reference (``refers``) points to. ``opens``: it begins a
+    section, which must not hold both ``block`` and ``text``. ``agree``: a value that all that have one must share.
+    ``numbered``: whether a section has a number, which none may have after one without.
+    """
+
+    link: Column
+    name: Column
+    refers: Column
+    opens: Column
+    block: Column
+    text: Column
+    agree: Column
+    numbered: Column
+
+
+#: Severities of findings about relations.
+SEVERITIES = {"duplicate-link": "error", "unresolved": "error", "unused": "warning", "mixed-content": "warning", "inconsistent": "error", "unnumbered-order": "error"}
+
+
+def lint_elements(el: DataFrame, rules: Iterable[Rule], relations: Relations, *, doc: str, node: str, more: Iterable[Column] = (), severities: dict[str, str] | None = None, silence: Iterable[str] = ()) -> DataFrame:
+    """All checks of a corpus in one scan and one shuffle: ``doc``, ``node``, ``severity``, ``code``, ``message``.
+
+    Rules of one element (``more``: arrays of findings) are one expression over it, evaluated where it is read. What they found goes on with the few
+    short columns of ``relations``, dealt by document, and every other check is a window within that. Texts do not move.
+    """
+    given, r = SEVERITIES | (severities or {}), relations
+    say = lambda when, code, *message: F.when(when, F.struct(F.lit(given[code]).alias("severity"), F.lit(code).alias("code"), F.concat(*message).alias("message")))
+    parts = {"link": r.link, "name": r.name, "refers": r.refers, "opens": r.opens, "block": r.block, "text": r.text, "agree": r.agree, "numbered": r.numbered}
+    rows = el.select(F.col(doc).alias("doc"), F.col(node).alias("node"), F.concat(found_by(rules), *more).alias("found"), *[c.alias(k) for k, c in parts.items()])
+    used = (F.size("found") > 0) | F.col("opens") | F.col("block") | F.col("text")
+    for k in ("link", "name", "agree", "numbered"):
+        used = used | F.col(k).isNotNull()
+    rows = rows.filter(used).repartition("doc")
+    ordered, whole = W.partitionBy("doc").orderBy("node"), W.partitionBy("doc")
+    rows = rows.select(
+        "*", F.coalesce(F.max(F.when(F.col("opens"), F.col("node"))).over(ordered), F.lit(0)).alias("sect"),
+        F.max(~F.col("numbered")).over(ordered.rowsBetween(W.unboundedPreceding, -1)).alias("late"),
+        F.min("agree").over(whole).alias("least"), F.max("agree").over(whole).alias("most"), F.min(F.when(F.col("agree").isNotNull(), F.col("node"))).over(whole).alias("first"),
+    )
+    section, named = W.partitionBy("doc", "sect"), W.partitionBy("doc", "name")
+    rows = rows.select(
+        "*", (F.max("block").over(section) & F.max("text").over(section)).alias("mixed"), F.min("node").over(section).alias("begin"),
+        F.max(~F.col("refers")).over(named).alias("there"), F.max("refers").over(named).alias("meant"),
+        F.row_number().over(W.partitionBy("doc", "link").orderBy("node")).alias("nth"),
+    )
+    here = F.array(
+        say(F.col("link").isNotNull() & (F.col("nth") > 1), "duplicate-link", F.lit("Link to "), "link", F.lit(" again")),
+        say(F.col("refers") & ~F.col("there"), "unresolved", F.lit("Nothing is named "), "name"),
+        say(~F.col("refers") & ~F.col("meant"), "unused", F.lit("Nothing refers to "), "name"),
+        say((F.col("least") != F.col("most")) & (F.col("node") == F.col("first")), "inconsistent", F.lit("Values that must agree differ")),
+        say(F.col("numbered") & F.col("late"), "unnumbered-order", F.lit("Numbered after one without a number")),
+    )
+    at = lambda n, f: F.transform(f, lambda x: F.struct(n.alias("node"), x["severity"].alias("severity"), x["code"].alias("code"), x["message"].alias("message")))
+    mixed = F.array_compact(F.array(say(F.col("mixed") & (F.col("node") == F.col("begin")), "mixed-content", F.lit("Blocks and text in one section"))))
+    out = rows.select("doc", F.explode(F.concat(at(F.col("node"), F.concat("found", F.array_compact(here))), at(F.col("sect"), mixed))).alias("f"))
+    out = out.select(F.col("doc").alias(doc), F.col("f.node").alias(node), "f.severity", "f.code", "f.message")
+    return silence_findings(out, silence)
+
+
 def lint(findings: Iterable[DataFrame], *, silence: Iterable[str] = ()) -> DataFrame:
     """The union of checks' findings, without those that a pattern silences."""
     out = None

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import fields, text
-from quire.jobs.folders import shared_folder, written
-from quire.jobs.lint import Rule, lint, run_rules, without_errors
+from quire.jobs.folders import shared_folder
+from quire.jobs.lint import Relations, Rule, lint_elements, run_rules, without_errors
 from quire.jobs.registry import query, table
 from quire.jobs.vocab import BLOCKS, DEPRECATED, KNOWN
 from quire.operators import aggregates as A
@@ -100,7 +100,7 @@ def r16(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r18_reserved_prefixes", rf"WITH {HREFS}, i AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE WHEN pos % 3 = 0 THEN 'figure-' ELSE '' END || substr(href, 2) AS anchor FROM hrefs) SELECT * FROM i WHERE regexp_matches(anchor, '^(section|figure|table|iref|u)-')")
 def r18(spark: SparkSession, d: str) -> DataFrame:
-    i = hrefs(spark, d).select("page_id", F.col("pos").cast("long").alias("pos"), F.concat(F.when(F.col("pos") % 3 == 0, "figure-").otherwise(""), F.substring("href", 2, 999)).alias("anchor"))
+    i = hrefs(spark, d).select("page_id", F.col("pos").cast("long").alias("pos"), F.concat(F.when(F.col("pos") % 3 == 0, "figure-").otherwise(""), F.substr("href", F.lit(2))).alias("anchor"))
     return E.reserved_prefix_findings(i)
 
 
@@ -170,7 +170,7 @@ def r74b(spark: SparkSession, d: str) -> DataFrame:
 WITH {HREFS}, s AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, CASE pos % 5 WHEN 0 THEN 'ftp:' || href WHEN 1 THEN substr(href, 2) || '/../../up' WHEN 2 THEN substr(href, 2) || ';rm' WHEN 3 THEN href ELSE 'sub/' || substr(href, 2) END AS src FROM hrefs)
 SELECT page_id, pos, CASE pos % 5 WHEN 0 THEN 'scheme' WHEN 1 THEN 'outside' WHEN 2 THEN 'shell' ELSE 'outside' END AS code FROM s WHERE pos % 5 < 4""")
 def r75(spark: SparkSession, d: str) -> DataFrame:
-    m, h = F.col("pos") % 5, F.substring("href", 2, 999)
+    m, h = F.col("pos") % 5, F.substr("href", F.lit(2))
     src = F.when(m == 0, F.concat(F.lit("ftp:"), "href")).when(m == 1, F.concat(h, F.lit("/../../up"))).when(m == 2, F.concat(h, F.lit(";rm"))).when(m == 3, F.col("href")).otherwise(F.concat(F.lit("sub/"), h))
     return hrefs(spark, d).select("page_id", F.col("pos").cast("long").alias("pos"), fields.src_problem(src).alias("code")).filter("code IS NOT NULL")
 
@@ -226,31 +226,73 @@ def r92(spark: SparkSession, d: str) -> DataFrame:
     return run_rules(tokens(spark, d), page_rules(), doc="page_id", node="pos").withColumn("pos", F.col("pos").cast("long"))
 
 
+#: What the SQL of all checks knows of each token: its link, its name and what it points to.
+MARKED = r"""
+marked AS (
+  SELECT *, CASE WHEN tag = 'a' AND NOT is_close AND contains(attrs_raw, 'href=') THEN regexp_extract(attrs_raw, 'href=["\']([^"\']*)["\']', 1) END AS href,
+    CASE WHEN tag = 'html' AND contains(attrs_raw, 'lang=') THEN regexp_extract(attrs_raw, 'lang="([^"]*)"', 1) END AS lang FROM tokens),
+told AS (
+  SELECT *, tag = 'a' AS refers, nullif(CASE WHEN href IS NOT NULL THEN regexp_extract(href, '^/([A-Za-z]+)', 1) WHEN tag = 'p' AND NOT is_close THEN regexp_extract(text, '^([A-Za-z]+)', 1) END, '') AS name,
+    CASE pos % 3 WHEN 1 THEN text WHEN 2 THEN 'Ω' || text END AS spelt, CASE WHEN pos % 3 < 2 THEN substr(href, 2) END AS twin,
+    TRY_CAST(printf('2024-%02d-%02d', length(text) % 14, length(text) % 31) AS DATE) AS dated FROM marked)""".replace("\\'", "''")
+
 ALL = f"""
+{MARKED},
 f AS ({RULES}
 UNION ALL SELECT page_id, pos, 'error', 'unknown-tag', 'Unknown tag ' || tag FROM tokens WHERE tag NOT IN ({sql_list(KNOWN)})
 UNION ALL SELECT page_id, pos, 'warning', 'duplicate-link', 'Link to ' || href || ' again' FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS nth FROM hrefs) WHERE nth > 1
 UNION ALL SELECT page_id, pos, CASE WHEN length(href) > 10 THEN 'error' ELSE 'warning' END, 'src', 'Link ' || href || ' is outside' FROM hrefs WHERE starts_with(href, '/')
 UNION ALL SELECT page_id, sect, 'warning', 'mixed-content', 'Blocks and text in one section' FROM (SELECT *, coalesce(max(CASE WHEN tag IN ('nav', 'div', 'article', 'footer') AND NOT is_close THEN pos END) OVER (PARTITION BY page_id ORDER BY pos), 0) AS sect FROM tokens)
-  GROUP BY page_id, sect HAVING bool_or(tag IN ({sql_list(BLOCKS)})) AND bool_or(tag = 'b' AND trim(text) <> '')),
+  GROUP BY page_id, sect HAVING bool_or(tag IN ({sql_list(BLOCKS)})) AND bool_or(tag = 'b' AND trim(text) <> '')
+UNION ALL SELECT page_id, pos, 'note', 'typed-attr', 'lang is no number: ' || lang FROM told WHERE NOT regexp_matches(lang, '^[0-9]+$') AND lang <> 'en'
+UNION ALL SELECT page_id, pos, 'warning', 'reserved-prefix', 'Reserved: ' || name FROM told WHERE name IS NOT NULL AND (pos % 7 = 0 OR regexp_matches(name, '^(section|figure|table|iref|u)-'))
+UNION ALL SELECT page_id, pos, 'warning', 'unresolved', 'Nothing is named ' || name FROM told t WHERE refers AND name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM told o WHERE o.page_id = t.page_id AND o.name = t.name AND NOT o.refers)
+UNION ALL SELECT page_id, pos, 'note', 'unused', 'Nothing refers to ' || name FROM told t WHERE NOT refers AND name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM told o WHERE o.page_id = t.page_id AND o.name = t.name AND o.refers)
+UNION ALL SELECT page_id, min(pos), 'warning', 'inconsistent', 'Values that must agree differ' FROM tokens WHERE tag IN ('title', 'h1') AND NOT is_close GROUP BY page_id HAVING count(DISTINCT text) > 1
+UNION ALL SELECT page_id, pos, 'note', 'unnumbered-order', 'Numbered after one without a number' FROM (
+  SELECT *, max(CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM tokens WHERE tag = 'p' AND NOT is_close) WHERE late = 1 AND length(text) % 5 <> 0
+UNION ALL SELECT page_id, pos, 'note', 'date', 'Date is ' || CASE WHEN dated IS NULL THEN 'invalid' ELSE 'not today' END FROM told WHERE tag = 'h1' AND NOT is_close AND (dated IS NULL OR abs(date_diff('day', DATE '2024-06-15', dated)) > 3)
+UNION ALL SELECT page_id, pos, 'note', 'docname', substr(href, 2) || ': ' || CASE WHEN contains(substr(href, 2), '.') THEN 'dot' ELSE 'no revision' END FROM told WHERE contains(substr(href, 2), '.') OR NOT regexp_matches(substr(href, 2), '-[0-9]{{2}}$')
+UNION ALL SELECT page_id, pos, 'note', 'pair', CASE WHEN spelt = twin THEN 'redundant' WHEN spelt IS NULL THEN 'orphan' ELSE 'missing' END FROM told WHERE href IS NOT NULL AND (spelt = twin OR (spelt IS NULL AND twin IS NOT NULL) OR (twin IS NULL AND spelt IS NOT NULL))),
 kept AS (SELECT * FROM f WHERE NOT (starts_with(message, 'Link to /the') OR regexp_matches(message, '^(?:Link to /the)') OR starts_with(message, 'Text of [5-9]..') OR regexp_matches(message, '^(?:Text of [5-9]..)')))"""
 
 
 def findings(spark: SparkSession, d: str, t: DataFrame | None = None) -> DataFrame:
     """All checks of the pages, silenced ones left out. Links outside are errors if they are long, so that pages of both kinds occur.
 
-    Pages are taken apart once: their tokens are written, and each check reads the columns that it needs.
+    Pages stand for documents: links refer to paragraphs by their first word, headings are dates by their length, paragraphs of
+    a length that five divides have no number.
     """
-    t = written(tokens(spark, d) if t is None else t)
-    at = lambda severity, code, *message: [F.col("pos"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.concat(*message).alias("message")]
-    links = t.filter("tag = 'a' AND NOT is_close").select("page_id", "pos", fields.parse_pi(F.col("attrs_raw"))["href"].alias("href")).filter("href IS NOT NULL")
-    known = E.vocabulary_findings(t, names(t.sparkSession, KNOWN), names(t.sparkSession, ())).select("page_id", "pos", "severity", "code", F.concat(F.lit("Unknown tag "), "tag").alias("message"))
-    again = A.duplicate_ids(links, by=["page_id", "href"], order=["pos"]).select("page_id", *at("warning", "duplicate-link", F.lit("Link to "), "href", F.lit(" again")))
-    src = links.filter(fields.src_problem(F.col("href")) == "outside").select("page_id", "pos", F.when(F.length("href") > 10, "error").otherwise("warning").alias("severity"), F.lit("src").alias("code"), F.concat(F.lit("Link "), "href", F.lit(" is outside")).alias("message"))
-    opener = F.when(F.col("tag").isin("nav", "div", "article", "footer") & ~F.col("is_close"), F.col("pos"))
-    sections = t.select("page_id", F.coalesce(F.max(opener).over(W.partitionBy("page_id").orderBy("pos")), F.lit(0)).alias("pos"), "tag", "text")
-    mixed = A.mixed_content(sections, by=["page_id", "pos"], is_block=F.col("tag").isin(*BLOCKS), has_text=(F.col("tag") == "b") & (F.trim("text") != "")).select("page_id", *at("warning", "mixed-content", F.lit("Blocks and text in one section")))
-    return lint([run_rules(t, page_rules(), doc="page_id", node="pos"), known, again, src, mixed], silence=["Note: Link to /the", "Text of [5-9].."])
+    t = tokens(spark, d) if t is None else t
+    opened, size, text_col = ~F.col("is_close"), F.length("text"), F.col("text")
+    href = F.when((F.col("tag") == "a") & opened, fields.parse_pi(F.col("attrs_raw"))["href"])
+    t = t.withColumn("href", href).withColumn("lang", F.when(F.col("tag") == "html", fields.parse_pi(F.col("attrs_raw"))["lang"]))
+    first_word = F.when(F.col("href").isNotNull(), F.regexp_extract("href", "^/([A-Za-z]+)", 1)).when((F.col("tag") == "p") & opened, F.regexp_extract("text", "^([A-Za-z]+)", 1))
+    t = t.withColumn("name", F.when(first_word != "", first_word))
+    third, doc_name = F.col("pos") % 3, F.substr("href", F.lit(2))
+    pair = E.pair_problem(F.when(third == 1, text_col).when(third == 2, F.concat(F.lit("Ω"), "text")), F.when(third < 2, doc_name))
+    anchor = F.concat(F.when(F.col("pos") % 7 == 0, "figure-").otherwise(""), "name")
+    named, outside = fields.docname_problem(doc_name), fields.src_problem(F.col("href")) == "outside"
+    rules = [
+        *page_rules(),
+        Rule(F.lit(True), "error", "unknown-tag", ~F.col("tag").isin(*KNOWN), F.concat(F.lit("Unknown tag "), "tag")),
+        Rule(F.length("href") > 10, "error", "src", outside, F.concat(F.lit("Link "), "href", F.lit(" is outside"))),
+        Rule(F.length("href") <= 10, "warning", "src", outside, F.concat(F.lit("Link "), "href", F.lit(" is outside"))),
+        Rule(F.lit(True), "note", "typed-attr", E.is_no_integer(F.col("lang"), F.lit("en")), F.concat(F.lit("lang is no number: "), "lang")),
+        Rule(F.lit(True), "warning", "reserved-prefix", E.is_reserved(anchor), F.concat(F.lit("Reserved: "), "name")),
+        Rule(F.lit(True), "note", "docname", named.isNotNull(), F.concat(doc_name, F.lit(": "), named)),
+        Rule(F.col("href").isNotNull(), "note", "pair", pair.isNotNull(), pair),
+    ]
+    dates = fields.date_findings(F.lit("2024"), (size % 14).cast("string"), (size % 31).cast("string"), F.to_date(F.lit("2024-06-15")))
+    told = F.transform(dates, lambda x: F.struct(F.lit("note").alias("severity"), F.lit("date").alias("code"), F.concat(F.lit("Date is "), x["code"]).alias("message")))
+    relations = Relations(
+        link=F.col("href"), name=F.col("name"), refers=F.when(F.col("name").isNotNull(), F.col("tag") == "a"), opens=F.col("tag").isin("nav", "div", "article", "footer") & opened, block=F.col("tag").isin(*BLOCKS),
+        text=(F.col("tag") == "b") & (F.trim("text") != ""), agree=F.when(F.col("tag").isin("title", "h1") & opened, text_col), numbered=F.when((F.col("tag") == "p") & opened, size % 5 != 0),
+    )
+    severities = {"duplicate-link": "warning", "unresolved": "warning", "unused": "note", "inconsistent": "warning", "unnumbered-order": "note"}
+    heading = (F.col("tag") == "h1") & opened
+    more = [F.when(heading, told).otherwise(F.array().cast("array<struct<severity:string,code:string,message:string>>"))]
+    return lint_elements(t, rules, relations, doc="page_id", node="pos", more=more, severities=severities, silence=["Note: Link to /the", "Text of [5-9].."])
 
 
 @query("lint", f"WITH {HREFS}, {ALL} SELECT severity, code, count(*) AS n, count(DISTINCT page_id) AS pages FROM kept GROUP BY severity, code")

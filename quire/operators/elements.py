@@ -100,10 +100,15 @@ def clean_attrs(el: DataFrame, *, rename: dict[str, str], keep_space: Iterable[s
 def check_typed_attrs(el: DataFrame, spec: dict[str, str | None], *, attrs_col: str = "attrs") -> DataFrame:
     """A row (element's columns, ``attr``, ``value``) for each integer attribute of ``spec`` that isn't digits nor its default there."""
     tests = [F.struct(F.lit(a).alias("attr"), F.col(attrs_col)[a].alias("value"), F.lit(d).cast("string").alias("default")) for a, d in spec.items()]
-    rows = el.select("*", F.explode(F.array(*tests)).alias("_t")).filter(F.col("_t.value").isNotNull() & ~F.col("_t.value").rlike("^[0-9]+$") & ~F.col("_t.value").eqNullSafe(F.col("_t.default")))
+    rows = el.select("*", F.explode(F.array(*tests)).alias("_t")).filter(is_no_integer(F.col("_t.value"), F.col("_t.default")))
     return rows.select(*el.columns, "_t.attr", "_t.value")
 
 
+def is_no_integer(value: Column, default: Column) -> Column:
+    """Whether a value is there and neither digits nor the default."""
+    return value.isNotNull() & ~value.rlike("^[0-9]+$") & ~value.eqNullSafe(default)
+
+
 def rename_tags(el: DataFrame, mapping: DataFrame, *, tag_col: str = "tag", style: Column | None = None) -> DataFrame:
     """Tags renamed by ``mapping`` (tag, style, new_tag); a null style there holds for every style that has no row of its own."""
     m = mapping.select(F.col("tag").alias("_tag"), F.col("style").alias("_style"), F.col("new_tag").alias("_new"))
@@ -145,7 +150,18 @@ RESERVED = ("section", "figure", "table", "iref", "u")
 
 def reserved_prefix_findings(ids: DataFrame, *, id_col: str = "anchor", prefixes: Iterable[str] = RESERVED) -> DataFrame:
     """Rows whose id starts with a reserved prefix and a hyphen."""
-    return ids.filter(F.col(id_col).rlike(f"^({'|'.join(map(re.escape, prefixes))})-"))
+    return ids.filter(is_reserved(F.col(id_col), prefixes))
+
+
+def is_reserved(c: Column, prefixes: Iterable[str] = RESERVED) -> Column:
+    """Whether an id starts with a reserved prefix and a hyphen."""
+    return c.rlike(f"^({'|'.join(map(re.escape, prefixes))})-")
+
+
+def pair_problem(full: Column, twin: Column) -> Column:
+    """What is wrong with a value and its ASCII twin, or null: "redundant", "orphan" or "missing"."""
+    lacks = full.isNotNull() & twin.isNull() & ~is_ascii(full) & ~is_script(full, "Latin")
+    return F.when(full.isNotNull() & (full == twin), "redundant").when(full.isNull() & twin.isNotNull(), "orphan").when(lacks, "missing")
 
 
 def redundant_pairs(el: DataFrame, pairs: dict[str, str], *, attrs_col: str = "attrs") -> tuple[DataFrame, DataFrame]:
@@ -157,8 +173,7 @@ def redundant_pairs(el: DataFrame, pairs: dict[str, str], *, attrs_col: str = "a
     a = F.col(attrs_col)
     checks = []
     for full, twin in pairs.items():
-        code = F.when(a[full].isNotNull() & (a[full] == a[twin]), "redundant").when(a[full].isNull() & a[twin].isNotNull(), "orphan").when(a[full].isNotNull() & a[twin].isNull() & ~is_ascii(a[full]) & ~is_script(a[full], "Latin"), "missing")
-        checks.append(F.struct(F.lit(twin).alias("attr"), code.alias("code")))
+        checks.append(F.struct(F.lit(twin).alias("attr"), pair_problem(a[full], a[twin]).alias("code")))
     rows = el.select("*", F.explode(F.array(*checks)).alias("_c")).filter("_c.code IS NOT NULL")
     found = rows.select(*el.columns, F.when(F.col("_c.code") == "redundant", "warning").otherwise("error").alias("severity"), F.col("_c.code").alias("code"), F.col("_c.attr").alias("attr"))
     drop = lambda k, v: F.lit(False)
