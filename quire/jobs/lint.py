@@ -80,10 +80,7 @@ def lint_elements(el: DataFrame, rules: Iterable[Rule], relations: Relations, *,
     say = lambda when, code, *message: F.when(when, F.struct(F.lit(given[code]).alias("severity"), F.lit(code).alias("code"), F.concat(*message).alias("message")))
     parts = {"link": r.link, "name": r.name, "refers": r.refers, "opens": r.opens, "block": r.block, "text": r.text, "agree": r.agree, "numbered": r.numbered}
     rows = el.select(F.col(doc).alias("doc"), F.col(node).alias("node"), F.concat(found_by(rules), *more).alias("found"), *[c.alias(k) for k, c in parts.items()])
-    used = (F.size("found") > 0) | F.col("opens") | F.col("block") | F.col("text")
-    for k in ("link", "name", "agree", "numbered"):
-        used = used | F.col(k).isNotNull()
-    rows = rows.filter(used).repartition("doc")
+    rows = rows.repartition("doc")
     ordered, whole = W.partitionBy("doc").orderBy("node"), W.partitionBy("doc")
     rows = rows.select(
         "*", F.coalesce(F.max(F.when(F.col("opens"), F.col("node"))).over(ordered), F.lit(0)).alias("sect"),

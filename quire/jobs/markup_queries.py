@@ -53,12 +53,12 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r06_anchor_info_json", f"""
 WITH {TOKENS}, h AS (SELECT page_id, lower(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS a, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM tokens WHERE tag IN ('title', 'h1', 'p') AND NOT is_close),
-g AS (SELECT page_id, substr(a, 1, 12) AS a, min(CAST(n AS VARCHAR)) AS n FROM h WHERE a <> '' GROUP BY 1, 2)
+g AS (SELECT page_id, a, min(CAST(n AS VARCHAR)) AS n FROM h WHERE a <> '' GROUP BY 1, 2)
 SELECT CAST(page_id AS BIGINT) AS doc_id, '{{' || string_agg('"' || a || '":"' || n || '"', ',' ORDER BY a) || '}}' AS json FROM g GROUP BY page_id""")
 def r06(spark: SparkSession, d: str) -> DataFrame:
     t = V.flat_numbers(tokens(spark, d).filter("tag IN ('title', 'h1', 'p') AND NOT is_close").withColumn("kind", F.lit("section")), doc="page_id", kind="kind", pos="pos")
     name = F.lower(F.regexp_replace("text", "[^A-Za-z]+", ""))
-    anchor = F.when(name != "", F.substring(name, 1, 12)).otherwise("anchor-1")
+    anchor = F.when(name != "", name).otherwise("anchor-1")
     return anchor_info_json(t.withColumn("anchor", anchor), doc_col="page_id")
 
 

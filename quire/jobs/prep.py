@@ -15,13 +15,14 @@ from quire.sources.corpus import explode_elements
 
 @dataclass(frozen=True)
 class Prepared:
-    """``elements``, ``sections`` (number, pn, title, visible), ``xrefs`` (derived), ``toc`` and ``findings`` of a corpus."""
+    """``elements``, ``sections`` (number, pn, title, visible), ``xrefs`` (derived), ``toc``, ``findings`` and ``paragraphs`` (pn) of a corpus."""
 
     elements: DataFrame
     sections: DataFrame
     xrefs: DataFrame
     toc: DataFrame
     findings: DataFrame
+    paragraphs: DataFrame
 
 
 def sections_of(el: DataFrame) -> DataFrame:
@@ -75,7 +76,9 @@ def prepare(docs: DataFrame, *, defaults: DataFrame | None = None, depth: int =
 
     order = F.col("node_id")
     toc = windows.table_of_contents(sec, doc="doc_id", pos=order, number="number", title="name", level=fields.section_level(F.col("number")), appendix=F.col("part") == "back", page=F.lit(""))
-    return Prepared(el, sec, xrefs, toc.withColumn("line", F.rtrim("line")), findings)
+    apart = el.filter(F.col("tag").isin("abstract", "note", "references")).select("doc_id", "node_id", F.col("attrs")["pn"].alias("pn"))
+    paragraphs = windows.nested_paragraph_numbers(el, sec.select("doc_id", "node_id", "pn").unionByName(apart))
+    return Prepared(el, sec, xrefs, toc.withColumn("line", F.rtrim("line")), findings, paragraphs)
 
 
 #: Elements whose text may hold any character: fixed values.

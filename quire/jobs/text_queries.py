@@ -187,12 +187,13 @@ def r86(spark: SparkSession, d: str) -> DataFrame:
 @query("r88_compare_corpora", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 o AS (SELECT doc_id, line, count(*) AS n FROM l WHERE NOT regexp_matches(line, '^Released under') GROUP BY ALL),
-w AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, CASE WHEN i % 7 = 0 THEN 'x' || line ELSE line END AS line FROM l WHERE i % 11 <> 0) WHERE NOT regexp_matches(line, '^Released under') GROUP BY ALL),
+w AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, CASE WHEN i % 7 = 0 THEN 'x' || line WHEN i % 11 = 0 THEN line || '!' ELSE line END AS line FROM l) WHERE NOT regexp_matches(line, '^Released under') GROUP BY ALL),
 j AS (SELECT coalesce(o.doc_id, w.doc_id) AS doc_id, coalesce(o.line, w.line) AS line, coalesce(w.n, 0) - coalesce(o.n, 0) AS d FROM o FULL JOIN w ON o.doc_id = w.doc_id AND o.line = w.line)
 SELECT doc_id, line, CASE WHEN d > 0 THEN 'new' ELSE 'old' END AS side, abs(d) AS n FROM j WHERE d <> 0""")
 def r88(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    new = lines.filter((F.col("i") + 1) % 11 != 0).withColumn("line", F.when((F.col("i") + 1) % 7 == 0, F.concat(F.lit("x"), "line")).otherwise(F.col("line")))
+    nth = F.col("i") + 1
+    new = lines.withColumn("line", F.when(nth % 7 == 0, F.concat(F.lit("x"), "line")).when(nth % 11 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
     return windows.compare_corpora(lines, new, key="doc_id", line="line", ignore="^Released under")
 
 

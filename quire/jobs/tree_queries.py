@@ -65,3 +65,80 @@ def prepare_sections(spark: SparkSession, d: str) -> DataFrame:
 @query("prepare_xrefs", f"WITH {TREES} SELECT doc_id, 't' || i AS target, 'Section ' || (i + 1) AS derived FROM c")
 def prepare_xrefs(spark: SparkSession, d: str) -> DataFrame:
     return prepare(conversation_trees(spark, d)).xrefs.select("doc_id", "target", "derived")
+
+
+def customer_trees(spark: SparkSession, d: str) -> DataFrame:
+    """``doc_id``, ``xml``: a document for each customer. Priorities hold orders, orders hold lines; pending orders are appendices.
+
+    Orders have marks for the contents; lines repeat ids, refer to their order, to a line, or to nothing, and hold a list whose
+    length differs, some of them a figure.
+    """
+    key = [F.col(f"l_{c}").alias(c) for c in ("linenumber", "partkey", "suppkey", "quantity")]
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*key))).alias("lines"))
+    item = F.lit("<li><t>one</t><t>two</t></li>")
+
+    def line(x: Column, i: Column) -> Column:
+        target = F.when(x["suppkey"] % 3 == 0, F.concat(F.lit("o"), "o_orderkey")).when(x["suppkey"] % 3 == 1, F.concat(F.lit("d"), x["partkey"] % 50)).otherwise(F.concat(F.lit("gone"), x["partkey"]))
+        form = F.when(x["linenumber"] % 3 == 0, "counter").when(x["linenumber"] % 3 == 1, "title").otherwise("default")
+        parts = [
+            F.lit('<section anchor="d'), x["partkey"] % 50, F.lit('"><name>Line '), i + 1, F.lit('</name><t><xref target="'), target, F.lit('" format="'), form, F.lit('"/></t><ul>'),
+            F.repeat(item, (x["quantity"] % 3).cast("int") + 1), F.lit("</ul>"), F.when(x["partkey"] % 2 == 0, "<figure/>").otherwise(""), F.lit("<t>end</t></section>"),
+        ]
+        return F.concat(*parts)
+
+    mark = F.when(F.col("o_orderkey") % 5 == 0, ' toc="include"').when(F.col("o_orderkey") % 7 == 0, ' toc="exclude"').otherwise("")
+    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    body = F.array_join(F.transform(F.coalesce("lines", F.array()), line), "")
+    xml = F.concat(F.lit('<section anchor="o'), "o_orderkey", F.lit('"'), mark, F.lit("><name>Order "), "o_orderkey", F.lit("</name>"), body, F.lit("</section>"))
+    orders = orders.select("o_custkey", (F.col("o_orderstatus") == "P").alias("back"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"), F.struct("o_orderkey", xml.alias("xml")).alias("o"))
+    inner = orders.groupBy("o_custkey", "back", "priority").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    xml = F.when(F.col("back"), F.col("xml")).otherwise(F.concat(F.lit("<section><name>"), "priority", F.lit("</name>"), "xml", F.lit("</section>")))
+    whole = inner.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("back", "priority", xml.alias("xml")))).alias("s"))
+    part = lambda back: F.array_join(F.transform(F.filter("s", lambda x: x["back"] == back), lambda x: x["xml"]), "")
+    return whole.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc><front/><middle>"), part(F.lit(False)), F.lit("</middle><back>"), part(F.lit(True)), F.lit("</back></rfc>")).alias("xml"))
+
+
+DEEP = """
+o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS k, o_orderstatus = 'P' AS back, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS pri, CASE WHEN o_orderkey % 5 = 0 THEN 'include' WHEN o_orderkey % 7 = 0 THEN 'exclude' END AS mark FROM orders),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, back ORDER BY pri) AS r1, row_number() OVER (PARTITION BY doc_id, back, pri ORDER BY k) AS r2 FROM o),
+q AS (SELECT *, CASE WHEN NOT back THEN r1 || '.' || r2 WHEN r2 <= 26 THEN chr(CAST(96 + r2 AS INTEGER)) END AS num FROM r),
+l AS (SELECT q.*, l_partkey AS part, l_suppkey AS supp, l_quantity AS qty, l_linenumber AS ln, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r3 FROM q JOIN lineitem ON l_orderkey = k),
+s AS (
+  SELECT DISTINCT doc_id, false AS back, pri, 0 AS k, 0 AS r3, CAST(r1 AS VARCHAR) AS number, pri AS name, 1 AS depth, true AS visible, NULL AS anchor FROM q WHERE NOT back
+  UNION ALL SELECT doc_id, back, pri, k, 0, num, 'Order ' || k, CASE WHEN back THEN 1 ELSE 2 END, coalesce(mark, '') <> 'exclude', 'o' || k FROM q
+  UNION ALL SELECT doc_id, back, pri, k, r3, num || '.' || r3, 'Line ' || r3, CASE WHEN back THEN 2 ELSE 3 END, back AND coalesce(mark, '') <> 'exclude', 'd' || (part % 50) FROM l),
+sec AS (SELECT *, CASE WHEN back THEN 'section-appendix.' ELSE 'section-' END || number AS pn, row_number() OVER (PARTITION BY doc_id ORDER BY back, pri, k, r3) AS pos FROM s),
+named AS (SELECT doc_id, anchor, arg_min(number, pos) AS number, arg_min(name, pos) AS name FROM sec WHERE anchor IS NOT NULL GROUP BY doc_id, anchor),
+x AS (SELECT doc_id, CASE supp % 3 WHEN 0 THEN 'o' || k WHEN 1 THEN 'd' || (part % 50) ELSE 'gone' || part END AS target, CASE ln % 3 WHEN 0 THEN 'counter' WHEN 1 THEN 'title' ELSE 'default' END AS form FROM l)"""
+
+
+@query("prepare_deep_sections", f"WITH {DEEP} SELECT doc_id, number, pn, name, visible FROM sec")
+def prepare_deep_sections(spark: SparkSession, d: str) -> DataFrame:
+    return prepare(customer_trees(spark, d), depth=2).sections.select("doc_id", "number", "pn", "name", "visible")
+
+
+@query("prepare_deep_contents", f"""
+WITH {DEEP} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank, repeat('  ', depth - 1) || CASE WHEN back THEN 'Appendix ' || upper(number) ELSE number END || '. ' || name AS line FROM sec WHERE visible""")
+def prepare_deep_contents(spark: SparkSession, d: str) -> DataFrame:
+    return prepare(customer_trees(spark, d), depth=2).toc.select("doc_id", F.col("rank").cast("long").alias("rank"), "line")
+
+
+@query("prepare_deep_xrefs", f"""
+WITH {DEEP} SELECT x.doc_id, target, CASE form WHEN 'counter' THEN n.number WHEN 'title' THEN n.name ELSE 'Section ' || n.number END AS derived, count(*) AS n FROM x JOIN named n ON x.doc_id = n.doc_id AND x.target = n.anchor GROUP BY ALL""")
+def prepare_deep_xrefs(spark: SparkSession, d: str) -> DataFrame:
+    return prepare(customer_trees(spark, d), depth=2).xrefs.groupBy("doc_id", "target", "derived").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prepare_deep_findings", f"""
+WITH {DEEP} SELECT doc_id, 'error' AS severity, 'unresolved' AS code, 'Nothing has the id ' || target AS message, count(*) AS n FROM x WHERE starts_with(target, 'gone') GROUP BY ALL
+UNION ALL SELECT doc_id, 'error', 'duplicate', 'The id ' || anchor || ' again', count(*) - 1 FROM sec WHERE anchor IS NOT NULL GROUP BY doc_id, anchor HAVING count(*) > 1""")
+def prepare_deep_findings(spark: SparkSession, d: str) -> DataFrame:
+    return prepare(customer_trees(spark, d), depth=2).findings.groupBy("doc_id", "severity", "code", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r45_nested_paragraphs", f"""
+WITH {DEEP}, t AS (SELECT l.*, CASE WHEN back THEN 'section-appendix.' ELSE 'section-' END || num || '.' || r3 AS pn, unnest(range(1, CAST(qty % 3 + 2 AS BIGINT))) AS i FROM l)
+SELECT doc_id, 'li' AS tag, pn || '-2.' || i AS pn FROM t UNION ALL SELECT doc_id, 't', pn || '-2.' || i || '.' || j FROM t, (SELECT unnest([1, 2]) AS j)
+UNION ALL SELECT doc_id, 't', pn || '-1' FROM t WHERE i = 1 UNION ALL SELECT doc_id, 'ul', pn || '-2' FROM t WHERE i = 1 UNION ALL SELECT doc_id, 't', pn || '-' || (CASE WHEN part % 2 = 0 THEN 4 ELSE 3 END) FROM t WHERE i = 1""")
+def r45_nested(spark: SparkSession, d: str) -> DataFrame:
+    return prepare(customer_trees(spark, d), depth=2).paragraphs.select("doc_id", "tag", "pn")

@@ -36,6 +36,36 @@ def paragraph_numbers(rows: DataFrame, *, by: list[str], pos: str, counts: Colum
     return rows.withColumn("para", F.when(numbered, n))
 
 
+#: What counts among the blocks of a section, what counts without a number of its own, where numbers begin anew, and what has none inside: fixed values.
+PARAGRAPHS = ("artset", "artwork", "aside", "blockquote", "list", "dl", "dd", "ol", "ul", "dt", "li", "sourcecode", "t", "figure", "table")
+COUNTED_ONLY = ("thead", "tbody", "tfoot", "tr", "td")
+NUMBERED_APART = ("figure", "table")
+BEGIN_ANEW = ("abstract", "note", "section", "references")
+NO_NUMBERS = ("reference",)
+
+
+def nested_paragraph_numbers(el: DataFrame, pns: DataFrame) -> DataFrame:
+    """``doc_id``, ``node_id``, ``tag``, ``pn`` of every block: its section's pn, a hyphen, and the path of its numbers, "section-9.1-2.1".
+
+    ``el`` is a table of elements, ``pns`` (doc_id, node_id, pn) the numbers of sections and the like; one that has none is
+    "unknown-unknown". Each element's place in its parent is a running count of those that count, up to itself, and a path
+    is the places from below the nearest section down: one window, and one join with the ancestors of blocks. Figures and tables count
+    but are numbered elsewhere; inside a reference nothing is. A number that an element has already wins.
+    """
+    counts = F.col("tag").isin(*PARAGRAPHS, *COUNTED_ONLY)
+    place = F.sum(counts.cast("int")).over(W.partitionBy("doc_id", "parent_id").orderBy("sib_pos").rowsBetween(W.unboundedPreceding, 0))
+    rows = el.filter("kind = 'element'")
+    steps = rows.select("doc_id", F.col("node_id").alias("step"), "depth", place.alias("place"), F.col("tag").isin(*BEGIN_ANEW).alias("anew"), F.col("tag").isin(*NO_NUMBERS).alias("none"))
+    steps = steps.join(pns.select("doc_id", F.col("node_id").alias("step"), F.col("pn").alias("step_pn")), ["doc_id", "step"], "left")
+    blocks = rows.filter(F.col("tag").isin(*PARAGRAPHS) & ~F.col("tag").isin(*NUMBERED_APART)).select("doc_id", "node_id", "tag", F.col("attrs")["pn"].alias("own"), F.explode(F.concat("anc_ids", F.array("node_id"))).alias("step"))
+    path = F.array_sort(F.collect_list(F.struct("depth", "place", "anew", "none", "step_pn")))
+    out = blocks.join(steps, ["doc_id", "step"]).groupBy("doc_id", "node_id", "tag").agg(F.first("own").alias("own"), path.alias("path"))
+    top = F.array_max(F.transform(F.filter("path", lambda s: s["anew"]), lambda s: F.struct(s["depth"], s["step_pn"].alias("pn"))))
+    out = out.filter(~F.exists("path", lambda s: s["none"])).withColumn("top", top).filter("top IS NOT NULL")
+    numbers = F.array_join(F.transform(F.filter("path", lambda s: s["depth"] > F.col("top.depth")), lambda s: s["place"].cast("string")), ".")
+    return out.select("doc_id", "node_id", "tag", F.coalesce("own", F.concat(F.coalesce("top.pn", F.lit("unknown-unknown")), F.lit("-"), numbers)).alias("pn"))
+
+
 def list_counters(lists: DataFrame, *, doc: str, group: str, pos: str, start: str, n_items: str) -> DataFrame:
     """``lists`` with ``first``: lists of one group go on counting; an explicit start counts anew. Lists without a group start at 1."""
     w = W.partitionBy(doc, group).orderBy(pos)
