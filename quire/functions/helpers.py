@@ -33,14 +33,18 @@ def slugify_nfkd(c: Column) -> Column:
     return _strings(name_slug)(c)
 
 
-def charref(c: Column) -> Column:
-    """Characters beyond ASCII as "&#n;"."""
-    return _strings(lambda s: s.encode("ascii", "xmlcharrefreplace").decode())(c)
+class _Names(dict):
+    """The name of each character that came up so far: each is looked up once."""
+
+    def __missing__(self, x: str) -> str:
+        self[x] = name = unicodedata.name(x, f"U+{ord(x):04x}")
+        return name
 
 
 def character_names(c: Column) -> Column:
     """The Unicode names of a text's characters, joined by commas; those without one as "U+xxxx"."""
-    return _strings(lambda s: ", ".join(unicodedata.name(x, f"U+{ord(x):04x}") for x in s))(c)
+    names = _Names()
+    return _strings(lambda s: ", ".join(map(names.__getitem__, s)))(c)
 
 
 # -- wrapping

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ SCRIPTS = ("Arabic", "Armenian", "Bengali", "Common", "Cyrillic", "Devanagari",
 PUNCTUATION = {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00a0": " ", "\u202f": " "}
 LONG_PUNCTUATION = {"\u2014": "--", "\u2026": "...", "\u00ab": "<<", "\u00bb": ">>"}
 LONG_LETTERS = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "Ø": "O", "ø": "o", "Þ": "Th", "þ": "th"}
+SPELLINGS = PUNCTUATION | LONG_PUNCTUATION | dict(zip(ACCENTED, PLAIN, strict=True)) | LONG_LETTERS
 #: Keywords of requirement levels, longest first where one begins another: fixed values.
 KEYWORDS = ("MUST NOT", "MUST", "REQUIRED", "SHALL NOT", "SHALL", "SHOULD NOT", "SHOULD", "NOT RECOMMENDED", "RECOMMENDED", "MAY", "OPTIONAL")
 
@@ -89,20 +92,63 @@ def scripts_used(c: Column, scripts: tuple[str, ...] = SCRIPTS) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(seen.rlike(rf"\p{{Is{s}}}"), s) for s in sorted(scripts)])), ",")
 
 
+def _mapped(c: Column, mapping: dict[str, str], charrefs: bool = False, keep: str = "") -> Column:
+    """A text with each character of ``mapping`` replaced, and others beyond ASCII but ``keep`` as "&#n;" if asked.
+
+    Characters for characters are one pass over the text. Only a text that still has others to replace is taken apart, once,
+    into ASCII runs and single characters, whatever the number of the mapping's entries.
+    """
+    short, long = ({k: v for k, v in mapping.items() if (len(v) == 1) == one} for one in (True, False))
+    t = F.translate(c, "".join(short), "".join(short.values())) if short else c
+    if not long and not charrefs:
+        return t
+    beyond = "[^\\x00-\\x7F]" if charrefs else "[" + "".join(f"\\x{{{ord(k):X}}}" for k in long) + "]"
+    rest = "[\\x00-\\x7F]+" if charrefs else beyond.replace("[", "[^", 1) + "+"
+    known = F.create_map(*[F.lit(x) for pair in long.items() for x in pair]) if long else None
+
+    def one(x: Column) -> Column:
+        ref = F.concat(F.lit("&#"), F.ascii(x), F.lit(";"))
+        out = (F.when(x.isin(*keep), x).otherwise(ref) if keep else ref) if charrefs else x
+        return F.when(F.length(x) > 1, x).otherwise(F.coalesce(known[x], F.when(F.ascii(x) > 127, out).otherwise(x)) if long else F.when(F.ascii(x) > 127, out).otherwise(x))
+
+    parts = F.regexp_extract_all(t, F.lit(f"{rest}|{beyond}"), F.lit(0))
+    return F.when(t.rlike(beyond), F.array_join(F.transform(parts, one), "")).otherwise(t)
+
+
 def downcode_punctuation(c: Column) -> Column:
     """Typographic punctuation in ASCII."""
-    c = F.translate(c, "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
-    for k, v in LONG_PUNCTUATION.items():
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
-
-
-def downcode(c: Column) -> Column:
-    """Punctuation and Latin letters in ASCII, control characters as spaces. Other characters stay: ``helpers.charref`` writes them as numbers."""
-    c = F.translate(downcode_punctuation(c), ACCENTED, PLAIN)
-    for k, v in LONG_LETTERS.items():
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    return _mapped(c, PUNCTUATION | LONG_PUNCTUATION)
+
+
+#: Control characters but tab, line feed and carriage return, which become spaces.
+CONTROLS = {chr(i): " " for i in [*range(9), 11, 12, *range(14, 32), 127]}
+#: Characters that stay as they are, for what is done with them later: fixed values.
+INTERNAL = "\u00a0\u200b\u2011\u2028\u2060\ue060"
+
+
+def downcode(c: Column, mapping: dict[str, str] | None = None, charrefs: bool = False) -> Column:
+    """Characters beyond ASCII in ASCII spellings, control characters as spaces.
+
+    ``mapping`` (character to spelling) defaults to punctuation and Latin letters; :func:`spellings` makes a larger one. Other
+    characters stay, or become "&#n;" with ``charrefs``, but for no-break and zero-width ones.
+    """
+    return _mapped(c, CONTROLS | (SPELLINGS if mapping is None else mapping), charrefs, INTERNAL)
+
+
+def charref(c: Column) -> Column:
+    """Characters beyond ASCII as "&#n;"."""
+    return _mapped(c, {}, charrefs=True)
+
+
+def spellings() -> dict[str, str]:
+    """The ASCII spellings of characters that Unicode takes apart into ASCII and marks, in the Latin, punctuation and letter-like blocks, and :data:`SPELLINGS`."""
+    blocks = [range(0xA1, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x2070), range(0x2100, 0x2190), range(0xFB00, 0xFB07)]
+    out = {}
+    for code in (i for b in blocks for i in b):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x)).replace("\u2044", "/")
+        if plain.strip() and plain.isascii():
+            out[chr(code)] = plain
+    return {k: v for k, v in (out | SPELLINGS).items() if k not in INTERNAL}
 
 
 def expand_unicode(c: Column, form: str = "lit-num") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fields, helpers, text
 from quire.jobs.registry import query, table
-from quire.operators import pages, windows
+from quire.operators import joins, pages, windows
 from quire.operators.elements import silence_findings
 from quire.sources import corpus
 
@@ -96,7 +96,22 @@ def r65(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r65_charref", "SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN unicode(c) > 127 THEN '&#' || unicode(c) || ';' ELSE c END), '') AS t FROM documents")
 def r65b(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", helpers.charref(F.coalesce("text", F.lit(""))).alias("t"))
+    return table(spark, d, "documents").select("doc_id", text.charref(F.coalesce("text", F.lit(""))).alias("t"))
+
+
+def sql_map(m: dict[str, str]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in m.items()) + "}"
+
+
+@query("r65_full_downcode", f"""
+SELECT doc_id, array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 OR c IN (chr(9), chr(10), chr(13)) OR unicode(c) IN (160, 8203, 8209, 8232, 8288, 57440) THEN c WHEN unicode(c) < 128 THEN ' '
+  ELSE coalesce(m[c], '&#' || unicode(c) || ';') END), '') AS t
+FROM (SELECT doc_id, replace(replace(replace(replace(text, '. ', '… “½” — '), ', ', ' ﬁ™ № '), ' de ', chr(160) || 'Ǣ中🎉' || chr(8203) || chr(7)), ' the ', ' Ωǆ ') AS t FROM documents), (SELECT {sql_map(text.spellings())} AS m)""")
+def r65c(spark: SparkSession, d: str) -> DataFrame:
+    t = F.replace(F.replace("text", F.lit(". "), F.lit("… “½” — ")), F.lit(", "), F.lit(" ﬁ™ № "))
+    t = F.replace(F.replace(t, F.lit(" de "), F.lit("\u00a0Ǣ中🎉\u200b\x07")), F.lit(" the "), F.lit(" Ωǆ "))
+    return table(spark, d, "documents").select("doc_id", text.downcode(t, text.spellings(), charrefs=True).alias("t"))
 
 
 @query("r66_expand_unicode", r"""
@@ -289,14 +304,19 @@ def r53c(spark: SparkSession, d: str) -> DataFrame:
     return helpers.assign_pages(lines, doc="doc_id", pos="pos", text="t", block="block", keep="keep")
 
 
-@query("r29_script_of_codepoints", r"""
-SELECT doc_id, ch AS char, CASE WHEN regexp_matches(ch, '[A-Za-z]') THEN 'Latin' WHEN unicode(ch) < 128 THEN 'Common' WHEN regexp_matches(ch, '\p{Latin}') THEN 'Latin' ELSE 'Unknown' END AS script
-FROM (SELECT DISTINCT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''""")
-def r29(spark: SparkSession, d: str) -> DataFrame:
-    from quire.operators.joins import script_of_codepoints
+#: Scripts that the ranges tell apart.
+TOLD_APART = ("Arabic", "Armenian", "Bengali", "Common", "Cyrillic", "Devanagari", "Greek", "Han", "Hangul", "Hebrew", "Hiragana", "Inherited", "Katakana", "Latin", "Thai")
+
 
-    ranges = spark.createDataFrame([(0, 64, "Common"), (65, 90, "Latin"), (91, 96, "Common"), (97, 122, "Latin"), (123, 127, "Common"), (192, 214, "Latin"), (216, 246, "Latin"), (248, 591, "Latin")], "lo int, hi int, script string")
-    return script_of_codepoints(table(spark, d, "documents"), ranges)
+@query("r29_script_of_codepoints", f"""
+SELECT doc_id, ch AS char, CASE {" ".join(f"WHEN regexp_matches(ch, '{chr(92)}p{{{x}}}') THEN '{x}'" for x in TOLD_APART)} ELSE 'Unknown' END AS script
+FROM (SELECT DISTINCT doc_id, unnest(string_split(text || chr(CAST(161 + doc_id * 37 % 900 AS INTEGER)) || chr(CAST(19968 + doc_id % 20000 AS INTEGER)) || chr(CAST(12353 + doc_id % 80 AS INTEGER)), '')) AS ch FROM documents) WHERE ch <> ''""")
+def r29(spark: SparkSession, d: str) -> DataFrame:
+    """Every text gets a character of some other block, one ideograph and one kana, so that ranges of many scripts are met."""
+    ranges = joins.script_ranges(spark, TOLD_APART, upto=0x10000)
+    more = [161 + F.col("doc_id") * 37 % 900, 19968 + F.col("doc_id") % 20000, 12353 + F.col("doc_id") % 80]
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", *[joins.character(c) for c in more]).alias("text"))
+    return joins.script_of_codepoints(docs, ranges)
 
 
 @query("r24_lookup_with_fallback", r"""

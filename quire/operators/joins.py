@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -107,11 +109,31 @@ def effective_dated(docs: DataFrame, versions: DataFrame, *, date: str) -> DataF
     return docs.join(v, hit, "left").drop("since", "until")
 
 
-def script_of_codepoints(docs: DataFrame, ranges: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``char``, ``script`` for each different character of a text. Characters are made distinct before they become rows."""
+def character(code: Column) -> Column:
+    """The character of a code point, of any plane."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
+def script_ranges(spark: SparkSession, scripts: Iterable[str], upto: int = 0x110000) -> DataFrame:
+    """``lo``, ``hi``, ``script``: the runs of code points below ``upto`` that are of each script, by the properties of Unicode that expressions know."""
+    codes = spark.range(upto).filter("NOT id BETWEEN 55296 AND 57343").withColumn("c", character(F.col("id")))
+    of = codes.select(F.col("id").alias("code"), F.coalesce(*[F.when(F.col("c").rlike(rf"\p{{Is{s}}}"), s) for s in scripts]).alias("script")).filter("script IS NOT NULL")
+    run = of.withColumn("run", F.col("code") - F.row_number().over(W.partitionBy("script").orderBy("code")))
+    return run.groupBy("script", "run").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).select("lo", "hi", "script")
+
+
+def script_of_codepoints(docs: DataFrame, ranges: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 128) -> DataFrame:
+    """``id``, ``char``, ``script`` for each different character of a text; "Unknown" outside all ``ranges`` (lo, hi, script).
+
+    Characters are made distinct in each text, and once more in the corpus: only those, a million at the very most, look for their range.
+    Ranges are cut at blocks of code points, so that the look-up is an equi join on the block, whatever their number.
+    """
     chars = docs.select(F.col(id_col), F.explode(F.array_distinct(F.split(text_col, ""))).alias("char")).filter(F.col("char") != "")
-    r = F.broadcast(ranges.select("lo", "hi", "script"))
-    return chars.join(r, F.ascii("char").between(F.col("lo"), F.col("hi")), "left").select(id_col, "char", F.coalesce("script", F.lit("Unknown")).alias("script"))
+    cut = ranges.select("lo", "hi", "script", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("block"))
+    code = F.ascii("char")
+    each = chars.select("char").distinct().withColumn("block", F.floor(code / block))
+    known = each.join(cut, "block").filter(code.between(F.col("lo"), F.col("hi"))).select("char", "script")
+    return chars.join(known, "char", "left").select(id_col, "char", F.coalesce("script", F.lit("Unknown")).alias("script"))
 
 
 def country_lookup(rows: DataFrame, countries: DataFrame, aliases: DataFrame, *, name: str) -> DataFrame:

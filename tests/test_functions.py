@@ -44,7 +44,7 @@ def test_justify_cuts_the_longest(spark):
 
 def test_null_in_null_out(spark):
     null = F.lit(None).cast("string")
-    for f in (text.clean_text, text.downcode, text.fold_newlines, text.scripts_used, fields.sanitize_id, helpers.charref, text.normalize_item_text):
+    for f in (text.clean_text, text.downcode, text.fold_newlines, text.scripts_used, fields.sanitize_id, text.charref, text.normalize_item_text):
         assert one(spark, f(null)) in (None, "")
 
 
