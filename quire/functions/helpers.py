@@ -183,19 +183,6 @@ def grow_slugs(slugs: list[str], short: int = 32, long: int = 40) -> list[str |
     return out
 
 
-def unique_slugs(names: DataFrame, *, doc: str, pos: str, name: str) -> DataFrame:
-    """``doc``, ``pos``, ``slug``: exact unique slugs. One group is one document's names."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        return rows.assign(slug=grow_slugs(rows.slug.tolist()))[["doc", "pos", "slug"]]
-
-    src = names.select(F.col(doc).alias("doc"), F.col(pos).alias("pos"), slugify_nfkd(F.col(name)).alias("slug"))
-    kinds = dict(src.dtypes)
-    out = src.groupBy("doc").applyInPandas(run, f"doc {kinds['doc']}, pos {kinds['pos']}, slug string")
-    return out.select(F.col("doc").alias(doc), F.col("pos").alias(pos), "slug")
-
-
 def page_breaks(blank: list[bool], block: list[int | None], keep: list[bool], first: int = 52, height: int = 48, few: int = 2) -> list[int]:
     """The page of each line, 0 for blank lines dropped at a page's top.
 

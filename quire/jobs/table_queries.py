@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import fields, text
-from quire.functions.helpers import place_cells, unique_slugs
+from quire.functions.helpers import place_cells
 from quire.jobs.folders import shared_folder
 from quire.jobs.registry import query, table
 from quire.operators import aggregates as A
@@ -320,11 +320,20 @@ def r47(spark: SparkSession, d: str) -> DataFrame:
     return V.unique_slugs_fast(table(spark, d, "part"), doc="p_brand", pos="p_partkey", slug=text.slugify(F.col("p_name"), "name")).select("p_partkey", "slug")
 
 
-@query("r47_unique_slugs")
+@query("r47_unique_slugs", """
+WITH RECURSIVE s AS (SELECT p_partkey // 500 AS doc, p_partkey, replace(p_name || ' of the larger kind ' || p_partkey % 7 || ' ' || p_partkey % 3, ' ', '-') AS s FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY p_partkey) AS i, greatest(32, least(40, length(s))) AS m FROM s),
+c AS (SELECT *, list_concat(list_transform(range(32, m + 1), lambda k: substr(s, 1, k)), list_transform(range(2, 100), lambda k: substr(s, 1, m) || '-' || k)) AS cands FROM n),
+g AS (
+  SELECT doc, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS slug, CAST(NULL AS BIGINT) AS p_partkey FROM (SELECT DISTINCT doc FROM n)
+  UNION ALL SELECT doc, i, CASE WHEN slug IS NULL THEN seen ELSE list_append(seen, slug) END, slug, p_partkey FROM (
+    SELECT g.doc, g.i + 1 AS i, g.seen, list_filter(c.cands, lambda x: NOT list_contains(g.seen, x))[1] AS slug, c.p_partkey FROM g JOIN c ON c.doc = g.doc AND c.i = g.i + 1))
+SELECT p_partkey, slug FROM g WHERE i > 0""")
 def r47b(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of 500 parts."""
-    parts = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 500).alias("doc"), "p_partkey", "p_name")
-    return unique_slugs(parts, doc="doc", pos="p_partkey", name="p_name")
+    """Documents of 500 parts, whose names get long enough to grow."""
+    name = F.concat("p_name", F.lit(" of the larger kind "), F.col("p_partkey") % 7, F.lit(" "), F.col("p_partkey") % 3)
+    parts = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 500).alias("doc"), "p_partkey", name.alias("name"))
+    return V.unique_slugs(parts, doc="doc", pos="p_partkey", slug=text.slugify(F.col("name"), "name")).select("p_partkey", "slug")
 
 
 @query("r48_unnumbered_order", """

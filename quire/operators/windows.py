@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.jobs.folders import written
+
 
 def hierarchical_numbers(nodes: DataFrame, *, doc: str, node: str, path: str, part: str, sib: str, parent: str) -> DataFrame:
     """``nodes`` with ``number``: "1.4.2", and "a.1" for parts other than the first, whose top level counts in letters.
@@ -78,12 +80,36 @@ def list_counters(lists: DataFrame, *, doc: str, group: str, pos: str, start: st
 
 
 def unique_slugs_fast(names: DataFrame, *, doc: str, pos: str, slug: Column, size: int = 32) -> DataFrame:
-    """Slugs cut to ``size`` and made unique by "-2", "-3": one window. The exact form, which grows slugs first, is in ``helpers``."""
+    """Slugs cut to ``size`` and made unique by "-2", "-3": one window. The exact form, which grows slugs first, is :func:`unique_slugs`."""
     short = names.withColumn("_s", F.substring(slug, 1, size))
     n = F.row_number().over(W.partitionBy(doc, "_s").orderBy(pos))
     return short.withColumn("slug", F.when(n == 1, F.col("_s")).otherwise(F.concat_ws("-", "_s", n))).drop("_s")
 
 
+def unique_slugs(names: DataFrame, *, doc: str, pos: str, slug: Column, short: int = 32, long: int = 40, most: int = 99) -> DataFrame:
+    """``doc``, ``pos``, ``slug``: unique slugs, each the first free one of its list, earlier names first; null beyond ``most``.
+
+    A name's list is its slug cut to ``short``, ``short`` + 1, ... ``long`` characters, then the longest of these with "-2", "-3" ...
+    The rule goes name by name, but needs no such order: every name claims the first slug of its list, the earliest claimant
+    holds it, the others claim the next of theirs, until none has to. What is held may be lost to an earlier name that comes to it later, so
+    this ends where going name by name ends. Names with one list step past each other at once, so that equal names need one
+    round, not as many as there are. Each round is a window over claims; no task holds a document.
+    """
+    sizes = F.greatest(F.lit(short), F.least(F.lit(long), F.length("s"))) - short + 1
+    number = F.col("at") - sizes + 2
+    claim = F.when(F.col("at") < sizes, F.substr("s", F.lit(1), (short + F.col("at")).cast("int"))).when(number <= most, F.concat(F.substr("s", F.lit(1), (short + sizes - 1).cast("int")), F.lit("-"), number))
+    rows = names.select(F.col(doc).alias("doc"), F.col(pos).alias("pos"), F.substr(F.coalesce(slug, F.lit("")), F.lit(1), F.lit(long)).alias("s"), F.lit(0).alias("at"))
+    while True:
+        claims = W.partitionBy("doc", "claim").orderBy("pos")
+        step = rows.withColumn("claim", claim).withColumn("rank", F.row_number().over(claims)).withColumn("same", F.row_number().over(W.partitionBy("doc", "claim", "s", "at").orderBy("pos")))
+        first = F.max(F.col("rank") == 1).over(W.partitionBy("doc", "claim", "s", "at"))  # whether the holder is one of these
+        moves = F.when(F.col("claim").isNull() | (F.col("rank") == 1), 0).otherwise(F.col("same") - F.when(first, 1).otherwise(0))
+        rows = written(step.select("doc", "pos", "s", "at", "claim", moves.alias("moves")))
+        if rows.filter("moves > 0").isEmpty():
+            return rows.select(F.col("doc").alias(doc), F.col("pos").alias(pos), F.col("claim").alias("slug"))
+        rows = rows.select("doc", "pos", "s", (F.col("at") + F.col("moves")).alias("at"))
+
+
 def unnumbered_order(sections: DataFrame, *, doc: str, parent: str, pos: str, numbered: str) -> DataFrame:
     """Numbered sections after an unnumbered sibling."""
     before = F.max((~F.col(numbered)).cast("int")).over(W.partitionBy(doc, parent).orderBy(pos).rowsBetween(W.unboundedPreceding, -1))
