@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.jobs.folders import shared_folder
 from quire.jobs.prep import prepare
 from quire.jobs.registry import query, table
 from quire.operators.elements import unprep
-from quire.sources.corpus import explode_elements
+from quire.operators.joins import scoped_value
+from quire.sources.corpus import explode_elements, read_references, reference_findings
 
 
 def escaped(c: Column) -> Column:
@@ -142,3 +146,51 @@ SELECT doc_id, 'li' AS tag, pn || '-2.' || i AS pn FROM t UNION ALL SELECT doc_i
 UNION ALL SELECT doc_id, 't', pn || '-1' FROM t WHERE i = 1 UNION ALL SELECT doc_id, 'ul', pn || '-2' FROM t WHERE i = 1 UNION ALL SELECT doc_id, 't', pn || '-' || (CASE WHEN part % 2 = 0 THEN 4 ELSE 3 END) FROM t WHERE i = 1""")
 def r45_nested(spark: SparkSession, d: str) -> DataFrame:
     return prepare(customer_trees(spark, d), depth=2).paragraphs.select("doc_id", "tag", "pn")
+
+
+@query("r26_scoped_settings", """
+WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, last_value(CASE WHEN o_orderkey % 5 = 0 THEN 'after' || o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM orders),
+l AS (SELECT o.*, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey AS part FROM o JOIN lineitem ON l_orderkey = k),
+p AS (SELECT *, CASE WHEN part % 4 = 0 THEN 'line' || k || '.' || n END AS pi, CASE WHEN k % 3 = 0 THEN 'order' || k END AS own FROM l)
+SELECT CAST(doc AS VARCHAR) AS doc_id, k || '-' || n AS anchor, coalesce(last_value(pi IGNORE NULLS) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), own, earlier) AS value FROM p
+UNION ALL SELECT CAST(o.doc AS VARCHAR), CAST(o.k AS VARCHAR), coalesce(CASE WHEN o.k % 3 = 0 THEN 'order' || o.k END, i.pi, o.earlier) FROM o LEFT JOIN (SELECT k, arg_min(pi, n) AS pi FROM p WHERE pi IS NOT NULL GROUP BY k) i ON i.k = o.k""")
+def r26_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each customer; settings stand after orders, at the start of some, and before some of their lines."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key = F.col("o_orderkey")
+    setting = lambda when, *name: F.when(when, F.concat(F.lit('<?set v="'), *name, F.lit('"?>'))).otherwise("")
+    line = lambda x, i: F.concat(setting(x["l_partkey"] % 4 == 0, F.lit("line"), key, F.lit("."), i + 1), F.lit('<t anchor="'), key, F.lit("-"), i + 1, F.lit('"/>'))
+    inner = F.array_join(F.transform(F.coalesce("lines", F.array()), line), "")
+    xml = F.concat(F.lit('<section anchor="'), key, F.lit('">'), setting(key % 3 == 0, F.lit("order"), key), inner, F.lit("</section>"), setting(key % 5 == 0, F.lit("after"), key))
+    docs = orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    el = explode_elements(docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml")))
+    return scoped_value(el, key="v", target="set").filter("attrs['anchor'] IS NOT NULL").select("doc_id", F.col("attrs")["anchor"].alias("anchor"), "value")
+
+
+def library(spark: SparkSession, d: str) -> DataFrame:
+    """References to parts, read from XML files that are written from ``part``: each twentieth is broken, some have no anchor."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    anchor = F.when(k % 9 == 4, "").otherwise(F.concat(F.lit(' anchor="P'), k, F.lit('"')))
+    author = F.concat(F.lit('<author surname="'), "p_brand", F.lit('" initials="A."/>'))
+    xml = F.concat(
+        F.lit("<reference"), anchor, F.lit("><front><title>"), escaped(F.col("p_name")), F.when(k % 20 == 0, "</titel>").otherwise("</title>"), F.repeat(author, (k % 3).cast("int")),
+        F.lit('<date year="'), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit('"/></front><seriesInfo name="RFC" value="0'), k, F.lit('"/></reference>'),
+    )
+    path = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+    p.select(xml.alias("value")).write.text(path)
+    return read_references(spark, path)
+
+
+@query("r02_read_references", """
+SELECT CASE WHEN p_partkey % 9 <> 4 THEN 'P' || p_partkey END AS anchor, p_name AS title, CAST(p_partkey % 3 AS INTEGER) AS authors, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS first, CAST(1990 + p_size AS INTEGER) AS year, '0' || p_partkey AS number FROM part WHERE p_partkey % 20 <> 0""")
+def r02(spark: SparkSession, d: str) -> DataFrame:
+    r = library(spark, d).filter("broken IS NULL")
+    return r.select("anchor", "title", F.greatest(F.coalesce(F.size("authors"), F.lit(0)), F.lit(0)).alias("authors"), F.get("authors", F.lit(0))["surname"].alias("first"), F.col("date.year").alias("year"), F.get("series", F.lit(0))["value"].alias("number"))
+
+
+@query("r02_reference_findings", """
+SELECT CASE WHEN p_partkey % 20 = 0 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN p_partkey % 20 = 0 THEN 'broken-reference' ELSE 'no-anchor' END AS code,
+  CASE WHEN p_partkey % 20 <> 0 THEN p_name WHEN p_partkey % 9 <> 4 THEN 'P' || p_partkey ELSE '' END AS message FROM part WHERE p_partkey % 20 = 0 OR p_partkey % 9 = 4""")
+def r02b(spark: SparkSession, d: str) -> DataFrame:
+    return reference_findings(library(spark, d))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 REFERENCE_SCHEMA = (
     "_anchor string, _target string, front struct<title string, "
     "author array<struct<_initials string, _surname string, _fullname string, _role string, organization string>>, "
-    "date struct<_year string, _month string, _day string>>, seriesInfo array<struct<_name string, _value string>>"
+    "date struct<_year string, _month string, _day string>>, seriesInfo array<struct<_name string, _value string>>, broken string"
 )
 ELEMENTS_SCHEMA = (
     "doc_id string, node_id int, parent_id int, anc_ids array<int>, last_desc int, depth int, sib_pos int, "
@@ -28,12 +28,26 @@ def read_corpus(spark: SparkSession, path: str, *, fmt: str = "text", id_col: st
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """``anchor``, ``target``, ``title``, ``authors``, ``date``, ``series`` of each ``<reference>`` in the files."""
-    rows = spark.read.format("xml").option("rowTag", "reference").schema(REFERENCE_SCHEMA).load(path)
+    """``anchor``, ``target``, ``title``, ``authors``, ``date``, ``series`` of each ``<reference>`` in the files.
+
+    Files are cut at the ends of references, whatever stands around them, and Spark's XML functions read each: one that can't be read
+    has nothing but its text in ``broken``, which is null for all others, and spoils no other of its file.
+    """
+    parts = spark.read.option("lineSep", "</reference>").text(path)
+    one = F.concat(F.regexp_extract("value", r"(?s)<reference(?=[\s/>]).*", 0), F.lit("</reference>"))
+    parts = parts.select(one.alias("xml")).filter("xml <> '</reference>'")
+    rows = parts.select(F.from_xml("xml", REFERENCE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("r")).select("r.*")
     authors = F.transform("front.author", lambda a: F.struct(a["_initials"].alias("initials"), a["_surname"].alias("surname"), a["_fullname"].alias("fullname"), a["_role"].alias("role"), F.trim(a["organization"]).alias("organization")))
     series = F.transform("seriesInfo", lambda s: F.struct(s["_name"].alias("name"), s["_value"].alias("value")))
     date = F.struct(F.expr("try_cast(front.date._year AS int)").alias("year"), F.col("front.date._month").alias("month"), F.expr("try_cast(front.date._day AS int)").alias("day"))
-    return rows.select(F.col("_anchor").alias("anchor"), F.col("_target").alias("target"), F.trim("front.title").alias("title"), authors.alias("authors"), date.alias("date"), series.alias("series"))
+    return rows.select(F.col("_anchor").alias("anchor"), F.col("_target").alias("target"), F.trim("front.title").alias("title"), authors.alias("authors"), date.alias("date"), series.alias("series"), "broken")
+
+
+def reference_findings(refs: DataFrame) -> DataFrame:
+    """``severity``, ``code``, ``message`` of references that can't be read (an error) or have no anchor (a warning)."""
+    named = F.when(F.col("broken").isNotNull(), F.struct(F.lit("error").alias("severity"), F.lit("broken-reference").alias("code"), F.regexp_extract("broken", 'anchor="([^"]*)"', 1).alias("message")))
+    named = named.when(F.coalesce("anchor", F.lit("")) == "", F.struct(F.lit("warning").alias("severity"), F.lit("no-anchor").alias("code"), F.coalesce("title", F.lit("")).alias("message")))
+    return refs.select(named.alias("f")).filter("f IS NOT NULL").select("f.*")
 
 
 def _nodes(doc_id: str, xml: str) -> list[tuple]:
