@@ -108,7 +108,7 @@ r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, back ORDER BY pri) AS r1
 q AS (SELECT *, CASE WHEN NOT back THEN r1 || '.' || r2 WHEN r2 <= 26 THEN chr(CAST(96 + r2 AS INTEGER)) END AS num FROM r),
 l AS (SELECT q.*, l_partkey AS part, l_suppkey AS supp, l_quantity AS qty, l_linenumber AS ln, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r3 FROM q JOIN lineitem ON l_orderkey = k),
 s AS (
-  SELECT DISTINCT doc_id, false AS back, pri, 0 AS k, 0 AS r3, CAST(r1 AS VARCHAR) AS number, pri AS name, 1 AS depth, true AS visible, NULL AS anchor FROM q WHERE NOT back
+  SELECT DISTINCT doc_id, false AS back, pri, -1 AS k, 0 AS r3, CAST(r1 AS VARCHAR) AS number, pri AS name, 1 AS depth, true AS visible, NULL AS anchor FROM q WHERE NOT back
   UNION ALL SELECT doc_id, back, pri, k, 0, num, 'Order ' || k, CASE WHEN back THEN 1 ELSE 2 END, coalesce(mark, '') <> 'exclude', 'o' || k FROM q
   UNION ALL SELECT doc_id, back, pri, k, r3, num || '.' || r3, 'Line ' || r3, CASE WHEN back THEN 2 ELSE 3 END, back AND coalesce(mark, '') <> 'exclude', 'd' || (part % 50) FROM l),
 sec AS (SELECT *, CASE WHEN back THEN 'section-appendix.' ELSE 'section-' END || number AS pn, row_number() OVER (PARTITION BY doc_id ORDER BY back, pri, k, r3) AS pos FROM s),
