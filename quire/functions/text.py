@@ -95,12 +95,14 @@ def scripts_used(c: Column, scripts: tuple[str, ...] = SCRIPTS) -> Column:
 def _mapped(c: Column, mapping: dict[str, str], charrefs: bool = False, keep: str = "") -> Column:
     """A text with each character of ``mapping`` replaced, and others beyond ASCII but ``keep`` as "&#n;" if asked.
 
-    Characters for characters are one pass over the text. Only a text that still has others to replace is taken apart, once,
+    Characters for characters are one pass over the text, and each of a few longer spellings is one. With many, or references, only a text that still has others to replace is taken apart, once,
     into ASCII runs and single characters, whatever the number of the mapping's entries.
     """
     short, long = ({k: v for k, v in mapping.items() if (len(v) == 1) == one} for one in (True, False))
     t = F.translate(c, "".join(short), "".join(short.values())) if short else c
-    if not long and not charrefs:
+    if len(long) <= 16 and not charrefs:
+        for k, v in long.items():
+            t = F.replace(t, F.lit(k), F.lit(v))
         return t
     beyond = "[^\\x00-\\x7F]" if charrefs else "[" + "".join(f"\\x{{{ord(k):X}}}" for k in long) + "]"
     rest = "[\\x00-\\x7F]+" if charrefs else beyond.replace("[", "[^", 1) + "+"
