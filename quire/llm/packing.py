@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A bin's number is its group's number times this, and its own number in the group.
 BINS = 1 << 24
+#: Copies of a row that one array numbers.
+COPIES = 1 << 15
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, *, capacity: int, max_per_source: int) -> list[tuple[int, int]]:
@@ -50,14 +52,27 @@ def best_fit(sizes: list[int], sources: list, clusters: list, *, capacity: int,
     return placed
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: null for one of the rows that are equal in all columns, 1 and so on for the others.
+
+    Equal rows are counted, in part before the shuffle, and made again by number, so that a row of any number of copies is one
+    row of its task; numbers follow from counts, so a task that runs again gives the same.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_k"))
+    some = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1, F.lit(COPIES).cast("long"))).alias("_from"))
+    each = some.select(*rows.columns, F.explode(F.sequence("_from", F.least(F.col("_from") + COPIES, F.col("_k")) - 1)).alias("_copy"))
+    return each.select(*rows.columns, F.when(F.col("_copy") > 0, F.col("_copy")).alias("copy"))
+
+
 def pack(lengths: DataFrame, *, capacity: int = 4096, max_per_source: int = 2, group: int = 2048, id_col: str = "doc_id", length_col: str = "n_tokens", source_col: str = "source", cluster_col: str = "cluster", n_rows: int | None = None) -> DataFrame:
     """Every row of ``lengths`` placed: ``bin_id``, ``bin_start``, ``doc_id``, ``piece``, ``doc_start``, ``n_tokens``.
 
     A document longer than ``capacity`` is cut into full pieces and a rest; each is placed, so nothing is truncated. Tokens
     [doc_start, doc_start + n_tokens) of the document are at bin_start of its bin. Pieces meet in groups of about ``group``
-    documents by a hash of id, piece, length, source and cluster (so rows of one id, or of none, meet only where all of
-    these are equal), longest first (then by id and piece); bins never span groups, which costs less
-    than a bin for each group. One shuffle of a few numbers a piece; a task holds one group at a time.
+    documents by a hash of id, piece, length, source and cluster, longest first (then by id and piece); bins never span groups,
+    which costs less than a bin for each group. Rows equal in all of these are counted first and then numbered, and the
+    number is hashed too, so repeated rows are dealt to groups as others are. Two shuffles of a few numbers a piece; a task
+    holds one group at a time.
 
     Null and negative lengths count as 0, and documents of length 0 are placed too. Null sources or clusters conflict with
     nothing. Rows of one id are documents of their own. ``n_rows`` saves counting the rows, where it is known.
@@ -66,10 +81,11 @@ def pack(lengths: DataFrame, *, capacity: int = 4096, max_per_source: int = 2, g
     kind = dict(lengths.dtypes)[id_col]
     n = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0))
     src = lengths.select(F.col(id_col).alias("doc_id"), n.alias("n"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
+    src = copies(src)
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0))
     pieces = src.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", "n", "source", "cluster", (F.col("piece") * capacity).alias("doc_start"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_tokens"))
-    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "n", "source", "cluster"), F.lit(n_groups))).drop("n")
+    pieces = pieces.select("doc_id", "piece", "n", "source", "cluster", "copy", (F.col("piece") * capacity).alias("doc_start"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_tokens"))
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "n", "source", "cluster", "copy"), F.lit(n_groups))).drop("n", "copy")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

@@ -310,6 +310,23 @@ def test_pack_groups_rows_of_one_id(spark):
     assert len(groups) == 20 and max(groups.values()) < 200
 
 
+def test_pack_deals_equal_rows_to_groups(spark, monkeypatch):
+    """Rows equal in every column are many documents: none is lost, and no group holds them all."""
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(None, 0, None, None)] * 1500 + [(3, 50, "s", 1)] * 400 + [(4, 300, None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, source string, cluster long")
+    got = packing.pack(df, capacity=128, group=100).collect()
+    groups: dict = {}
+    for r in got:
+        groups[r.bin_id // packing.BINS] = groups.get(r.bin_id // packing.BINS, 0) + 1
+    assert [sum(r.doc_id == i for r in got) for i in (None, 3, 4)] == [1500, 400, 150]
+    assert sum(r.n_tokens for r in got) == 400 * 50 + 50 * 300
+    assert len(groups) == 20 and max(groups.values()) < 200
+    assert len({r.bin_id for r in got if r.doc_id == 3}) == 400  # one cluster: a bin for each
+    kept = packing.copies(df.limit(0))
+    assert kept.count() == 0 and kept.columns == [*df.columns, "copy"]
+
+
 def test_shingles_of_few_words():
     assert len(shingles(None, 3)) == 0 and len(shingles(" \n", 3)) == 0 and len(shingles("a b", 3)) == 1
     assert (shingles("A b", 3) == shingles("a\tB", 3)).all() and len(shingles("a b a b a b", 2)) == 2
