@@ -209,6 +209,7 @@ def src_problem(path: Column, schemes: tuple[str, ...] = ("data", "file", "http"
     scheme = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     steps = F.aggregate(F.split(path, "/"), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")), lambda a, s: F.struct((a["depth"] + _step(s)).alias("depth"), F.least(a["least"], a["depth"] + _step(s)).alias("least")))
     out = F.when((scheme != "") & ~F.lower(scheme).isin(*schemes), "scheme").when(scheme != "", None)
+    # fixed values: characters that a shell reads
     return out.when(path.rlike(r"[><*\[`$|;&(#]"), "shell").when(path.startswith("/") | (steps["least"] < 0), "outside")
 
 
@@ -240,10 +241,15 @@ def format_reference(label: Column, authors: Column, title: Column, series: Colu
 
 
 def render_xref(content: Column, ref: Column, is_ref: Column, fmt: Column, section: Column, section_format: Column) -> Column:
-    """A cross reference as text: "[ref]", "text [ref]", "text (ref)"; with a section "Section 2 of [ref]" and the other forms."""
+    """A cross reference as text: "[ref]", "text [ref]", "text (ref)"; with a section "Section 2 of [ref]" and the other forms.
+
+    Without ``ref`` and section it is the text alone.
+    """
     lead = F.when(content == "", "").otherwise(F.concat(content, F.lit(" ")))
     tag = F.concat(F.lit("["), ref, F.lit("]"))
+    # fixed values: which numbers are sections and which appendices
     label = F.concat(F.when(section.rlike("^[0-9]"), "Section").when(section.rlike(r"^[A-Z](\.|$)"), "Appendix").otherwise("Part"), F.lit(" "), section)
     plain = F.when(fmt == "none", lead).when(is_ref & (fmt == "title"), F.when(content == "", ref).otherwise(F.concat(lead, F.lit("("), ref, F.lit(")")))).when(is_ref, F.concat(lead, tag)).otherwise(F.when(content == "", ref).otherwise(F.concat(lead, F.lit("("), ref, F.lit(")"))))
     deep = F.when(section_format == "of", F.concat(label, F.lit(" of "), lead, tag)).when(section_format == "comma", F.concat(lead, tag, F.lit(", "), label)).when(section_format == "parens", F.concat(lead, tag, F.lit(" ("), label, F.lit(")"))).when(content == "", section).otherwise(F.concat(section, F.lit(" ("), content, F.lit(")")))
+    plain = F.when(F.coalesce(ref, F.lit("")) == "", F.btrim(content)).otherwise(plain)
     return F.when(section.isNull(), plain).otherwise(deep)

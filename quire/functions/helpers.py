@@ -51,6 +51,8 @@ def character_names(c: Column) -> Column:
 
 #: Abbreviations whose period ends no sentence: fixed values. Any three letters such as "Fig." are one too.
 ABBREVIATIONS = ("Eq", "Cf", "cf", "vs", "resp", "viz", "ibid", "Jr", "Sr", "Mr", "Ms", "Messrs", "Mmes", "Dr", "Prof", "Profs", "St", "Lt", "a.k.a", "i.e", "e.g")
+#: Marks that may stand after a sentence's end, before it, and before its first word: fixed values.
+_AFTER, _BEFORE, _OPENING = ("'", '"', ")", "]"), "'\")]>", "\"'(["
 #: Words that stay on the line of the next one: fixed values.
 KEPT = ("Section", "Appendix", "Figure", "Table")
 _SPACES = " \t\n\r\f\v"
@@ -104,8 +106,8 @@ def _parts(word: str) -> list[str]:
 
 def ends_sentence(word: str) -> bool:
     """Whether a word ends a sentence: a full stop, question or exclamation mark after a letter, digit or closing mark, one closing mark at most after it, and no abbreviation."""
-    core = word[:-1] if word[-1:] in ("'", '"', ")", "]") else word
-    if len(core) < 2 or core[-1] not in ".!?" or not ((core[-2].isascii() and core[-2].isalnum()) or core[-2] in "'\")]>"):
+    core = word[:-1] if word[-1:] in _AFTER else word
+    if len(core) < 2 or core[-1] not in ".!?" or not ((core[-2].isascii() and core[-2].isalnum()) or core[-2] in _BEFORE):
         return False
     stem = word.removesuffix(".")
     stem = stem[1:] if stem[:1] in ("(", "[") else stem
@@ -115,7 +117,7 @@ def ends_sentence(word: str) -> bool:
 
 def starts_sentence(word: str) -> bool:
     """Whether a word begins with a capital, opening marks aside."""
-    first = word.lstrip("\"'([")[:1]
+    first = word.lstrip(_OPENING)[:1]
     return first.isascii() and first.isupper()
 
 

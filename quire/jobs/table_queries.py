@@ -464,14 +464,14 @@ def r82(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r83_render_xref", """
-WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'see' END AS c, 'P' || l_partkey AS r, ['of', 'comma', 'parens', 'bare', 'none'][CAST(l_suppkey % 5 + 1 AS INTEGER)] AS f, CASE WHEN l_quantity > 25 THEN '2.1' ELSE 'B' END AS s FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE f WHEN 'of' THEN l || ' of ' || d || '[' || r || ']' WHEN 'comma' THEN d || '[' || r || '], ' || l WHEN 'parens' THEN d || '[' || r || '] (' || l || ')' WHEN 'bare' THEN s || (CASE WHEN c = '' THEN '' ELSE ' (' || c || ')' END) ELSE d || '[' || r || ']' END AS xref
+WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'see' END AS c, CASE WHEN l_partkey % 7 = 0 AND l_suppkey % 5 = 4 THEN '' ELSE 'P' || l_partkey END AS r, ['of', 'comma', 'parens', 'bare', 'none'][CAST(l_suppkey % 5 + 1 AS INTEGER)] AS f, CASE WHEN l_quantity > 25 THEN '2.1' ELSE 'B' END AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE f WHEN 'of' THEN l || ' of ' || d || '[' || r || ']' WHEN 'comma' THEN d || '[' || r || '], ' || l WHEN 'parens' THEN d || '[' || r || '] (' || l || ')' WHEN 'bare' THEN s || (CASE WHEN c = '' THEN '' ELSE ' (' || c || ')' END) ELSE CASE WHEN r = '' THEN c ELSE d || '[' || r || ']' END END AS xref
 FROM (SELECT *, CASE WHEN c = '' THEN '' ELSE c || ' ' END AS d, CASE WHEN s = 'B' THEN 'Appendix B' ELSE 'Section 2.1' END AS l FROM x)""")
 def r83(spark: SparkSession, d: str) -> DataFrame:
     form = F.get(F.array(*map(F.lit, ("of", "comma", "parens", "bare", "none"))), (F.col("l_suppkey") % 5).cast("int"))
     section = F.when(form != "none", F.when(F.col("l_quantity") > 25, "2.1").otherwise("B"))
     rows = table(spark, d, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", fields.render_xref(F.when(F.col("l_partkey") % 3 == 0, "").otherwise("see"), F.concat(F.lit("P"), "l_partkey"), F.lit(True), F.lit("default"), section, form).alias("xref"))
+    return rows.select("l_orderkey", "l_linenumber", fields.render_xref(F.when(F.col("l_partkey") % 3 == 0, "").otherwise("see"), F.when((F.col("l_partkey") % 7 == 0) & (form == "none"), "").otherwise(F.concat(F.lit("P"), "l_partkey")), F.lit(True), F.lit("default"), section, form).alias("xref"))
 
 
 @query("r84_cells_from_flat", """
@@ -481,7 +481,14 @@ def r84(spark: SparkSession, d: str) -> DataFrame:
     return V.cells_from_flat(l, table="l_orderkey", pos="at", n_cols=F.lit(3), aligns="aligns").select("l_orderkey", "l_linenumber", F.col("row").cast("long"), F.col("col").cast("long"), "align")
 
 
-@query("r85_place_cells")
+@query("r85_place_cells", """
+WITH RECURSIVE c AS (SELECT l_orderkey // 40 AS tab, CAST(l_orderkey % 40 AS INTEGER) AS row, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos, 1 + l_suppkey % 3 AS w, 1 + l_partkey % 2 AS h FROM lineitem),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY row, pos) AS k FROM c),
+s AS (
+  SELECT tab, CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS row, CAST(NULL AS INTEGER) AS pos, CAST(NULL AS BIGINT) AS col, CAST([] AS BIGINT[]) AS taken FROM o WHERE k = 1
+  UNION ALL SELECT tab, k, row, pos, col, list_concat(kept, list_transform(range(0, w * h), lambda i: (row + i // w) * 10000 + col + i % w)) FROM (
+    SELECT o.*, list_filter(taken, lambda x: x // 10000 >= o.row) AS kept, list_filter(range(0, len(taken) + 1), lambda x: NOT list_contains(taken, o.row * 10000 + x))[1] AS col FROM s JOIN o ON o.tab = s.tab AND o.k = s.k + 1))
+SELECT tab, row, pos, CAST(col AS INTEGER) AS col FROM s WHERE k > 0""")
 def r85(spark: SparkSession, d: str) -> DataFrame:
     """Tables of 40 orders, one a row; every item is a cell, in order of its line."""
     nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,7 +124,17 @@ def r66(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", text.expand_unicode(F.col("w")).alias("t"))
 
 
-@query("r66_character_names")
+def sql_names(*ranges: tuple[int, int]) -> str:
+    """Rows of characters and their names, for the code points of some ranges."""
+    codes = [x for lo, hi in ranges for x in range(lo, hi) if unicodedata.name(chr(x), "")]
+    return ", ".join(f"({x}, '{unicodedata.name(chr(x))}')" for x in codes)
+
+
+@query("r66_character_names", f"""
+WITH names(code, name) AS (VALUES {sql_names((0, 0x250), (0x2000, 0x2070), (0x20A0, 0x20C0))}),
+c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+j AS (SELECT doc_id, string_agg(coalesce(name, printf('U+%04x', unicode(c))), ', ' ORDER BY i) AS names FROM c LEFT JOIN names ON code = unicode(c) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text = '' THEN '' ELSE names END AS names FROM documents LEFT JOIN j USING (doc_id)""")
 def r66b(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", helpers.character_names(F.col("text")).alias("names"))
 

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.jobs.folders import shared_folder
+from quire.jobs.folders import shared_folder, written
 from quire.jobs.prep import prepare
 from quire.jobs.registry import query, table
-from quire.operators.elements import unprep
+from quire.operators.elements import convert_lists, unprep
 from quire.operators.joins import scoped_value
 from quire.sources.corpus import explode_elements, read_references, reference_findings
 
@@ -168,6 +168,39 @@ def r26_scoped(spark: SparkSession, d: str) -> DataFrame:
     return scoped_value(el, key="v", target="set").filter("attrs['anchor'] IS NOT NULL").select("doc_id", F.col("attrs")["anchor"].alias("anchor"), "value")
 
 
+def kind_sql(style: str, tag: str, type_: str) -> str:
+    """SQL of a list's kind from its style and the kind of the list around it."""
+    return f"""CASE {style} WHEN 'letters' THEN {{'tag': 'ol', 'type': 'a', 'empty': false}} WHEN 'numbers' THEN {{'tag': 'ol', 'type': '1', 'empty': false}} WHEN 'format %c.' THEN {{'tag': 'ol', 'type': '%c.', 'empty': false}}
+  WHEN 'hanging' THEN {{'tag': 'dl', 'type': NULL, 'empty': false}} WHEN '' THEN {{'tag': coalesce({tag}, 'ul'), 'type': CASE {type_} WHEN 'a' THEN 'A' WHEN 'A' THEN 'a' WHEN 'i' THEN 'I' WHEN 'I' THEN 'i' ELSE {type_} END, 'empty': {tag} IS NULL}}
+  ELSE {{'tag': 'ul', 'type': NULL, 'empty': {style} = 'empty'}} END"""
+
+
+@query("r15_list_styles", f"""
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS k, o_orderkey % 4 = 0 AS isol, o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 AS isdl, ['letters', 'numbers', 'symbols', 'hanging', 'format %c.', '', 'odd', 'empty'][CAST(o_custkey % 8 + 1 AS INTEGER)] AS style FROM orders),
+a AS (SELECT doc_id, k, isol OR isdl AS old, CASE WHEN isol THEN {{'tag': 'ol', 'type': 'i', 'empty': false}} WHEN isdl THEN {{'tag': 'dl', 'type': NULL, 'empty': false}} ELSE {kind_sql("style", "NULL", "NULL")} END AS one FROM o),
+l AS (SELECT a.*, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, CASE WHEN l_partkey % 5 = 0 THEN 'letters' ELSE '' END AS style FROM a JOIN lineitem ON l_orderkey = k),
+b AS (SELECT *, {kind_sql("style", "one.tag", "one.type")} AS two FROM l), c AS (SELECT *, {kind_sql("''", "two.tag", "two.type")} AS three FROM b),
+r AS (SELECT doc_id, CAST(k AS VARCHAR) AS anchor, one AS x, '' AS g FROM a WHERE NOT old UNION ALL SELECT doc_id, k || '-' || n, two, '' FROM c UNION ALL SELECT doc_id, k || '-' || n || '-in', three, 'group=c;' FROM c)
+SELECT doc_id, anchor, x.tag AS tag, CASE WHEN x.empty THEN 'empty=true' WHEN x.tag = 'dl' THEN 'newline=false' WHEN x.tag = 'ol' THEN g || 'type=' || x.type ELSE '' END AS attrs FROM r""")
+def r15_styles(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each customer: a list for each order, in it one for each line, some with a style, and in each of those one without."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    key = F.col("o_orderkey")
+    anchor = lambda *parts: F.concat(F.lit(' anchor="'), *parts, F.lit('"'))
+    line = lambda x, i: F.concat(F.lit("<t><list"), anchor(key, F.lit("-"), i + 1), F.when(x["l_partkey"] % 5 == 0, ' style=" letters"').otherwise(""), F.lit("><t><list counter=\"c\""), anchor(key, F.lit("-"), i + 1, F.lit("-in")), F.lit("/></t></list></t>"))
+    style = F.get(F.array(*map(F.lit, ("letters", "numbers", "symbols", "hanging", "format %c.", "", "odd", "empty"))), (F.col("o_custkey") % 8).cast("int"))
+    name = F.when(key % 4 == 0, "ol").when((key % 4 == 1) & (key % 3 == 0), "dl").otherwise("list")
+    head = F.when(name == "ol", ' type="i"').when(name == "list", F.concat(F.lit(' style="'), style, F.lit('"'))).otherwise("")
+    orders = table(spark, d, "orders").join(lines, key == F.col("l_orderkey"), "left")
+    xml = F.concat(F.lit("<"), name, anchor(key), head, F.lit(">"), F.array_join(F.transform(F.coalesce("lines", F.array()), line), ""), F.lit("</"), name, F.lit(">"))
+    docs = orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    # written, since lists, those around them and all elements are read: XML is parsed once
+    el = written(explode_elements(docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml"))))
+    was = el.filter("tag = 'list'").select("doc_id", "node_id")
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter("attrs", lambda k, v: k != "anchor")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return convert_lists(el).join(was, ["doc_id", "node_id"]).select("doc_id", F.col("attrs")["anchor"].alias("anchor"), "tag", shown.alias("attrs"))
+
+
 def library(spark: SparkSession, d: str) -> DataFrame:
     """References to parts, read from XML files that are written from ``part``: each twentieth is broken, some have no anchor."""
     p, k = table(spark, d, "part"), F.col("p_partkey")

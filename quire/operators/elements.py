@@ -119,6 +119,43 @@ def rename_tags(el: DataFrame, mapping: DataFrame, *, tag_col: str = "tag", styl
     return out.withColumn(tag_col, F.coalesce("_new", "_new2", tag_col)).select(*el.columns)
 
 
+#: How a list of each style is written: its tag and the type of its numbers. Fixed values; other styles are plain lists.
+LIST_STYLES = {"empty": ("ul", None), "symbols": ("ul", None), "hanging": ("dl", None), "numbers": ("ol", "1"), "inherit": ("ol", "1"), "letters": ("ol", "a")}
+
+
+def convert_lists(el: DataFrame) -> DataFrame:
+    """``list`` elements as ``ul``, ``ol`` or ``dl`` by their style; one without a style takes that of the nearest list around it.
+
+    ``format x`` gives an ``ol`` of type x. Letters and roman numerals change case with each list that inherits them. Without any style
+    around it the outermost list is an empty ``ul`` and those in it are plain. ``style`` and ``counter`` go; an ``ol`` has its counter as ``group``.
+    Only lists are joined with the lists around them: a row for each level of nesting, then one array of that length.
+    """
+    style = F.when(F.col("tag") == "list", F.trim(F.coalesce(F.col("attrs")["style"], F.lit(""))))
+    lists = el.filter(F.col("tag").isin("list", "ul", "ol", "dl")).withColumn("style", style)
+    tags = F.coalesce(*[F.when(F.col("style") == s, t) for s, (t, _) in LIST_STYLES.items()], F.when(F.col("style").startswith("format"), "ol"), F.when(F.col("tag") == "list", "ul"), F.col("tag"))
+    types = F.coalesce(*[F.when(F.col("style") == s, n) for s, (_, n) in LIST_STYLES.items() if n], F.when(F.col("style").startswith("format"), F.substr("style", F.lit(8))), F.when(F.col("tag") == "ol", F.coalesce(F.col("attrs")["type"], F.lit("1"))))
+    says = F.when(F.col("style").isNull() | (F.col("style") != ""), F.struct(tags.alias("tag"), types.alias("type")))
+    lists = lists.withColumn("says", says)
+    around = lists.select("doc_id", F.col("node_id").alias("step"), F.struct("depth", "says").alias("around"))
+    open_ = lists.filter("says IS NULL").select("doc_id", "node_id", F.explode("anc_ids").alias("step"))
+    found = open_.join(around, ["doc_id", "step"]).groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list("around")).alias("around"))
+    said = F.filter("around", lambda x: x["says"].isNotNull())
+    last = F.get(said, F.size(said) - 1)
+    steps = F.size(F.filter("around", lambda x: x["depth"] > last["depth"])) + 1
+    turned = F.when(last["says"]["type"].isin("a", "A", "i", "I") & (steps % 2 == 1), F.translate(last["says"]["type"], "aAiI", "AaIi")).otherwise(last["says"]["type"])
+    found = found.select("doc_id", "node_id", F.coalesce(last["says"]["tag"], F.lit("ul")).alias("_tag"), turned.alias("_type"))
+    own = lists.filter("tag = 'list'").select("doc_id", "node_id", "says", (F.col("style") == "empty").alias("_empty")).join(found, ["doc_id", "node_id"], "left")
+    own = own.select("doc_id", "node_id", F.coalesce("says.tag", "_tag", F.lit("ul")).alias("_new"), F.coalesce("says.type", "_type").alias("_type"), (F.col("_empty") | (F.col("says").isNull() & F.col("_tag").isNull())).alias("_empty"))
+    out = el.join(own, ["doc_id", "node_id"], "left")
+    more = F.array(
+        F.when(F.col("_new") == "ol", F.struct(F.lit("type").alias("k"), F.col("_type").alias("v"))), F.when(F.col("_empty"), F.struct(F.lit("empty").alias("k"), F.lit("true").alias("v"))),
+        F.when(F.col("_new") == "dl", F.struct(F.lit("newline").alias("k"), F.lit("false").alias("v"))), F.when((F.col("_new") == "ol") & F.col("attrs")["counter"].isNotNull(), F.struct(F.lit("group").alias("k"), F.col("attrs")["counter"].alias("v"))),
+    )
+    kept = F.map_filter("attrs", lambda k, v: ~k.isin("style", "counter", "type", "empty", "newline", "group"))
+    attrs = F.when(F.col("_new").isNull(), F.col("attrs")).otherwise(F.map_concat(kept, F.map_from_entries(F.array_compact(more))))
+    return out.withColumns({"attrs": attrs, "tag": F.coalesce("_new", "tag")}).select(*el.columns)
+
+
 def vocabulary_findings(el: DataFrame, vocab: DataFrame, deprecated: DataFrame, *, tag_col: str = "tag") -> DataFrame:
     """Rows of ``el`` with ``severity`` and ``code``: tags outside ``vocab`` (tag), and tags in ``deprecated`` (tag)."""
     known, old = (F.broadcast(x.select(F.col("tag").alias("_tag"))) for x in (vocab, deprecated))
