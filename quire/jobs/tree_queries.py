@@ -71,6 +71,11 @@ def prepare_xrefs(spark: SparkSession, d: str) -> DataFrame:
     return prepare(conversation_trees(spark, d)).xrefs.select("doc_id", "target", "derived")
 
 
+def by_customer(orders: DataFrame) -> DataFrame:
+    """Orders of a customer together: what is grouped by customer then shuffles no more, and tasks that parse their XML aren't merged by its size."""
+    return orders.repartition(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+
+
 def customer_trees(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id``, ``xml``: a document for each customer. Priorities hold orders, orders hold lines; pending orders are appendices.
 
@@ -95,7 +100,7 @@ def customer_trees(spark: SparkSession, d: str) -> DataFrame:
     body = F.array_join(F.transform(F.coalesce("lines", F.array()), line), "")
     xml = F.concat(F.lit('<section anchor="o'), "o_orderkey", F.lit('"'), mark, F.lit("><name>Order "), "o_orderkey", F.lit("</name>"), body, F.lit("</section>"))
     orders = orders.select("o_custkey", (F.col("o_orderstatus") == "P").alias("back"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"), F.struct("o_orderkey", xml.alias("xml")).alias("o"))
-    inner = orders.groupBy("o_custkey", "back", "priority").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    inner = by_customer(orders).groupBy("o_custkey", "back", "priority").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
     xml = F.when(F.col("back"), F.col("xml")).otherwise(F.concat(F.lit("<section><name>"), "priority", F.lit("</name>"), "xml", F.lit("</section>")))
     whole = inner.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("back", "priority", xml.alias("xml")))).alias("s"))
     part = lambda back: F.array_join(F.transform(F.filter("s", lambda x: x["back"] == back), lambda x: x["xml"]), "")
@@ -163,7 +168,7 @@ def r26_scoped(spark: SparkSession, d: str) -> DataFrame:
     line = lambda x, i: F.concat(setting(x["l_partkey"] % 4 == 0, F.lit("line"), key, F.lit("."), i + 1), F.lit('<t anchor="'), key, F.lit("-"), i + 1, F.lit('"/>'))
     inner = F.array_join(F.transform(F.coalesce("lines", F.array()), line), "")
     xml = F.concat(F.lit('<section anchor="'), key, F.lit('">'), setting(key % 3 == 0, F.lit("order"), key), inner, F.lit("</section>"), setting(key % 5 == 0, F.lit("after"), key))
-    docs = orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    docs = by_customer(orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o"))).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
     el = explode_elements(docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml")))
     return scoped_value(el, key="v", target="set").filter("attrs['anchor'] IS NOT NULL").select("doc_id", F.col("attrs")["anchor"].alias("anchor"), "value")
 
@@ -193,7 +198,7 @@ def r15_styles(spark: SparkSession, d: str) -> DataFrame:
     head = F.when(name == "ol", ' type="i"').when(name == "list", F.concat(F.lit(' style="'), style, F.lit('"'))).otherwise("")
     orders = table(spark, d, "orders").join(lines, key == F.col("l_orderkey"), "left")
     xml = F.concat(F.lit("<"), name, anchor(key), head, F.lit(">"), F.array_join(F.transform(F.coalesce("lines", F.array()), line), ""), F.lit("</"), name, F.lit(">"))
-    docs = orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    docs = by_customer(orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o"))).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
     # written, since lists, those around them and all elements are read: XML is parsed once
     el = written(explode_elements(docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml"))))
     was = el.filter("tag = 'list'").select("doc_id", "node_id")
