@@ -74,3 +74,12 @@ def test_references_with_missing_parts(spark):
     xref = lambda content, is_ref, fmt, sec, form: one(spark, fields.render_xref(lit(content), lit("R"), lit(is_ref), lit(fmt), lit(sec).cast("string"), lit(form)))
     assert [xref("", True, "default", None, "of"), xref("see", True, "default", None, "of"), xref("see", False, "default", None, "of")] == ["[R]", "see [R]", "see (R)"]
     assert [xref("", True, "default", "2", f) for f in ("of", "comma", "parens", "bare")] == ["Section 2 of [R]", "[R], Section 2", "[R] (Section 2)", "2"]
+
+
+def test_base64_of_data_is_one_line(spark):
+    import base64
+    from urllib.parse import unquote
+
+    for text in ("x" * 57, "x" * 58, "http://a.example/?" + "é&" * 200):
+        url = one(spark, fields.data_url(F.lit("text/plain"), F.col("t"), base64=True), t=text)
+        assert unquote(url) == "data:text/plain;base64," + base64.b64encode(text.encode()).decode()
