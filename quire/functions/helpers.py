@@ -41,10 +41,29 @@ class _Names(dict):
         return name
 
 
+def in_pieces(texts: pd.Series, f, most: int = 1_000_000) -> Iterator[pd.Series]:
+    """``f`` of each text (null for null), in series of texts that have about ``most`` characters together: results much longer than texts never stand in memory for a whole batch."""
+    out, size = [], 0
+    for x in texts:
+        out.append(None if x is None else f(x))
+        size += 0 if x is None else len(x)
+        if size >= most or len(out) >= 10_000:
+            yield pd.Series(out, dtype=object)
+            out, size = [], 0
+    if out:
+        yield pd.Series(out, dtype=object)
+
+
 def character_names(c: Column) -> Column:
-    """The Unicode names of a text's characters, joined by commas; those without one as "U+xxxx"."""
-    names = _Names()
-    return _strings(lambda s: ", ".join(map(names.__getitem__, s)))(c)
+    """The Unicode names of a text's characters, joined by commas; those without one as "U+xxxx". Names are some twenty times as long as the text."""
+
+    @F.pandas_udf("string")
+    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = _Names()
+        for part in parts:
+            yield from in_pieces(part, lambda s: ", ".join(map(names.__getitem__, s)))
+
+    return udf(c)
 
 
 # -- wrapping

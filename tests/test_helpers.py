@@ -98,3 +98,20 @@ def test_grid_takes_the_first_free_place(cells):
         assert row == cells[k][0]
         assert not any(covers(j, row, col) for j in range(k))
         assert all(any(covers(j, row, c) for j in range(k)) for c in range(col))
+
+
+def test_names_come_in_pieces(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    texts = ["ab", None, "", "é\x07"] * 6
+    parts = list(h.in_pieces(pd.Series(texts, dtype=object), str.upper, most=5))
+    assert len(parts) > 3 and [x for p in parts for x in p] == [None if x is None else x.upper() for x in texts]
+    assert list(h.in_pieces(pd.Series([], dtype=object), str.upper)) == []
+    # no series of results is longer than what about a million characters give, whatever a batch holds
+    sizes = [sum(map(len, p)) for p in h.in_pieces(pd.Series(["x" * 100_000] * 60), lambda x: x * 20)]
+    assert len(sizes) == 6 and max(sizes) == 20_000_000
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(["ab", None, "", "\x07", "x" * 700_000, "y" * 700_000, "z"])], "i int, t string").coalesce(1)
+    got = {r.i: r.n for r in rows.select("i", h.character_names(F.col("t")).alias("n")).collect()}
+    assert got[0] == "LATIN SMALL LETTER A, LATIN SMALL LETTER B" and got[1] is None and got[2] == "" and got[3] == "U+0007"
+    assert got[5] == ", ".join(["LATIN SMALL LETTER Y"] * 700_000) and got[6] == "LATIN SMALL LETTER Z"
