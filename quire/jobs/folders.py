@@ -24,3 +24,9 @@ def written(df: DataFrame) -> DataFrame:
     path, schema = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows dealt by one key, for windows, groups and joins by it and others: with this setting Spark joins such rows where they are, else it would deal them again for every join."""
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition(key)

@@ -72,8 +72,8 @@ def prepare_xrefs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def by_customer(orders: DataFrame) -> DataFrame:
-    """Orders of a customer together: what is grouped by customer then shuffles no more, and tasks that parse their XML aren't merged by its size."""
-    return orders.repartition(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    """Orders of a customer together: what is grouped by its document (``doc_id``) then shuffles no more, and tasks that parse their XML aren't merged by its size."""
+    return orders.repartition(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def customer_trees(spark: SparkSession, d: str) -> DataFrame:
@@ -96,15 +96,15 @@ def customer_trees(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(*parts)
 
     mark = F.when(F.col("o_orderkey") % 5 == 0, ' toc="include"').when(F.col("o_orderkey") % 7 == 0, ' toc="exclude"').otherwise("")
-    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, d, "orders").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     body = F.array_join(F.transform(F.coalesce("lines", F.array()), line), "")
     xml = F.concat(F.lit('<section anchor="o'), "o_orderkey", F.lit('"'), mark, F.lit("><name>Order "), "o_orderkey", F.lit("</name>"), body, F.lit("</section>"))
-    orders = orders.select("o_custkey", (F.col("o_orderstatus") == "P").alias("back"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"), F.struct("o_orderkey", xml.alias("xml")).alias("o"))
-    inner = by_customer(orders).groupBy("o_custkey", "back", "priority").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    orders = orders.select(F.col("o_custkey").cast("string").alias("doc_id"), (F.col("o_orderstatus") == "P").alias("back"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority"), F.struct("o_orderkey", xml.alias("xml")).alias("o"))
+    inner = by_customer(orders).groupBy("doc_id", "back", "priority").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
     xml = F.when(F.col("back"), F.col("xml")).otherwise(F.concat(F.lit("<section><name>"), "priority", F.lit("</name>"), "xml", F.lit("</section>")))
-    whole = inner.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("back", "priority", xml.alias("xml")))).alias("s"))
+    whole = inner.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("back", "priority", xml.alias("xml")))).alias("s"))
     part = lambda back: F.array_join(F.transform(F.filter("s", lambda x: x["back"] == back), lambda x: x["xml"]), "")
-    return whole.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc><front/><middle>"), part(F.lit(False)), F.lit("</middle><back>"), part(F.lit(True)), F.lit("</back></rfc>")).alias("xml"))
+    return whole.select("doc_id", F.concat(F.lit("<rfc><front/><middle>"), part(F.lit(False)), F.lit("</middle><back>"), part(F.lit(True)), F.lit("</back></rfc>")).alias("xml"))
 
 
 DEEP = """
@@ -162,14 +162,14 @@ UNION ALL SELECT CAST(o.doc AS VARCHAR), CAST(o.k AS VARCHAR), coalesce(CASE WHE
 def r26_scoped(spark: SparkSession, d: str) -> DataFrame:
     """A document for each customer; settings stand after orders, at the start of some, and before some of their lines."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
-    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, d, "orders").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key = F.col("o_orderkey")
     setting = lambda when, *name: F.when(when, F.concat(F.lit('<?set v="'), *name, F.lit('"?>'))).otherwise("")
     line = lambda x, i: F.concat(setting(x["l_partkey"] % 4 == 0, F.lit("line"), key, F.lit("."), i + 1), F.lit('<t anchor="'), key, F.lit("-"), i + 1, F.lit('"/>'))
     inner = F.array_join(F.transform(F.coalesce("lines", F.array()), line), "")
     xml = F.concat(F.lit('<section anchor="'), key, F.lit('">'), setting(key % 3 == 0, F.lit("order"), key), inner, F.lit("</section>"), setting(key % 5 == 0, F.lit("after"), key))
-    docs = by_customer(orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o"))).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
-    el = explode_elements(docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml")))
+    docs = by_customer(orders.select(F.col("o_custkey").cast("string").alias("doc_id"), F.struct(key, xml.alias("xml")).alias("o"))).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    el = written(explode_elements(docs.select("doc_id", F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml"))))
     return scoped_value(el, key="v", target="set").filter("attrs['anchor'] IS NOT NULL").select("doc_id", F.col("attrs")["anchor"].alias("anchor"), "value")
 
 
@@ -196,14 +196,14 @@ def r15_styles(spark: SparkSession, d: str) -> DataFrame:
     style = F.get(F.array(*map(F.lit, ("letters", "numbers", "symbols", "hanging", "format %c.", "", "odd", "empty"))), (F.col("o_custkey") % 8).cast("int"))
     name = F.when(key % 4 == 0, "ol").when((key % 4 == 1) & (key % 3 == 0), "dl").otherwise("list")
     head = F.when(name == "ol", ' type="i"').when(name == "list", F.concat(F.lit(' style="'), style, F.lit('"'))).otherwise("")
-    orders = table(spark, d, "orders").join(lines, key == F.col("l_orderkey"), "left")
+    orders = table(spark, d, "orders").join(lines.hint("merge"), key == F.col("l_orderkey"), "left")
     xml = F.concat(F.lit("<"), name, anchor(key), head, F.lit(">"), F.array_join(F.transform(F.coalesce("lines", F.array()), line), ""), F.lit("</"), name, F.lit(">"))
-    docs = by_customer(orders.select("o_custkey", F.struct(key, xml.alias("xml")).alias("o"))).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
-    # written, since lists, those around them and all elements are read: XML is parsed once
-    el = written(explode_elements(docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml"))))
-    was = el.filter("tag = 'list'").select("doc_id", "node_id")
+    docs = by_customer(orders.select(F.col("o_custkey").cast("string").alias("doc_id"), F.struct(key, xml.alias("xml")).alias("o"))).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["xml"]), "").alias("xml"))
+    # written, since lists and those around them are read: XML is parsed once
+    el = written(explode_elements(docs.select("doc_id", F.concat(F.lit("<rfc>"), "xml", F.lit("</rfc>")).alias("xml"))))
+    lists = el.filter("tag IN ('list', 'ul', 'ol', 'dl')").withColumn("was", F.col("tag"))
     shown = F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter("attrs", lambda k, v: k != "anchor")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return convert_lists(el).join(was, ["doc_id", "node_id"]).select("doc_id", F.col("attrs")["anchor"].alias("anchor"), "tag", shown.alias("attrs"))
+    return convert_lists(lists).filter("was = 'list'").select("doc_id", F.col("attrs")["anchor"].alias("anchor"), "tag", shown.alias("attrs"))
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:

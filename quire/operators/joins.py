@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.fields import parse_pi
+from quire.jobs.folders import dealt
 
 
 def insert_missing(rows: DataFrame, docs: DataFrame, required: DataFrame, *, key: str, kind: str, doc: str) -> DataFrame:
@@ -101,17 +102,19 @@ def scoped_value(el: DataFrame, *, key: str, target: str | None = None) -> DataF
     Settings are processing instructions (``target``: of this name only). One holds for the element that it stands in, and from there to the end of
     that element for all that follows. The first directly inside an element wins, then the nearest before it among its siblings, then before
     its parent, and so on up. What holds beside each node is a window over siblings; the nearest ancestor that has such a value
-    is one join, with a row for each step, whatever the number of settings.
+    is one join, with a row for each step, whatever the number of settings. Each side is dealt by document once, its windows, joins and groups stay there.
     """
     is_pi = F.col("kind") == "pi"
     said = F.when(is_pi & (F.lit(True) if target is None else F.col("tag") == target), parse_pi(F.coalesce("text", F.lit("")))[key])
     before = F.last("said", ignorenulls=True).over(W.partitionBy("doc_id", "parent_id").orderBy("sib_pos").rowsBetween(W.unboundedPreceding, -1))
-    rows = el.withColumn("said", said).withColumn("beside", before)
-    inside = rows.filter("said IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min_by("said", "sib_pos").alias("inside"))
+    set_ = dealt(el.filter(is_pi).select("doc_id", F.col("parent_id").alias("node_id"), "sib_pos", said.alias("said")).filter("said IS NOT NULL"))
+    inside = set_.groupBy("doc_id", "node_id").agg(F.min_by("said", "sib_pos").alias("inside"))
+    rows = dealt(el.select("doc_id", "node_id", "parent_id", "sib_pos", "depth", "kind", said.alias("said"))).withColumn("beside", before)
     steps = rows.filter("kind = 'element' AND beside IS NOT NULL").select("doc_id", F.col("node_id").alias("step"), "depth", "beside")
-    up = rows.filter("kind = 'element'").select("doc_id", "node_id", F.explode(F.concat("anc_ids", F.array("node_id"))).alias("step"))
+    own = dealt(el.filter("kind = 'element'"))
+    up = own.select("doc_id", "node_id", F.explode(F.concat("anc_ids", F.array("node_id"))).alias("step"))
     nearest = up.join(steps, ["doc_id", "step"]).groupBy("doc_id", "node_id").agg(F.max_by("beside", "depth").alias("outside"))
-    out = rows.filter("kind = 'element'").drop("said", "beside").join(inside, ["doc_id", "node_id"], "left").join(nearest, ["doc_id", "node_id"], "left")
+    out = own.join(inside, ["doc_id", "node_id"], "left").join(nearest, ["doc_id", "node_id"], "left")
     return out.withColumn("value", F.coalesce("inside", "outside")).drop("inside", "outside")
 
 
