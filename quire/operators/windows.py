@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.jobs.folders import written
+from quire.jobs.folders import dealt, written
 
 
 def hierarchical_numbers(nodes: DataFrame, *, doc: str, node: str, path: str, part: str, sib: str, parent: str) -> DataFrame:
@@ -51,21 +51,27 @@ def nested_paragraph_numbers(el: DataFrame, pns: DataFrame) -> DataFrame:
 
     ``el`` is a table of elements, ``pns`` (doc_id, node_id, pn) the numbers of sections and the like; one that has none is
     "unknown-unknown". Each element's place in its parent is a running count of those that count, up to itself, and a path
-    is the places from below the nearest section down: one window, and one join with the ancestors of blocks. Figures and tables count
+    is the places from below the nearest section down: one window, and one join with those ancestors of blocks that lie between. Figures and tables count
     but are numbered elsewhere; inside a reference nothing is. A number that an element has already wins.
     """
     counts = F.col("tag").isin(*PARAGRAPHS, *COUNTED_ONLY)
-    place = F.sum(counts.cast("int")).over(W.partitionBy("doc_id", "parent_id").orderBy("sib_pos").rowsBetween(W.unboundedPreceding, 0))
+    place = F.coalesce(F.sum(counts.cast("int")).over(W.partitionBy("doc_id", "parent_id").orderBy("sib_pos").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
     rows = el.filter("kind = 'element'")
-    steps = rows.select("doc_id", F.col("node_id").alias("step"), "depth", place.alias("place"), F.col("tag").isin(*BEGIN_ANEW).alias("anew"), F.col("tag").isin(*NO_NUMBERS).alias("none"))
-    steps = steps.join(pns.select("doc_id", F.col("node_id").alias("step"), F.col("pn").alias("step_pn")), ["doc_id", "step"], "left")
-    blocks = rows.filter(F.col("tag").isin(*PARAGRAPHS) & ~F.col("tag").isin(*NUMBERED_APART)).select("doc_id", "node_id", "tag", F.col("attrs")["pn"].alias("own"), F.explode(F.concat("anc_ids", F.array("node_id"))).alias("step"))
-    path = F.array_sort(F.collect_list(F.struct("depth", "place", "anew", "none", "step_pn")))
-    out = blocks.join(steps, ["doc_id", "step"]).groupBy("doc_id", "node_id", "tag").agg(F.first("own").alias("own"), path.alias("path"))
-    top = F.array_max(F.transform(F.filter("path", lambda s: s["anew"]), lambda s: F.struct(s["depth"], s["step_pn"].alias("pn"))))
-    out = out.filter(~F.exists("path", lambda s: s["none"])).withColumn("top", top).filter("top IS NOT NULL")
-    numbers = F.array_join(F.transform(F.filter("path", lambda s: s["depth"] > F.col("top.depth")), lambda s: s["place"].cast("string")), ".")
-    return out.select("doc_id", "node_id", "tag", F.coalesce("own", F.concat(F.coalesce("top.pn", F.lit("unknown-unknown")), F.lit("-"), numbers)).alias("pn"))
+    # where the nearest section above is among the ancestors, from 1; 0: there is none
+    at = F.size("anc_tags") - F.coalesce(F.array_position(F.reverse(F.transform("anc_tags", lambda t: t.isin(*BEGIN_ANEW))), True), F.lit(0)).cast("int") + 1
+    at = F.when(F.exists("anc_tags", lambda t: t.isin(*BEGIN_ANEW)), at).otherwise(0)
+    block = F.col("tag").isin(*PARAGRAPHS) & ~F.col("tag").isin(*NUMBERED_APART) & ~F.exists("anc_tags", lambda t: t.isin(*NO_NUMBERS))
+    told = F.when(block & (F.col("at") > 0), F.struct(F.get("anc_ids", F.col("at") - 1).alias("top"), F.slice("anc_ids", F.col("at") + 1, F.size("anc_ids")).alias("between"), F.col("attrs")["pn"].alias("own")))
+    rows = rows.withColumn("at", at).select("doc_id", "node_id", "parent_id", "sib_pos", "tag", "depth", told.alias("b"))
+    rows = dealt(rows).select("doc_id", "node_id", "tag", "depth", "b", place.alias("place"))
+    blocks = rows.filter("b IS NOT NULL").select("doc_id", "node_id", "tag", "place", "b.*")
+    steps = rows.select("doc_id", F.col("node_id").alias("step"), F.struct("depth", "place").alias("s"))
+    path = F.transform(F.array_sort(F.collect_list("s")), lambda s: s["place"].cast("string"))
+    above = blocks.select("doc_id", "node_id", F.explode("between").alias("step")).join(steps, ["doc_id", "step"]).groupBy("doc_id", "node_id").agg(path.alias("above"))
+    pns = dealt(pns.select("doc_id", F.col("node_id").alias("top"), F.col("pn").alias("top_pn")))
+    out = blocks.join(above, ["doc_id", "node_id"], "left").join(pns, ["doc_id", "top"], "left")
+    numbers = F.concat_ws(".", "above", F.col("place").cast("string"))
+    return out.select("doc_id", "node_id", "tag", F.coalesce("own", F.concat(F.coalesce("top_pn", F.lit("unknown-unknown")), F.lit("-"), numbers)).alias("pn"))
 
 
 def list_counters(lists: DataFrame, *, doc: str, group: str, pos: str, start: str, n_items: str) -> DataFrame:
