@@ -83,3 +83,12 @@ def test_base64_of_data_is_one_line(spark):
     for text in ("x" * 57, "x" * 58, "http://a.example/?" + "é&" * 200):
         url = one(spark, fields.data_url(F.lit("text/plain"), F.col("t"), base64=True), t=text)
         assert unquote(url) == "data:text/plain;base64," + base64.b64encode(text.encode()).decode()
+
+
+def test_code_points_of_all_planes(spark):
+    t = "a\x00 \uffff\U00010000\U0010ffff中\n"
+    want = " ".join(f"U+{ord(x):04X}" for x in t)
+    assert one(spark, text.expand_unicode(F.col("t"), "num"), t=t) == want and one(spark, text.expand_unicode(F.col("t"), "num"), t="") == ""
+    # one pass over the text, no row or format for each character
+    plan = spark.range(1).select(text.expand_unicode(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
