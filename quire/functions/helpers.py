@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import textwrap
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,16 +78,17 @@ ABBREVIATIONS = ("Eq", "Cf", "cf", "vs", "resp", "viz", "ibid", "Jr", "Sr", "Mr"
 _AFTER, _BEFORE, _OPENING = ("'", '"', ")", "]"), "'\")]>", "\"'(["
 #: Words that stay on the line of the next one: fixed values.
 KEPT = ("Section", "Appendix", "Figure", "Table")
-_SPACES = " \t\n\r\f\v"
+_SPACE = re.compile("[ \t\n\r\f\v]+")
 _NBSP, _ZWSP, _JOINERS = "\u00a0", "\u200b", "\u200c\u2060\ue060"
 
 
 def _words(paragraph: str) -> list[str]:
     """The words between ASCII spaces; one of ``KEPT`` and its successor are one."""
+    words = list(filter(None, _SPACE.split(paragraph)))
+    if not any(x in paragraph for x in KEPT):
+        return words
     out: list[str] = []
-    for word in paragraph.translate(dict.fromkeys(map(ord, _SPACES), " ")).split(" "):
-        if not word:
-            continue
+    for word in words:
         if out and out[-1].endswith(KEPT):
             out[-1] += _NBSP + word
         else:
@@ -140,6 +145,32 @@ def starts_sentence(word: str) -> bool:
     return first.isascii() and first.isupper()
 
 
+def _shown(word: str) -> str:
+    """A word without the marks that only say where it may break."""
+    return word if word.isascii() else word.translate(_UNSEEN)
+
+
+_UNSEEN = dict.fromkeys(map(ord, _JOINERS + _ZWSP))
+
+
+class _Told(dict):
+    """Of each word what wrapping asks: its parts, whether it shows anything, ends a sentence, begins one. Each word is looked at once."""
+
+    def __missing__(self, word: str) -> tuple[list[str], bool, bool, bool]:
+        shown = _shown(word)
+        parts = [x for x in map(_shown, _parts(word) if "-" in word or "/" in word or _ZWSP in word else [word]) if x]
+        seen = shown.strip() != ""
+        told = parts, seen, seen and ends_sentence(shown.split()[-1]), starts_sentence(shown)
+        if len(self) >= 200_000:  # words without end: begin anew
+            self.clear()
+        if len(word) <= 100:
+            self[word] = told
+        return told
+
+
+_TOLD = _Told()
+
+
 def wrap_lines(text: str, width: int = 72, indent: int = 0, hang: int = 0) -> list[str]:
     """The lines of a text. Two spaces between sentences, one elsewhere; "Section 3" and the like stay together.
 
@@ -149,21 +180,28 @@ def wrap_lines(text: str, width: int = 72, indent: int = 0, hang: int = 0) -> li
     room = max(1, width - len(rest))
     lines: list[str] = []
     for k, para in enumerate(text.split("\u2028")):
-        line, gap, last = " " * (0 if k else indent), "", ""
+        line, blank = " " * (0 if k else indent), True
+        last = ended = False  # whether there is a word before, whether it ends a sentence
         for word in _words(para.strip()):
-            shown = "".join(c for c in word if c not in _JOINERS and c != _ZWSP)
-            if last:
-                gap = "  " if ends_sentence(last.split()[-1]) and starts_sentence(shown) else " "
-            for part in _parts(word):
-                part = "".join(c for c in part if c not in _JOINERS and c != _ZWSP)
-                for cut in (part[i : i + room] for i in range(0, len(part), room)):
-                    if line.strip() and len(line) + len(gap) + len(cut) > width:
-                        lines.append(line.rstrip(" "))
-                        line, gap = rest, ""
-                    line, gap = line + (gap if line.strip() else "") + cut, ""
-            last = shown if shown.strip() else last
+            parts, seen, ends, starts = _TOLD[word]
+            gap = ("  " if ended and starts else " ") if last else ""
+            if len(parts) > 1 or len(word) > room:
+                parts = [part[i : i + room] for part in parts for i in range(0, len(part), room)]
+            for cut in parts:
+                if blank:
+                    line += cut
+                    blank = not line.strip()
+                elif len(line) + len(gap) + len(cut) > width:
+                    lines.append(line.rstrip(" "))
+                    line = rest + cut
+                    blank = not line.strip()
+                else:
+                    line += gap + cut
+                gap = ""
+            if seen:
+                last, ended = True, ends
         lines.append(line.rstrip(" "))
-    return [x.replace(_NBSP, " ") for x in lines]
+    return [x.replace(_NBSP, " ") for x in lines] if _NBSP in text or any(x in text for x in KEPT) else lines
 
 
 def wrap_text(c: Column, width: int = 72, indent: int = 0, hang: int = 0) -> Column:
@@ -233,42 +271,83 @@ def page_breaks(blank: list[bool], block: list[int | None], keep: list[bool], fi
     return pages
 
 
+def _numbered(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A number for each key, the same for equal ones; null is a key."""
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    return keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def whole_groups(parts: Iterator[pa.RecordBatch], key: str, least: int = 10_000) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches whose rows stand group by group; ``least`` rows or more each, but for the last one."""
+    done: list[pa.RecordBatch] = []
+    going: list[pa.RecordBatch] = []  # rows of the group that may go on
+    for part in parts:
+        if not part.num_rows:
+            continue
+        if going and going[-1][key][0].as_py() != part[key][0].as_py():
+            done, going = done + going, []
+        numbers = _numbered(part[key])
+        if cut := int(np.argmax(numbers == numbers[-1])):
+            done, going = [*done, *going, part.slice(0, cut)], []
+        going.append(part.slice(cut))
+        if sum(x.num_rows for x in done) >= least:
+            yield pa.Table.from_batches(done)
+            done = []
+    if done or going:
+        yield pa.Table.from_batches(done + going)
+
+
+def group_starts(keys: pa.ChunkedArray) -> list[int]:
+    """Where each group begins, and the number of rows."""
+    numbers = _numbered(keys)
+    return [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+
+
 def assign_pages(lines: DataFrame, *, doc: str, pos: str, text: str, block: str, keep: str, height: int = 48, first: int = 52) -> DataFrame:
-    """``doc``, ``pos``, ``page`` (0 for dropped blank lines). Only flags and block numbers go to the group, never texts."""
+    """``doc``, ``pos``, ``page`` (0 for dropped blank lines). Only flags and block numbers are dealt by document, never texts; a task reads them in order and holds a document's at a time.
+
+    Lines of a null document are those of one document.
+    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        blocks = [None if pd.isna(b) else int(b) for b in rows.block]
-        return rows.assign(page=page_breaks(rows.blank.tolist(), blocks, rows.keep.tolist(), first, height))[["doc", "pos", "page"]]
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(parts, "doc"):
+            at, blank, blocks, keeps = group_starts(t["doc"]), *(t[c].to_pylist() for c in ("blank", "block", "keep"))
+            out = [page for i, j in itertools.pairwise(at) for page in page_breaks(blank[i:j], blocks[i:j], keeps[i:j], first, height)]
+            yield from t.select(["doc", "pos"]).append_column("page", pa.array(out, pa.int32())).to_batches()
 
     src = lines.select(F.col(doc).alias("doc"), F.col(pos).alias("pos"), (F.trim(F.coalesce(text, F.lit(""))) == "").alias("blank"), F.col(block).cast("long").alias("block"), F.coalesce(keep, F.lit(False)).alias("keep"))
     kinds = dict(src.dtypes)
-    out = src.groupBy("doc").applyInPandas(run, f"doc {kinds['doc']}, pos {kinds['pos']}, page int")
+    out = src.repartition("doc").sortWithinPartitions("doc", "pos").mapInArrow(run, f"doc {kinds['doc']}, pos {kinds['pos']}, page int")
     return out.select(F.col("doc").alias(doc), F.col("pos").alias(pos), "page")
 
 
 def grid(cells: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Row and column of each cell (row, colspan, rowspan), in order: the first free place of its row."""
-    taken: set[tuple[int, int]] = set()
+    taken: dict[int, set[int]] = {}
+    free: dict[int, int] = {}  # no place of the row before this one is free: what is taken stays so
     out = []
     for row, colspan, rowspan in cells:
-        col = 0
-        while (row, col) in taken:
+        mine, col = taken.get(row, ()), free.get(row, 0)
+        while col in mine:
             col += 1
         out.append((row, col))
-        taken |= {(row + i, col + j) for i in range(rowspan) for j in range(colspan)}
+        free[row] = col
+        for i in range(row, row + rowspan):
+            taken.setdefault(i, set()).update(range(col, col + colspan))
     return out
 
 
 def place_cells(cells: DataFrame, *, table: str, row: str, pos: str, colspan: str = "colspan", rowspan: str = "rowspan") -> DataFrame:
-    """``table``, ``row``, ``pos``, ``col``: where cells are under spans. One group is one table, without its texts."""
+    """``table``, ``row``, ``pos``, ``col``: where cells are under spans. A task reads tables one after another, without their texts, and holds those of a batch. Cells of a null table are those of one table."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row", "pos"], kind="stable")
-        return rows.assign(col=[c for _, c in grid(list(zip(rows.row, rows.colspan, rows.rowspan, strict=True)))])[["tab", "row", "pos", "col"]]
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(parts, "tab"):
+            at, cells = group_starts(t["tab"]), list(zip(*(t[c].to_pylist() for c in ("row", "colspan", "rowspan")), strict=True))
+            out = [col for i, j in itertools.pairwise(at) for _, col in grid(cells[i:j])]
+            yield from t.select(["tab", "row", "pos"]).append_column("col", pa.array(out, pa.int32())).to_batches()
 
     src = cells.select(F.col(table).alias("tab"), F.col(row).cast("int").alias("row"), F.col(pos).cast("int").alias("pos"), F.col(colspan).cast("int").alias("colspan"), F.col(rowspan).cast("int").alias("rowspan"))
-    out = src.groupBy("tab").applyInPandas(run, f"tab {dict(src.dtypes)['tab']}, row int, pos int, col int")
+    out = src.repartition("tab").sortWithinPartitions("tab", "row", "pos").mapInArrow(run, f"tab {dict(src.dtypes)['tab']}, row int, pos int, col int")
     return out.select(F.col("tab").alias(table), F.col("row").alias(row), F.col("pos").alias(pos), "col")
 
 
