@@ -271,7 +271,7 @@ def page_breaks(blank: list[bool], block: list[int | None], keep: list[bool], fi
     return pages
 
 
-def _numbered(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def numbered(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A number for each key, the same for equal ones; null is a key."""
     keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
     return keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
@@ -286,7 +286,7 @@ def whole_groups(parts: Iterator[pa.RecordBatch], key: str, least: int = 10_000)
             continue
         if going and going[-1][key][0].as_py() != part[key][0].as_py():
             done, going = done + going, []
-        numbers = _numbered(part[key])
+        numbers = numbered(part[key])
         if cut := int(np.argmax(numbers == numbers[-1])):
             done, going = [*done, *going, part.slice(0, cut)], []
         going.append(part.slice(cut))
@@ -299,7 +299,7 @@ def whole_groups(parts: Iterator[pa.RecordBatch], key: str, least: int = 10_000)
 
 def group_starts(keys: pa.ChunkedArray) -> list[int]:
     """Where each group begins, and the number of rows."""
-    numbers = _numbered(keys)
+    numbers = numbered(keys)
     return [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
 
 

@@ -277,15 +277,21 @@ paged AS (SELECT l.doc, l.line, coalesce(s.page, 0) AS page FROM lines l LEFT JO
 
 
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
-    """What :data:`LINES` says, with the text of each line."""
+    """What :data:`LINES` says, and the ``title`` of each heading. Of a paragraph's text only its size, its blank lines and its first line are dealt by document."""
     paras = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "t"))
-    paras = paras.withColumn("n", F.greatest(F.floor((F.length("t") + 29) / 30), F.lit(1)))
+    size = F.greatest(F.floor((F.length("t") + 29) / 30), F.lit(1))
+    blank = F.filter(F.sequence(F.lit(0).cast("long"), size - 1), lambda k: F.trim(F.substr("t", (30 * k + 1).cast("int"), F.lit(30))) == "")
+    may_be = (F.col("t") == "") | F.endswith("t", F.lit(" ")) | F.contains("t", F.lit(" " * 30))  # else no line is blank
+    paras = paras.select("doc_id", "p", size.alias("n"), F.when(may_be, blank).alias("blanks"), F.when(F.col("p") % 7 == 0, F.substring("t", 1, 30)).alias("head"))
     own = W.partitionBy("doc_id")
     paras = paras.withColumn("above", F.sum(F.col("n") + 1).over(own.orderBy("p")) - F.col("n") - 1).withColumn("last", F.max("p").over(own))
     rows = paras.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("p") == F.col("last"), F.col("n") - 1).otherwise(F.col("n")))))
-    text, inside = F.substr("t", (30 * F.col("k") + 1).cast("int"), F.lit(30)), F.col("k") < F.col("n")
+    inside = F.col("k") < F.col("n")
     tag = F.when((F.col("p") % 7 == 0) & (F.col("k") == 0), "section").when(F.col("p") % 5 == 3, "figure").otherwise("t")
-    return rows.select(F.col("doc_id").alias("doc"), (F.col("above") + F.col("k")).alias("line"), (~inside | (F.trim(text) == "")).alias("blank"), F.when(inside, F.col("p")).alias("block"), F.when(inside, tag).alias("tag"), text.alias("text"))
+    return rows.select(
+        F.col("doc_id").alias("doc"), (F.col("above") + F.col("k")).alias("line"), (~inside | F.coalesce(F.array_contains("blanks", F.col("k")), F.lit(False))).alias("blank"),
+        F.when(inside, F.col("p")).alias("block"), F.when(inside, tag).alias("tag"), F.when(F.col("k") == 0, F.col("head")).alias("title"),
+    )
 
 
 @query("r53_assign_pages", f"WITH RECURSIVE {LINES}, {PAGES} SELECT doc AS doc_id, line, page FROM paged")
@@ -305,7 +311,7 @@ title AS (SELECT doc_id AS doc, substr(t, 1, 30) AS title, row_number() OVER (PA
 SELECT h.doc AS doc_id, h.nth, title, g.page, e.page AS entry_page
 FROM h JOIN title ON title.doc = h.doc AND title.nth = h.nth JOIN paged g ON g.doc = h.doc AND g.line = h.line + h.m + 1 JOIN paged e ON e.doc = h.doc AND e.line = h.nth - 1""")
 def r56b(spark: SparkSession, d: str) -> DataFrame:
-    return pages.paged_contents(text_lines(spark, d), doc="doc", line="line", blank="blank", block="block", tag="tag", title="text").withColumnRenamed("doc", "doc_id")
+    return pages.paged_contents(text_lines(spark, d), doc="doc", line="line", blank="blank", block="block", tag="tag", title="title").withColumnRenamed("doc", "doc_id")
 
 
 @query("r53_wrapped_pages")

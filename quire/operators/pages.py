@@ -1,19 +1,23 @@
-"""Lines to pages, by pointer jumping.
+"""Lines to pages, one page after another.
 
-Where a page ends follows from where it begins and from the lines around its last place. So every line gets a pointer to the
-line where the next page would begin if a page began here, from windows over shards of lines that overlap a little. The pages
-that there are hang on the pointers from a document's first line: their beginnings are found in rounds that double, the
-pointers and the pages known. No task holds a document, and the rounds are as many as the longest document's pages have digits in binary.
+Where a page ends follows from where it begins and from the lines around its last place. Lines are dealt by document once, as a few flags
+without their texts, and sorted; a task goes through its documents in order. What a page's end asks of its line (its block's beginning, end and kind, the
+headings of the block before it, the next full line) comes from array operations over some thousand lines at a time; only page ends are visited one by one.
+A task holds a document's flags, some 30 bytes a line, no more than the document's text took in the task that read it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.helpers import group_starts, numbered, whole_groups
 from quire.jobs.folders import written
 
 #: Kinds of blocks that stay whole if they fit on a page: fixed values.
@@ -22,56 +26,60 @@ WHOLE = ("artset", "artwork", "figure", "sourcecode", "table")
 LOOK_BACK, APART = 14, 3
 
 
-def _headings_above(flags: Column) -> Column:
+#: What a line's tag says: fixed values.
+OTHER, SECTION, KEPT_WHOLE, UNTAGGED = range(4)
+
+
+def _headings_above(heading: np.ndarray, top: int, end: int) -> int:
     """How many lines a break moves up so that no heading stays alone: headings at most three lines apart, the nearest first."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(LOOK_BACK)), F.lit(0),
-        lambda d, j: F.when(F.coalesce(F.try_element_at(flags, -j), F.lit(False)) & (j - d <= APART) & (d < LOOK_BACK - 2), j).otherwise(d),
-    )
-
-
-def _with_blocks(src: DataFrame) -> DataFrame:
-    """Adds of each line's block: where it begins and stops, its first line's tag, and its lines before this one that are no headings."""
-    own = W.partitionBy("doc", "block")
-    told = src.filter("block IS NOT NULL").select(
-        "*", F.min("line").over(own).alias("beg"), (F.max("line").over(own) + 1).alias("stop"), F.first("tag").over(own.orderBy("line")).alias("kind"),
-        F.coalesce(F.sum(F.when(F.col("tag") != "section", 1).otherwise(0)).over(own.orderBy("line").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )
-    return told.unionByName(src.filter("block IS NULL"), allowMissingColumns=True)
-
-
-def _break(at: Column, line: Column, few: int, height: int, start_lines: int) -> Column:
-    """Where a page that begins at ``line`` ends if ``at`` is the line after its last place."""
-    end, beg = at["line"], at["beg"]
-    left, right, size = end - beg, at["stop"] - end, at["stop"] - beg
-    alone = (left.between(1, few) & (size > left)) | (right.between(1, few) & (size > right))
-    moved = (
-        F.when(at["block"].isNull(), end - at["up"])
-        .when(at["kind"] == "section", F.when(at["before"] <= start_lines, beg).otherwise(end))
-        .when(at["kind"].isin(*WHOLE), F.when((size < height) | (left <= start_lines), beg).otherwise(end))
-        .when(alone, beg)
-        .otherwise(end)
-    )
-    return F.when(moved > line, moved).otherwise(end)
-
-
-def page_pointers(src: DataFrame, *, first: int, height: int, few: int, start_lines: int, shard: int) -> DataFrame:
-    """``doc``, ``line``, ``stop``, ``next``: where a page that begins at a line would end, and the next begin (null: it is the last one)."""
-    home = F.floor(F.col("line") / shard)
-    copies = F.array_distinct(F.array(home, F.floor((F.col("line") + LOOK_BACK) / shard), F.floor((F.col("line") - first) / shard)))
-    near = W.partitionBy("doc", "shard").orderBy("line")
-    rows = _with_blocks(src).withColumn("shard", F.explode(copies))
-    flags = F.collect_list(F.coalesce(F.col("tag") == "section", F.lit(False))).over(near.rowsBetween(-LOOK_BACK, -1))
-    rows = rows.withColumn("flags", flags).withColumn("at", F.struct("line", "block", "beg", F.col("stop"), "kind", "before", _headings_above(F.col("flags")).alias("up")))
-    rows = rows.withColumn("at", F.when(F.col("line") == 0, F.lead("at", first).over(near)).otherwise(F.lead("at", height).over(near)))
-    rows = rows.filter(F.col("shard") == home)
-    after = F.min(F.when(~F.col("blank"), F.col("line"))).over(near.rowsBetween(W.currentRow, W.unboundedFollowing))
-    rows = rows.select("doc", "shard", "line", after.alias("full"), _break(F.col("at"), F.col("line"), few, height, start_lines).alias("stop"))
-    rows = written(rows)
-    # the first full line of the shards after this one
-    later = rows.groupBy("doc", "shard").agg(F.min("full").alias("full")).withColumn("later", F.min("full").over(W.partitionBy("doc").orderBy("shard").rowsBetween(1, W.unboundedFollowing))).drop("full")
-    full = rows.join(later, ["doc", "shard"]).select("doc", F.col("line").alias("stop"), F.coalesce("full", "later").alias("next"))
-    return rows.select("doc", "line", "stop").join(full, ["doc", "stop"], "left")
+    up = 0
+    for j in range(1, min(LOOK_BACK, end - top) + 1):
+        if heading[end - j] and j - up <= APART and up < LOOK_BACK - 2:
+            up = j
+    return up
+
+
+def pages_of(starts: list[int], blank: np.ndarray, block: np.ndarray, inside: np.ndarray, tag: np.ndarray, *, first: int, height: int, few: int, start_lines: int) -> np.ndarray:
+    """The page of each line of documents that begin at ``starts`` (the last one is the number of lines). ``inside``: whether a line is in a block."""
+    n = starts[-1]
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    own = np.flatnonzero(inside)
+    own = own[np.lexsort((block[own], doc[own]))]  # lines by block, in order
+    new = np.ones(len(own), bool)
+    new[1:] = (doc[own][1:] != doc[own][:-1]) | (block[own][1:] != block[own][:-1])
+    at = np.flatnonzero(new)
+    sizes = np.diff(np.append(at, len(own)))
+    beg, stop, before = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    beg[own], stop[own] = np.repeat(own[at], sizes), np.repeat(own[at + sizes - 1] + 1, sizes)
+    plain = ((tag[own] == OTHER) | (tag[own] == KEPT_WHOLE)).astype(np.int64)
+    so_far = np.cumsum(plain) - plain
+    before[own] = so_far - np.repeat(so_far[at], sizes)
+    heading = tag == SECTION
+    full = np.append(np.minimum.accumulate(np.where(blank, n, np.arange(n))[::-1])[::-1], n)  # the first full line from here on
+    page = np.zeros(n, np.int32)
+    for lo, hi in itertools.pairwise(starts):
+        line, number = lo, 1
+        while line < hi:
+            end = line + (first if line == lo else height)
+            if end >= hi:
+                cut = hi
+            else:
+                moved = end
+                if not inside[end]:
+                    moved = end - _headings_above(heading, lo, end)
+                else:
+                    b, e = int(beg[end]), int(stop[end])
+                    kind, left, right, size = tag[b], end - b, e - end, e - b
+                    if kind == SECTION:
+                        moved = b if before[end] <= start_lines else end
+                    elif kind == KEPT_WHOLE:
+                        moved = b if size < height or left <= start_lines else end
+                    elif (1 <= left <= few and size > left) or (1 <= right <= few and size > right):
+                        moved = b
+                cut = moved if moved > line else end
+            page[line:cut] = number
+            line, number = int(full[cut]), number + 1
+    return page
 
 
 def paginate(lines: DataFrame, *, doc: str, line: str, blank: str, block: str, tag: str, first: int = 52, height: int = 48, few: int = 2, start_lines: int = 5, shard: int = 1024) -> DataFrame:
@@ -82,24 +90,25 @@ def paginate(lines: DataFrame, *, doc: str, line: str, blank: str, block: str, t
     A page that would end between blocks ends before the headings just above; in a section's block, before the block unless
     more than ``start_lines`` lines of it that are no headings fit; in a figure, table or code, before it if it fits on a page or no
     more than ``start_lines`` fit; in any other, before it if up to ``few`` lines would stand alone on either page. A page always has a line.
-    Null documents are left out; a document without lines has no pages.
+    Null documents are left out; a document without lines has no pages. A task takes whole documents of ``shard`` lines or more together at a time.
     """
-    src = lines.select(F.col(doc).alias("doc"), F.col(line).cast("long").alias("line"), F.coalesce(blank, F.lit(False)).alias("blank"), F.col(block).alias("block"), F.col(tag).alias("tag")).filter("doc IS NOT NULL")
-    pointers = written(page_pointers(src, first=first, height=height, few=few, start_lines=start_lines, shard=shard))
-    known = pointers.filter("line = 0").select("doc", "line", F.lit(1).alias("page"))
-    begins, jump, step = [known], pointers.select("doc", "line", "next").filter("next IS NOT NULL"), 1
-    while True:
-        found = written(known.join(jump, ["doc", "line"]).select("doc", F.col("next").alias("line"), (F.col("page") + step).alias("page")))
-        if found.isEmpty():
-            break
-        begins.append(found)
-        known = reduce(DataFrame.unionByName, begins)
-        further = jump.select("doc", F.col("line").alias("next"), F.col("next").alias("after"))
-        jump, step = written(jump.join(further, ["doc", "next"]).select("doc", "line", F.col("after").alias("next"))), 2 * step
-    last = src.groupBy("doc").agg(F.max("line").alias("last"))
-    spans = known.join(pointers, ["doc", "line"]).join(last, "doc").select("doc", "page", F.explode(F.sequence("line", F.coalesce(F.col("stop") - 1, "last"))).alias("line"))
-    out = src.select("doc", "line").join(spans, ["doc", "line"], "left")
-    return out.select(F.col("doc").alias(doc), F.col("line").alias(line), F.coalesce("page", F.lit(0)).alias("page"))
+    told = F.when(F.col(tag) == "section", SECTION).when(F.col(tag).isin(*WHOLE), KEPT_WHOLE).when(F.col(tag).isNull(), UNTAGGED).otherwise(OTHER)
+    src = lines.select(
+        F.col(doc).alias("doc"), F.col(line).cast("long").alias("line"), F.col(block).alias("block"),
+        (told + F.when(F.coalesce(blank, F.lit(False)), 4).otherwise(0)).alias("told"),
+    ).filter("doc IS NOT NULL")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(parts, "doc", shard):
+            told, block = t["told"].to_numpy(), t["block"]
+            numbers = pages_of(
+                group_starts(t["doc"]), told >= 4, numbered(block), block.is_valid().to_numpy(), told % 4,
+                first=first, height=height, few=few, start_lines=start_lines,
+            )
+            yield from t.select(["doc", "line"]).append_column("page", pa.array(numbers)).to_batches()
+
+    out = src.repartition("doc").sortWithinPartitions("doc", "line").mapInArrow(run, f"doc {dict(src.dtypes)['doc']}, line long, page int")
+    return out.select(F.col("doc").alias(doc), F.col("line").alias(line), "page")
 
 
 def paged_contents(lines: DataFrame, *, doc: str, line: str, blank: str, block: str, tag: str, title: str, **how) -> DataFrame:
@@ -115,7 +124,10 @@ def paged_contents(lines: DataFrame, *, doc: str, line: str, blank: str, block:
     body = src.join(size, "doc", "left").select("doc", (F.col("line") + F.coalesce(F.col("m") + 1, F.lit(0))).alias("line"), "blank", "block", "tag")
     entries = heads.select("doc", (F.col("nth") - 1).cast("long").alias("line"), F.lit(False).alias("blank"), F.lit(-1).cast("long").alias("block"), F.lit("toc").alias("tag"))
     gap = size.select("doc", F.col("m").alias("line"), F.lit(True).alias("blank"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("string").alias("tag"))
-    paged = written(paginate(body.unionByName(entries).unionByName(gap), doc="doc", line="line", blank="blank", block="block", tag="tag", **how))
-    out = heads.withColumn("at", F.col("line") + F.col("m") + 1).withColumn("entry", (F.col("nth") - 1).cast("long")).drop("line")
-    out = out.join(paged.withColumnRenamed("line", "at"), ["doc", "at"]).join(paged.select("doc", F.col("line").alias("entry"), F.col("page").alias("entry_page")), ["doc", "entry"])
+    paged = paginate(body.unionByName(entries).unionByName(gap), doc="doc", line="line", blank="blank", block="block", tag="tag", **how)
+    # each heading asks for two lines' pages: its own and its entry's
+    asked = heads.select("doc", "nth", F.explode(F.array(F.col("line") + F.col("m") + 1, (F.col("nth") - 1).cast("long"))).alias("line"))
+    found = written(asked.join(paged, ["doc", "line"]).select("doc", "nth", "line", "page"))
+    out = heads.select("doc", "nth", "title", (F.col("line") + F.col("m") + 1).alias("at")).join(found, ["doc", "nth"])
+    out = out.groupBy("doc", "nth", "title").agg(F.max(F.when(F.col("line") == F.col("at"), F.col("page"))).alias("page"), F.max(F.when(F.col("line") != F.col("at"), F.col("page"))).alias("entry_page"))
     return out.select(F.col("doc").alias(doc), F.col("nth").cast("long").alias("nth"), "title", "page", "entry_page")
