@@ -323,17 +323,17 @@ def assign_pages(lines: DataFrame, *, doc: str, pos: str, text: str, block: str,
 
 def grid(cells: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Row and column of each cell (row, colspan, rowspan), in order: the first free place of its row."""
-    taken: dict[int, set[int]] = {}
+    below: dict[int, set[int]] = {}  # what cells take in rows after their own
     free: dict[int, int] = {}  # no place of the row before this one is free: what is taken stays so
     out = []
     for row, colspan, rowspan in cells:
-        mine, col = taken.get(row, ()), free.get(row, 0)
+        mine, col = below.get(row, ()), free.get(row, 0)
         while col in mine:
             col += 1
         out.append((row, col))
-        free[row] = col
-        for i in range(row, row + rowspan):
-            taken.setdefault(i, set()).update(range(col, col + colspan))
+        free[row] = col + max(colspan, 0) if rowspan > 0 else col
+        for i in range(row + 1, row + rowspan):
+            below.setdefault(i, set()).update(range(col, col + colspan))
     return out
 
 
