@@ -20,10 +20,15 @@ def hierarchical_numbers(nodes: DataFrame, *, doc: str, node: str, path: str, pa
     steps = nodes.select(doc, node, F.posexplode(path).alias("_at", "_step"))
     along = steps.join(ranks, (F.col(doc) == F.col("_d")) & (F.col("_step") == F.col("_n"))).groupBy(doc, node).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_r"))), lambda x: x["_r"]).alias("_ranks"))
     out = nodes.join(along, [doc, node])
-    letters = F.concat_ws(".", F.chr(F.lit(96) + F.get("_ranks", F.lit(0))), F.array_join(F.slice("_ranks", 2, F.size("_ranks")).cast("array<string>"), "."))
-    letters = F.regexp_replace(letters, r"\.$", "")
-    number = F.when(F.col(part) == "back", F.when(F.get("_ranks", F.lit(0)) <= 26, letters)).otherwise(F.array_join(F.col("_ranks").cast("array<string>"), "."))
-    return out.withColumn("number", number).drop("_ranks")
+    return out.withColumn("number", number_of(F.col("_ranks"), F.col(part) == "back")).drop("_ranks")
+
+
+def number_of(ranks: Column, letters: Column) -> Column:
+    """"1.4.2" of the ranks along a path; where ``letters`` holds, the first is a letter ("a.1"), and more than 26 give null."""
+    plain = F.array_join(ranks.cast("array<string>"), ".")
+    first = F.get(ranks, F.lit(0))
+    rest = F.when(F.size(ranks) > 1, F.concat(F.lit("."), F.array_join(F.slice(ranks, 2, F.size(ranks)).cast("array<string>"), "."))).otherwise("")
+    return F.when(letters, F.when(first <= 26, F.concat(F.chr(F.lit(96) + first), rest))).otherwise(plain)
 
 
 def flat_numbers(rows: DataFrame, *, doc: str, kind: str, pos: str, prefix: Column | None = None) -> DataFrame:
@@ -153,6 +158,17 @@ def toc_visibility(sections: DataFrame, *, doc: str, node: str, path: str, mark:
     return out.withColumn("visible", visible).drop("_inc", "_exc")
 
 
+def shown(sections: DataFrame, *, doc: str, node: str, last: str, level: Column, mark: str, depth: int = 3) -> DataFrame:
+    """The same ``visible`` from places in the document instead of paths: ``node`` in document order, ``last`` the last node below it, ``level`` from 1.
+
+    What began before a node and has not ended is above it, what begins up to its last node is below: two windows, no joins.
+    """
+    before = F.max(F.when(F.col(mark) == "exclude", F.col(last))).over(W.partitionBy(doc).orderBy(node).rowsBetween(W.unboundedPreceding, 0))
+    after = F.min(F.when(F.col(mark) == "include", F.col(node))).over(W.partitionBy(doc).orderBy(F.col(node).desc()).rowsBetween(W.unboundedPreceding, 0))
+    out = sections.withColumn("_hidden", F.coalesce(before >= F.col(node), F.lit(False))).withColumn("_held", F.coalesce(after <= F.col(last), F.lit(False)))
+    return out.withColumn("visible", F.when(F.col("_held"), True).when(F.col("_hidden"), False).otherwise(level <= depth)).drop("_held", "_hidden")
+
+
 def index_numbers(entries: DataFrame, *, doc: str, pos: str, item: str, sub: str, slug) -> DataFrame:
     """``entries`` with ``pn``: "iref-item-sub-n", unique in the document."""
     n = F.row_number().over(W.partitionBy(doc).orderBy(pos))
