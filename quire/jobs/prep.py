@@ -17,16 +17,20 @@ from quire.sources.markup import Asked, Path
 
 #: Elements that preparation takes out, beside comments and processing instructions: fixed values.
 DROPPED = ("cref",)
-SECTIONS = ("counts", Path(counts=("section",), of=("section",)))
-BLOCKS = ("places", Path(counts=(*windows.PARAGRAPHS, *windows.COUNTED_ONLY), below=windows.BEGIN_ANEW))
+PN_PREFIX, SLUG_PREFIX = "section-", "name-"
+#: What is read with sections, and with blocks.
+COUNTS, BACK = ("counts", Path(counts=("section",), of=("section",))), ("back", ("back",))
+SECTIONS = {"firsts": (("name", "name"),), "under": (BACK,), "paths": (COUNTS,)}
+BLOCKS = {"under": (BACK, ("apart", windows.NO_NUMBERS)), "paths": (COUNTS, ("places", Path(counts=(*windows.PARAGRAPHS, *windows.COUNTED_ONLY), below=windows.BEGIN_ANEW)))}
 
 
 @dataclass(frozen=True)
 class Prepared:
     """``elements``, ``sections`` (number, pn, title, visible), ``xrefs`` (derived), ``toc``, ``findings`` and ``paragraphs`` (pn) of a corpus.
 
-    Each is a plan of its own that reads the markup once, takes from it only the elements and columns that it needs, and writes no tables. Places among siblings and
-    the nearest section come with the elements; what else concerns a document is windows within one shuffle of it.
+    Each is a plan of its own that reads the markup once, takes from it only the elements and columns that it needs, and writes no tables. What stands above and below
+    an element, and its place among siblings, come with it; ids and the ranks of the contents are windows within one shuffle by document. Marks that
+    defaults may give are windows too.
     """
 
     docs: DataFrame
@@ -35,49 +39,58 @@ class Prepared:
     id_col: str
     xml_col: str
 
-    def _read(self, *columns: str, tags: tuple[str, ...] | None = None, **more) -> DataFrame:
-        """Elements of these tags with cleaned attributes. With defaults, elements of all tags are read: any may have an attribute then."""
-        asked = Asked(columns, dropped=DROPPED, tags=tags if self.defaults is None else None, **more)
+    def _read(self, *columns: str, tags: tuple[str, ...] | None = None, values: tuple[str, ...] = (), top_values: tuple[str, ...] = (), **more) -> DataFrame:
+        """Elements of these tags with cleaned attributes, those of ``values`` as columns. With defaults, elements of all tags are read: any may have an attribute then."""
+        asked = Asked(columns, dropped=DROPPED, tags=tags if self.defaults is None else None, values=tuple((v, v) for v in values), top_values=tuple((f"top_{v}", v) for v in top_values), **more)
         el = explode_elements(self.docs, id_col=self.id_col, xml_col=self.xml_col, asked=asked)
-        for tag, attrs in (("tag", "attrs"), ("top_tag", "top_attrs")):
-            if attrs in columns:
-                el = elements.yes_no_to_bool(elements.clean_attrs(el, rename={}, attrs_col=attrs), attrs_col=attrs)
-                if self.defaults is not None:
-                    el = elements.fill_attr_defaults(el, self.defaults, tag_col=tag, attrs_col=attrs)
+        if "attrs" in columns:
+            el = elements.yes_no_to_bool(elements.clean_attrs(el, rename={}))
+            if self.defaults is not None:
+                el = elements.fill_attr_defaults(el, self.defaults)
+        for names, tag in ((values, "tag"), (tuple(f"top_{v}" for v in top_values), "top_tag")):
+            if not names:
+                continue
+            clean = {v: F.trim(v) for v in names}
+            clean = {v: F.when(c == "yes", "true").when(c == "no", "false").otherwise(c) for v, c in clean.items()}
+            if self.defaults is not None:
+                d = F.broadcast(self.defaults.select(F.col("tag").alias("_tag"), F.col("defaults").alias("_d")))  # one row a tag of a fixed vocabulary
+                el, clean = el.join(d, F.col(tag) == F.col("_tag"), "left"), {v: F.coalesce(c, F.col("_d")[v.removeprefix("top_") if tag == "top_tag" else v]) for v, c in clean.items()}
+            el = el.withColumns(clean).drop("_tag", "_d")
         return el
 
     @cached_property
     def elements(self) -> DataFrame:
         return self._read(*ELEMENT_COLUMNS).filter("kind <> 'error'")
 
-    @cached_property
-    def _numbered(self) -> DataFrame:
-        el = self._read("doc_id", "node_id", "parent_id", "last_desc", "kind", "tag", "attrs", "text", "anc_tags", tags=("section", "name"), paths=(SECTIONS,))
-        el = el.filter("kind = 'element' AND tag IN ('section', 'name')").select("doc_id", "tag", *heads(), *section_columns())
-        sec = named(dealt(el)).filter("tag = 'section'")
-        return windows.shown(sec, doc="doc_id", node="node_id", last="last_desc", level=F.col("level"), mark="mark", depth=self.depth)
-
     @cached_property
     def sections(self) -> DataFrame:
-        return self._numbered
+        marks = {} if self.defaults is not None else {"within": (("_hidden", ("section", "toc", "exclude")),), "holds": (("_held", ("section", "toc", "include")),)}
+        el = self._read("doc_id", "node_id", "parent_id", "last_desc", "tag", tags=("section",), values=("anchor", "pn", "title", "toc"), **SECTIONS, **marks).filter("tag = 'section'")
+        mark, level = F.when(F.col("toc").isin("include", "exclude"), F.col("toc")), F.size("counts")
+        sec = el.select("doc_id", "node_id", "parent_id", "last_desc", "anchor", level.alias("level"), F.when(F.col("back"), "back").otherwise("middle").alias("part"), section_number().alias("number"), section_pn().alias("pn"), section_name().alias("name"), mark.alias("mark"), *(c for (c, _), in marks.values()))
+        if marks:
+            sec = sec.withColumn("visible", windows.is_shown(F.col("_held"), F.col("_hidden"), F.col("level") <= self.depth)).drop("_held", "_hidden")
+        else:
+            sec = windows.shown(dealt(sec), doc="doc_id", node="node_id", last="last_desc", level=F.col("level"), mark="mark", depth=self.depth)
+        return sec.withColumn("slug", slug_of(F.col("name")))
 
     @cached_property
     def toc(self) -> DataFrame:
         number = F.col("number")
-        lines = windows.table_of_contents(self._numbered, doc="doc_id", pos=F.col("node_id"), number="number", title="name", level=fields.section_level(number), appendix=F.col("part") == "back", page=F.lit(""))
+        lines = windows.table_of_contents(self.sections, doc="doc_id", pos=F.col("node_id"), number="number", title="name", level=fields.section_level(number), appendix=F.col("part") == "back", page=F.lit(""))
         return lines.withColumn("line", F.rtrim("line"))
 
     @cached_property
     def xrefs(self) -> DataFrame:
-        el = self._read("doc_id", "node_id", "parent_id", "kind", "tag", "attrs", "text", "anc_tags", tags=("section", "name", "xref"), attrs=("anchor",), paths=(SECTIONS,))
-        x = linked(el.filter("kind = 'element'")).filter(f"link = {XREF} AND best.link < {XREF}")
+        el = self._read("doc_id", "node_id", "tag", "text", tags=("section", "xref"), attrs=("anchor",), values=("anchor", "pn", "title", "target", "format"), **SECTIONS)
+        x = linked(el.filter("tag IS NOT NULL")).filter(f"link = {XREF} AND best.link < {XREF}")
         derived = joins.derive_xref_content(F.col("format"), F.col("best.tag"), F.col("best.number"), F.col("best.name"), F.col("text"), F.col("best.anchor"))
         kind = F.element_at(F.array(*map(F.lit, ID_KINDS)), F.col("best.link") + 1)
         return x.select("doc_id", "best.node_id", F.col("node_id").alias("xref_id"), F.col("id").alias("target"), "format", "text", kind.alias("id_kind"), "best.tag", "best.anchor", "best.number", "best.name", derived.alias("derived"))
 
     @cached_property
     def findings(self) -> DataFrame:
-        el = self._read("doc_id", "node_id", "parent_id", "kind", "tag", "attrs", "text", "anc_tags", tags=("section", "name", "xref", "reference"), attrs=("anchor",), ascii_but=ANY_TEXT, paths=(SECTIONS,))
+        el = self._read("doc_id", "node_id", "tag", "text", tags=("section", "xref", "reference"), attrs=("anchor",), ascii_but=ANY_TEXT, values=("anchor", "pn", "title", "target", "format"), **SECTIONS)
         found = lambda severity, code, *message: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.concat(*message).alias("message"))
         one = F.when((F.col("link") == ANCHOR) & (F.col("nth") > 1), found("error", "duplicate", F.lit("The id "), "id", F.lit(" again")))
         one = one.when((F.col("link") == XREF) & (F.col("best.link") >= XREF), found("error", "unresolved", F.lit("Nothing has the id "), "id"))
@@ -89,12 +102,11 @@ class Prepared:
     @cached_property
     def paragraphs(self) -> DataFrame:
         blocks = tuple(t for t in windows.PARAGRAPHS if t not in windows.NUMBERED_APART)
-        el = self._read("doc_id", "node_id", "kind", "tag", "attrs", "anc_tags", "top_tag", "top_attrs", tags=blocks, paths=(SECTIONS, BLOCKS), top=windows.BEGIN_ANEW, carried=("pn",))
-        apart = F.exists("anc_tags", lambda t: t.isin(*windows.NO_NUMBERS))
-        el = el.filter(F.col("tag").isin(*blocks) & (F.col("kind") == "element") & F.col("places").isNotNull() & ~apart)
-        top = F.coalesce(F.col("top_attrs")["pn"], F.when(F.col("top_tag") == "section", section_pn()), F.lit("unknown-unknown"))
-        pn = F.concat(top, F.lit("-"), F.array_join(F.col("places").cast("array<string>"), "."))
-        return el.select("doc_id", "node_id", "tag", F.coalesce(F.col("attrs")["pn"], pn).alias("pn"))
+        el = self._read("doc_id", "node_id", "tag", "top_tag", tags=blocks, values=("pn",), top=windows.BEGIN_ANEW, top_values=("pn",), **BLOCKS)
+        el = el.filter(F.col("tag").isin(*blocks) & F.col("places").isNotNull() & ~F.col("apart"))
+        top = F.coalesce(F.col("top_pn"), F.when(F.col("top_tag") == "section", own_pn()), F.lit("unknown-unknown"))
+        numbers = F.array_join(F.col("places").cast("array<string>"), ".")
+        return el.select("doc_id", "node_id", "tag", F.coalesce(F.col("pn"), F.concat(top, F.lit("-"), numbers)).alias("pn"))
 
 
 def prepare(docs: DataFrame, *, defaults: DataFrame | None = None, depth: int = 3, id_col: str = "doc_id", xml_col: str = "xml") -> Prepared:
@@ -105,38 +117,25 @@ def prepare(docs: DataFrame, *, defaults: DataFrame | None = None, depth: int =
     return Prepared(docs, defaults, depth, id_col, xml_col)
 
 
-def in_back() -> Column:
-    return F.array_contains("anc_tags", "back")
-
-
 def section_number() -> Column:
-    return windows.number_of(F.col("counts"), in_back())
+    return windows.number_of(F.col("counts"), F.col("back"))
 
 
-def section_pn() -> Column:
-    return F.concat(F.lit("section-"), F.when(in_back(), "appendix.").otherwise(""), section_number())
+def own_pn() -> Column:
+    return F.concat(F.lit(PN_PREFIX), F.when(F.col("back"), "appendix.").otherwise(""), section_number())
 
 
-def heads() -> list[Column]:
-    """The element that a row says something of (``node_id``): itself, or for a name what it names."""
-    return [F.when(F.col("tag") == "name", F.col("parent_id")).otherwise(F.col("node_id")).alias("node_id"), F.when(F.col("tag") == "name", F.struct("node_id", "text")).alias("named")]
+def section_pn() -> Column:
+    return F.coalesce(F.col("pn"), own_pn())
 
 
-def section_columns() -> list[Column]:
-    """What is known of a section by itself."""
-    mark = F.col("attrs")["toc"]
-    own = {
-        "parent_id": F.col("parent_id"), "last_desc": F.col("last_desc"), "attrs": F.col("attrs"), "level": F.size("counts"), "part": F.when(in_back(), "back").otherwise("middle"),
-        "number": section_number(), "pn": F.coalesce(F.col("attrs")["pn"], section_pn()), "mark": F.when(mark.isin("include", "exclude"), mark),
-    }
-    return [F.when(F.col("tag") == "section", c).alias(name) for name, c in own.items()]
+def section_name() -> Column:
+    """The text of a section's first name, else its title."""
+    return F.coalesce("name", "title", F.lit(""))
 
 
-def named(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``name`` and ``slug``: the text of an element's first name, else its title."""
-    first = F.min("named").over(W.partitionBy("doc_id", "node_id"))["text"]
-    rows = rows.withColumn("name", F.coalesce(first, F.col("attrs")["title"], F.lit("")))
-    return rows.drop("named").withColumn("slug", F.concat(F.lit("name-"), text.slugify(F.col("name"), "name")))
+def slug_of(name: Column) -> Column:
+    return F.concat(F.lit(SLUG_PREFIX), text.slugify(name, "name"))
 
 
 #: What links rows of a document: ids by their rank, what uses ids, and findings that only pass through.
@@ -148,23 +147,24 @@ def linked(el: DataFrame, *, checks: bool = False) -> DataFrame:
     """Ids and what refers to them, a row for each: ``doc_id``, ``id``, ``link`` (what it is), ``node_id``, ``format``, ``text``, ``best``: what the id stands for.
 
     That is an anchor, else a pn, else a slug, the first in document order. With ``checks`` also references and rows that are findings as they stand,
-    ``nth`` (its number among equal anchors) and ``used`` (whether a cross reference has its id). Elements are dealt by document once; names meet their sections in one window, ids all that names them in a second.
+    ``nth`` (its number among equal anchors) and ``used`` (whether a cross reference has its id). Elements are dealt by document once; a window meets ids with all that names them.
+    Pns and slugs that are made have fixed beginnings: documents whose references never begin so need no rows for them.
     """
-    tag, anchor, target = F.col("tag"), F.col("attrs")["anchor"], F.col("attrs")["target"]
-    section, xref, is_name = tag == "section", tag == "xref", tag == "name"
-    odd = ~F.coalesce(tag.isin(*ANY_TEXT), F.lit(True)) & ~text.is_ascii(F.col("text"))
+    tag, name = F.col("tag"), F.col("name")
+    section, xref = F.coalesce(tag == "section", F.lit(False)), F.coalesce(tag == "xref", F.lit(False))
+    odd = ~F.coalesce(tag.isin(*ANY_TEXT), F.lit(True)) & ~F.coalesce(text.is_ascii(F.col("text")), F.lit(True))
+    target, made = F.when(xref, F.col("target")), F.when(section & F.col("pn").isNull(), own_pn())
     row = el.select(
-        "doc_id", "node_id", "kind", "tag", F.when(is_name, F.col("parent_id")).otherwise(F.col("node_id")).alias("of"), anchor.alias("anchor"), F.when(xref, target).alias("target"),
-        F.when(xref, F.coalesce(F.col("attrs")["format"], F.lit("default"))).alias("format"), F.when(xref | is_name | (F.col("kind") == "error"), F.col("text")).alias("text"), F.when(section, F.col("attrs")["title"]).alias("title"),
-        F.when(section, section_number()).alias("number"), F.when(section, F.coalesce(F.col("attrs")["pn"], section_pn())).alias("pn"), *([F.coalesce(odd, F.lit(False)).alias("odd")] if checks else []),
+        "doc_id", "node_id", "tag", "anchor", target.alias("target"), F.when(xref, F.coalesce("format", F.lit("default"))).alias("format"), F.when(xref | tag.isNull(), F.col("text")).alias("text"),
+        F.when(section, section_number()).alias("number"), F.when(section, F.col("pn")).alias("pn"), made.alias("made"), F.when(section, section_name()).alias("name"), *([odd.alias("odd")] if checks else []),
     )
-    first = F.min(F.when(is_name, F.struct("node_id", "text"))).over(W.partitionBy("doc_id", "of"))["text"]
-    row = dealt(row).withColumn("name", F.when(section, F.coalesce(first, F.col("title"), F.lit(""))))
-    slug = F.concat(F.lit("name-"), text.slugify(F.col("name"), "name"))
+    row, doc = dealt(row), W.partitionBy("doc_id")
+    row = row.withColumns({"_pns": F.max(F.startswith("target", F.lit(PN_PREFIX))).over(doc), "_slugs": F.max(F.startswith("target", F.lit(SLUG_PREFIX))).over(doc)})
     link = lambda when, what, id_: F.when(when, F.struct(F.lit(what).alias("link"), id_.alias("id")))
-    links = [link(anchor_is := F.col("anchor").isNotNull(), ANCHOR, F.col("anchor")), link(section & F.col("pn").isNotNull(), PN, F.col("pn")), link(section, SLUG, slug), link(xref, XREF, F.col("target"))]
+    pn, is_anchor = F.coalesce("pn", F.when(F.col("_pns"), F.col("made"))), F.col("anchor").isNotNull()
+    links = [link(is_anchor, ANCHOR, F.col("anchor")), link(pn.isNotNull(), PN, pn), link(section & F.col("_slugs"), SLUG, F.when(section & F.col("_slugs"), slug_of(name))), link(xref, XREF, F.col("target"))]
     if checks:
-        links += [link((tag == "reference") & anchor_is, REFERENCE, F.col("anchor")), link(F.col("odd"), ODD_TEXT, tag), link(F.col("kind") == "error", UNREAD, F.col("text"))]
+        links += [link((tag == "reference") & is_anchor, REFERENCE, F.col("anchor")), link(F.col("odd"), ODD_TEXT, tag), link(tag.isNull(), UNREAD, F.col("text"))]
     row = row.select("doc_id", "node_id", "tag", "anchor", "number", "name", "format", F.when(xref, F.col("text")).alias("text"), F.inline(F.array_compact(F.array(*links))))
     same = W.partitionBy("doc_id", "id").orderBy("link", "node_id").rowsBetween(W.unboundedPreceding, 0)
     if checks:

@@ -166,7 +166,12 @@ def shown(sections: DataFrame, *, doc: str, node: str, last: str, level: Column,
     before = F.max(F.when(F.col(mark) == "exclude", F.col(last))).over(W.partitionBy(doc).orderBy(node).rowsBetween(W.unboundedPreceding, 0))
     after = F.min(F.when(F.col(mark) == "include", F.col(node))).over(W.partitionBy(doc).orderBy(F.col(node).desc()).rowsBetween(W.unboundedPreceding, 0))
     out = sections.withColumn("_hidden", F.coalesce(before >= F.col(node), F.lit(False))).withColumn("_held", F.coalesce(after <= F.col(last), F.lit(False)))
-    return out.withColumn("visible", F.when(F.col("_held"), True).when(F.col("_hidden"), False).otherwise(level <= depth)).drop("_held", "_hidden")
+    return out.withColumn("visible", is_shown(F.col("_held"), F.col("_hidden"), level <= depth)).drop("_held", "_hidden")
+
+
+def is_shown(held: Column, hidden: Column, high: Column) -> Column:
+    """Whether a section is shown that holds one marked so, is hidden with one above, or stands high enough."""
+    return F.when(held, True).when(hidden, False).otherwise(high)
 
 
 def index_numbers(entries: DataFrame, *, doc: str, pos: str, item: str, sub: str, slug) -> DataFrame:

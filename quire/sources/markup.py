@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Columns that elements can have, and their Spark types.
 COLUMN_TYPES = {
     "doc_id": "string", "node_id": "int", "parent_id": "int", "anc_ids": "array<int>", "last_desc": "int", "depth": "int", "sib_pos": "int",
-    "kind": "string", "tag": "string", "attrs": "map<string,string>", "text": "string", "tail": "string", "anc_tags": "array<string>",
-    "top_tag": "string", "top_attrs": "map<string,string>",
+    "kind": "string", "tag": "string", "attrs": "map<string,string>", "text": "string", "tail": "string", "anc_tags": "array<string>", "top_tag": "string",
 }
 KINDS = ("element", "comment", "pi", "error")
 SLICE = 2 << 20  # bytes of documents that are looked at together
@@ -37,8 +37,11 @@ class Asked:
 
     ``columns`` of elements with one of ``tags`` (None: of all), with one of the attributes ``attrs``, or whose text isn't ASCII though their tag is not among
     ``ascii_but``; documents that can't be read always. With ``dropped``, comments, processing instructions and elements of these tags are taken out with all that is
-    below them, and their tails join what stands before. ``paths`` are more columns, ``top_tag`` and ``top_attrs`` the nearest
-    ancestor that is one of ``top``, and its attributes ``carried``.
+    below them, and their tails join what stands before. ``top_tag`` is the nearest ancestor that is one of ``top``.
+
+    More columns by name: ``values`` of attributes, ``top_values`` of attributes of the nearest ancestor that is one of ``top``, ``firsts``: the text of an
+    element's first child with a tag, ``under``: whether one of some tags is above, ``within`` and ``holds``: whether an element of a tag has a value for an
+    attribute (tag, attribute, value; spaces around it don't count) and is itself or above, or itself or below, and ``paths``.
     """
 
     columns: tuple[str, ...]
@@ -46,12 +49,18 @@ class Asked:
     attrs: tuple[str, ...] = ()
     ascii_but: tuple[str, ...] | None = None
     dropped: tuple[str, ...] | None = None
-    paths: tuple[tuple[str, Path], ...] = ()
     top: tuple[str, ...] = ()
-    carried: tuple[str, ...] = ()
+    values: tuple[tuple[str, str], ...] = ()
+    top_values: tuple[tuple[str, str], ...] = ()
+    firsts: tuple[tuple[str, str], ...] = ()
+    under: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    within: tuple[tuple[str, tuple[str, str, str]], ...] = ()
+    holds: tuple[tuple[str, tuple[str, str, str]], ...] = ()
+    paths: tuple[tuple[str, Path], ...] = ()
 
     def schema(self) -> str:
-        return ", ".join([f"{c} {COLUMN_TYPES[c]}" for c in self.columns] + [f"{name} array<int>" for name, _ in self.paths])
+        more = ((self.values, "string"), (self.top_values, "string"), (self.firsts, "string"), (self.under, "boolean"), (self.within, "boolean"), (self.holds, "boolean"), (self.paths, "array<int>"))
+        return ", ".join([f"`{c}` {COLUMN_TYPES[c]}" for c in self.columns] + [f"`{name}` {kind}" for columns, kind in more for name, _ in columns])
 
 
 @dataclass
@@ -68,7 +77,7 @@ class Elements:
     gone: np.ndarray
     tag: np.ndarray
     names: list[str]
-    keys: pa.Array
+    keys: pa.DictionaryArray
     values: pa.Array
     attrs_at: np.ndarray
     words: pa.Array
@@ -97,17 +106,35 @@ class Elements:
         out[order] = seen[1:] - seen[start]
         return out
 
-    def map_of(self, rows: np.ndarray, only: tuple[str, ...] | None = None) -> pa.Array:
-        """Attributes of rows (-1: none)."""
-        keys, values, ends = self.keys, self.values, self.attrs_at
-        if only is not None:
-            kept = np.array([k in only for k in keys.to_pylist()], bool) if len(keys) and only else np.zeros(len(keys), bool)
-            ends = np.concatenate([[0], np.cumsum(kept)])[ends]
-            keys, values = keys.filter(pa.array(kept)), values.filter(pa.array(kept))
-        size = np.where(rows >= 0, (ends[1:] - ends[:-1])[rows], 0) if len(ends) > 1 else np.zeros(len(rows), np.int64)
+    def map_of(self, rows: np.ndarray) -> pa.Array:
+        """Attributes of rows."""
+        begins, size = self.attrs_at[:-1][rows], np.diff(self.attrs_at)[rows]
         at = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(np.where(rows >= 0, ends[:-1][rows], 0) - at[:-1], size) + np.arange(at[-1]) if len(rows) else np.zeros(0, np.int64)
-        return pa.MapArray.from_arrays(pa.array(at.astype(np.int32)), keys.take(pa.array(take)), values.take(pa.array(take)))
+        take = pa.array(np.repeat(begins - at[:-1], size) + np.arange(at[-1]))
+        return pa.MapArray.from_arrays(pa.array(at.astype(np.int32)), self.keys.take(take).dictionary_decode(), self.values.take(take))
+
+    def value_of(self, attr: str) -> np.ndarray:
+        """Where the value of an attribute is for each element; -1: it has none."""
+        out = np.full(len(self.node), -1, np.int64)
+        if attr in self.keys.dictionary.to_pylist():
+            at = np.flatnonzero(self.keys.indices.to_numpy() == self.keys.dictionary.to_pylist().index(attr))
+            out[np.searchsorted(self.attrs_at, at, "right") - 1] = at
+        return out
+
+    def has(self, tag: str, attr: str, value: str) -> np.ndarray:
+        """Which elements of a tag have a value for an attribute."""
+        at = self.value_of(attr)
+        there = np.flatnonzero((at >= 0) & self.is_one((tag,)) & ~self.gone)
+        out = np.zeros(len(self.node), bool)
+        out[there] = pc.equal(pc.utf8_trim(self.values.take(pa.array(at[there])), " "), value).to_numpy(zero_copy_only=False)
+        return out
+
+    def first_of(self, tag: str) -> np.ndarray:
+        """The first child with a tag for each element; -1: there is none."""
+        out = np.full(len(self.node), -1, np.int64)
+        child = np.flatnonzero(self.is_one((tag,)) & ~self.gone & (self.parent >= 0))[::-1]
+        out[self.parent[child]] = child
+        return out
 
 
 def strings(names: list[str], codes: np.ndarray) -> pa.Array:
@@ -123,9 +150,8 @@ def batch_of(e: Elements, asked: Asked) -> pa.RecordBatch:
     keep = np.ones(len(e.node), bool)
     if asked.tags is not None:
         keep = e.is_one(asked.tags) | (e.kind == 3)
-        if asked.attrs and len(e.keys):
-            hit = np.array([k in asked.attrs for k in e.keys.to_pylist()], bool)
-            keep |= np.diff(np.concatenate([[0], np.cumsum(hit)])[e.attrs_at]) > 0
+        for attr in asked.attrs:
+            keep |= e.value_of(attr) >= 0
         if asked.ascii_but is not None:
             odd = np.append(_not_ascii(e.words), False)
             keep |= odd[e.text] & ~e.is_one(asked.ascii_but) & (e.kind == 0)
@@ -157,7 +183,7 @@ def batch_of(e: Elements, asked: Asked) -> pa.RecordBatch:
     order = start = None
     if "sib_pos" in asked.columns or asked.paths:
         order, start = e.siblings()
-    if "top_tag" in asked.columns or "top_attrs" in asked.columns:
+    if asked.top:
         top = above(e.is_one(asked.top))
         top = np.where(top >= 0, way[top], -1) if len(way) else top
     ints = lambda c, none=None: pa.array(c.astype(np.int32), mask=none)
@@ -185,8 +211,20 @@ def batch_of(e: Elements, asked: Asked) -> pa.RecordBatch:
             out[c] = chosen(e.words, (e.text if c == "text" else e.tail)[rows])
         elif c == "top_tag":
             out[c] = strings(e.names, np.where(top >= 0, e.tag[top], -1))
-        elif c == "top_attrs":
-            out[c] = e.map_of(top, asked.carried)
+    for name, attr in asked.values:
+        out[name] = chosen(e.values, e.value_of(attr)[rows])
+    for name, attr in asked.top_values:
+        out[name] = chosen(e.values, np.where(top >= 0, e.value_of(attr)[top], -1))
+    for name, tag in asked.firsts:
+        child = e.first_of(tag)[rows]
+        out[name] = chosen(e.words, np.where(child >= 0, e.text[child], -1))
+    for name, tags in asked.under:
+        out[name] = pa.array(above(e.is_one(tags)) >= 0)
+    for name, which in asked.within:
+        out[name] = pa.array(e.has(*which)[rows] | (above(e.has(*which)) >= 0))
+    for name, which in asked.holds:
+        seen = np.concatenate([[0], np.cumsum(e.has(*which))])
+        out[name] = pa.array(seen[rows + e.last[rows] - e.node[rows] + 1] > seen[rows])  # what is below follows, with numbers without gaps
     for name, path in asked.paths:
         place = e.places(order, start, e.is_one(path.counts))
         kept, none = e.is_one(path.of)[way], None
@@ -315,7 +353,7 @@ class Handled:
         ints = lambda c: np.array(c, np.int64)
         return Elements(
             pa.array(self.ids, pa.string()), ints(self.doc), ints(self.nodes), ints(self.parents), ints(self.depths), ints(self.ends), ints(self.kinds), np.array(self.gone, bool),
-            ints([code.get(t, -1) for t in self.tags]), names, pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()), ints(self.attrs_at), pa.array(spoken, pa.string()), at[: len(self)], at[len(self) :],
+            ints([code.get(t, -1) for t in self.tags]), names, pa.array(self.keys, pa.string()).dictionary_encode(), pa.array(self.values, pa.string()), ints(self.attrs_at), pa.array(spoken, pa.string()), at[: len(self)], at[len(self) :],
         )
 
 
@@ -446,7 +484,7 @@ def plain_elements(ids: pa.Array, xml: pa.Array, dropped: tuple[str, ...] | None
     upto = np.empty(2 * len(opened), np.int64)
     upto[::2], upto[1::2] = opened - 1, shut
     both = _pieces(data, bounds, upto)
-    return Elements(ids, doc, np.arange(n) - base[doc], parent, depth, last - base[doc], np.zeros(n, np.int64), np.zeros(n, bool), tag, known, both.take(pa.array(np.arange(0, len(both), 2))), both.take(pa.array(np.arange(1, len(both), 2))), attrs_at, pieces, text, tail)
+    return Elements(ids, doc, np.arange(n) - base[doc], parent, depth, last - base[doc], np.zeros(n, np.int64), np.zeros(n, bool), tag, known, both.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode(), both.take(pa.array(np.arange(1, len(both), 2))), attrs_at, pieces, text, tail)
 
 
 def element_batches(parts: Iterable[pa.RecordBatch], asked: Asked) -> Iterator[pa.RecordBatch]:
