@@ -152,11 +152,10 @@ def linked(el: DataFrame, *, checks: bool = False) -> DataFrame:
     """
     tag, name = F.col("tag"), F.col("name")
     section, xref = F.coalesce(tag == "section", F.lit(False)), F.coalesce(tag == "xref", F.lit(False))
-    odd = ~F.coalesce(tag.isin(*ANY_TEXT), F.lit(True)) & ~F.coalesce(text.is_ascii(F.col("text")), F.lit(True))
     target, made = F.when(xref, F.col("target")), F.when(section & F.col("pn").isNull(), own_pn())
     row = el.select(
         "doc_id", "node_id", "tag", "anchor", target.alias("target"), F.when(xref, F.coalesce("format", F.lit("default"))).alias("format"), F.when(xref | tag.isNull(), F.col("text")).alias("text"),
-        F.when(section, section_number()).alias("number"), F.when(section, F.col("pn")).alias("pn"), made.alias("made"), F.when(section, section_name()).alias("name"), *([odd.alias("odd")] if checks else []),
+        F.when(section, section_number()).alias("number"), F.when(section, F.col("pn")).alias("pn"), made.alias("made"), F.when(section, section_name()).alias("name"), *([is_odd().alias("odd")] if checks else []),
     )
     row, doc = dealt(row), W.partitionBy("doc_id")
     row = row.withColumns({"_pns": F.max(F.startswith("target", F.lit(PN_PREFIX))).over(doc), "_slugs": F.max(F.startswith("target", F.lit(SLUG_PREFIX))).over(doc)})
@@ -178,7 +177,11 @@ def linked(el: DataFrame, *, checks: bool = False) -> DataFrame:
 ANY_TEXT = ("artwork", "author", "city", "code", "country", "email", "name", "organization", "postalLine", "region", "sourcecode", "street", "t", "title", "u", "xref")
 
 
+def is_odd(allowed: tuple[str, ...] = ANY_TEXT) -> Column:
+    """Whether an element outside ``allowed`` has text that isn't ASCII."""
+    return ~F.coalesce(F.col("tag").isin(*allowed), F.lit(True)) & ~F.coalesce(text.is_ascii(F.col("text")), F.lit(True))
+
+
 def non_ascii_findings(el: DataFrame, allowed: tuple[str, ...] = ANY_TEXT) -> DataFrame:
     """A warning for each element outside ``allowed`` whose text isn't ASCII."""
-    bad = el.filter(~F.coalesce(F.col("tag").isin(*allowed), F.lit(True)) & ~text.is_ascii(F.col("text")))
-    return bad.select("doc_id", F.lit("warning").alias("severity"), F.lit("non-ascii").alias("code"), F.concat(F.lit("Text of <"), "tag", F.lit("> is not ASCII")).alias("message"))
+    return el.filter(is_odd(allowed)).select("doc_id", F.lit("warning").alias("severity"), F.lit("non-ascii").alias("code"), F.concat(F.lit("Text of <"), "tag", F.lit("> is not ASCII")).alias("message"))
